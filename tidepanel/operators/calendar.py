@@ -54,22 +54,21 @@ def trading_date(
     return F.date_add(F.to_date(local), (F.hour(local) >= open_hour).cast("int"))
 
 
-def contract_parts(symbol: str | Column, as_of_year: int | Column) -> dict[str, Column]:
-    """Root, month code and year of a futures-style symbol; NULL when it is not one."""
-    symbol = F.upper(F.trim(col(symbol)))
-    pattern = r"^([A-Z0-9]{1,4}?)([FGHJKMNQUVXZ])([0-9]{1,2})$"
-    root = F.regexp_extract(symbol, pattern, 1)
-    digits = F.regexp_extract(symbol, pattern, 3)
-    found = F.length(root) > 0
-    as_of = as_of_year if isinstance(as_of_year, Column) else F.lit(as_of_year)
+CONTRACT_PATTERN = r"^(.+)([FGHJKMNQUVXZ])([0-9]{1,2})$"
+
+
+def contract_parts(symbol: str | Column, as_of_year: int) -> dict[str, Column]:
+    """Root, month code and year of a futures-style symbol; NULL parts when it is not one."""
+    symbol = col(symbol)
+    digits = F.regexp_extract(symbol, CONTRACT_PATTERN, 3)
+    found = F.length(digits) > 0
     number = digits.try_cast("int")
-    decade = F.floor(as_of / 10) * 10 + number
-    one_digit = F.when(decade < as_of - 5, decade + 10).otherwise(decade)
-    year = F.when(F.length(digits) == 1, one_digit).otherwise(2000 + number)
+    in_decade = number + (as_of_year - as_of_year % 10)
+    one_digit = F.when(in_decade < as_of_year - 5, in_decade + 10).otherwise(in_decade)
     return {
-        "contract_root": F.when(found, root),
-        "contract_month": F.when(found, F.regexp_extract(symbol, pattern, 2)),
-        "contract_year": F.when(found, year.cast("int")),
+        "root_symbol": F.when(found, F.regexp_extract(symbol, CONTRACT_PATTERN, 1)),
+        "contract_month_code": F.when(found, F.regexp_extract(symbol, CONTRACT_PATTERN, 2)),
+        "contract_year": F.when(found, F.when(F.length(digits) == 1, one_digit).otherwise(number)),
     }
 
 

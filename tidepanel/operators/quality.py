@@ -40,3 +40,338 @@ def panel_summary(minutes: DataFrame) -> DataFrame:
         F.sum("missing").alias("missing_minutes"),
         F.round(100.0 * F.sum("returns") / F.sum("n"), 4).alias("return_coverage_pct"),
     )
+
+
+def validate_market_data(df: DataFrame, key: tuple[str, str] = ("symbol", "timestamp")) -> DataFrame:
+    """Counts that must all be zero for a (symbol, timestamp, close) table to be accepted."""
+    required = [*key, "close"]
+    has_null = ~all_of([F.col(c).isNotNull() for c in required])
+    per_key = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(has_null.cast("int")).alias("nulls"),
+        F.sum((F.col("close") <= 0).cast("int")).alias("low"),
+    )
+    return per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_seen"),
+        F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_rows"),
+        F.coalesce(F.sum("low"), F.lit(0)).alias("nonpositive_close"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_keys"),
+    )
+
+
+def assert_market_data(df: DataFrame, key: tuple[str, str] = ("symbol", "timestamp")) -> DataFrame:
+    kinds = dict(df.dtypes)
+    if kinds[key[1]] != "timestamp":
+        raise ValueError("timestamps must carry a time zone")
+    found = validate_market_data(df, key).first()
+    broken = [n for n in ("null_rows", "nonpositive_close", "duplicate_keys") if found[n]]
+    if broken:
+        raise ValueError(f"market data rejected: {broken}")
+    return df.orderBy(*key)
+
+
+def containment_broken(high: Column, low: Column, opened: Column, closed: Column) -> Column:
+    """High or low fails to contain the other prices."""
+    return (high < F.greatest(opened, low, closed)) | (low > F.least(opened, high, closed))
+
+
+def drop_embedded_headers(df: DataFrame, name: str) -> DataFrame:
+    """Remove rows whose cell repeats its own column name (NULL cells stay)."""
+    return df.filter(~F.coalesce(F.col(f"`{name}`") == F.lit(name), F.lit(False)))
+
+
+def out_of_order(
+    df: DataFrame, file: str, line: str, stamp: str, block_rows: int = 1_000_000
+) -> DataFrame:
+    """Rows per file whose time is below the previous row's, in file order.
+
+    A file is cut into line blocks.  Each block is checked by its own task; only one boundary
+    row per block travels on, so one huge file does not end in a single window.  A missing time
+    breaks the comparison on both of its sides.
+    """
+    block = F.floor(F.col(line) / block_rows)
+    cut = df.select(file, line, stamp, block.alias("block"))
+    w = Window.partitionBy(file, "block").orderBy(line)
+    inside = (
+        cut.withColumn("previous", F.lag(stamp).over(w))
+        .groupBy(file, "block")
+        .agg(
+            F.sum((F.col(stamp) < F.col("previous")).cast("int")).alias("n"),
+            F.min_by(stamp, line).alias("first"),
+            F.max_by(stamp, line).alias("last"),
+        )
+    )
+    edge = Window.partitionBy(file).orderBy("block")
+    return (
+        inside.withColumn("crossing", (F.col("first") < F.lag("last").over(edge)).cast("int"))
+        .groupBy(file)
+        .agg(
+            (
+                F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("crossing"), F.lit(0))
+            ).alias("out_of_order")
+        )
+    )
+
+
+def duplicate_rows(df: DataFrame, file: str, columns: list[str], name: str) -> DataFrame:
+    """Rows beyond the first of each combination, per file."""
+    return (
+        df.groupBy(file, *[F.col(f"`{c}`") for c in columns if c != file])
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(file)
+        .agg(F.sum(F.col("n") - 1).alias(name))
+    )
+
+
+def _bad_number(raw: Column) -> Column:
+    return raw.try_cast("double").isNull()
+
+
+def profile_bar_files(
+    raw: DataFrame, file: str = "source_file", line: str = "line", block_rows: int = 1_000_000
+) -> DataFrame:
+    """One row of counts per bar file (tab layout), all columns still text."""
+    numeric = [c for c in ("Open", "High", "Low", "Last", "Volume", "Open Interest") if c in raw.columns]
+    header = (
+        raw.groupBy(file)
+        .agg(
+            F.count_if(F.col("`-Ticker`") == "-Ticker").alias("embedded_headers"),
+        )
+    )
+    data = drop_embedded_headers(raw, "-Ticker").withColumn(
+        "stamp", F.expr("try_cast(`Date Time` AS timestamp)")
+    )
+    stem = F.upper(F.element_at(F.split(F.regexp_replace(file, r"\.[^.]*$", ""), "_"), 1))
+    number = {c: F.col(f"`{c}`").try_cast("double") for c in numeric}
+    symbol = F.upper(F.trim(F.col("`-Ticker`")))
+    aggregates = [
+        F.count(F.lit(1)).alias("rows_seen"),
+        F.min(symbol).alias("symbol"),
+        (F.min(symbol) != F.max(symbol)).cast("int").alias("multiple_symbols_in_file"),
+        F.coalesce(1 - F.max((symbol == stem).cast("int")), F.lit(0)).alias(
+            "filename_symbol_mismatch"
+        ),
+        F.count_if(F.col("stamp").isNull()).alias("invalid_timestamps"),
+        sum_of([F.count_if(_bad_number(F.col(f"`{c}`"))) for c in numeric]).alias(
+            "invalid_numeric_values"
+        ),
+        F.count_if(
+            containment_broken(number["High"], number["Low"], number["Open"], number["Last"])
+        ).alias("invalid_ohlc"),
+        F.coalesce((F.min(number["Last"]) == F.max(number["Last"])).cast("int"), F.lit(1)).alias(
+            "constant_price_series"
+        ),
+        F.coalesce(
+            (F.max(F.unix_timestamp("stamp")) - F.min(F.unix_timestamp("stamp")) < 30 * 86400)
+            .cast("int"),
+            F.lit(1),
+        ).alias("short_history"),
+    ]
+    if "Open Interest" in numeric:
+        zero = (F.max(F.abs(number["Open Interest"])) == 0) & (
+            F.count(number["Open Interest"]) == F.count(F.lit(1))
+        )
+        aggregates.append(
+            F.when(zero, F.count(F.lit(1))).otherwise(0).alias("open_interest_unavailable")
+        )
+    counts = data.groupBy(file).agg(*aggregates)
+    raw_columns = [c for c in raw.columns if c not in (file, line)]
+    return (
+        header.join(counts, file)
+        .join(out_of_order(data, file, line, "stamp", block_rows), file)
+        .join(duplicate_rows(data, file, raw_columns, "exact_duplicate_rows"), file)
+        .join(
+            duplicate_rows(data, file, ["-Ticker", "Date Time"], "duplicate_symbol_timestamp"),
+            file,
+        )
+    )
+
+
+def profile_tick_files(raw: DataFrame, file: str = "source_file") -> DataFrame:
+    """Counts per tick file: parse failures, volume, quotes."""
+    data = drop_embedded_headers(raw, "-SYMBOL")
+    names = ("PRICE", "TICKVOL", "BID", "ASK")
+    n = {c: F.col(c).try_cast("double") for c in names}
+    return data.groupBy(file).agg(
+        F.count(F.lit(1)).alias("rows_seen"),
+        sum_of([F.count_if(_bad_number(F.col(c))) for c in names]).alias("invalid_numeric_values"),
+        F.count_if(n["TICKVOL"] <= 0).alias("nonpositive_tick_volume"),
+        F.count_if((n["PRICE"] < n["BID"]) | (n["PRICE"] > n["ASK"])).alias("price_outside_quote"),
+        F.count_if(n["BID"] > n["ASK"]).alias("crossed_quotes"),
+        F.count_if(n["PRICE"] <= 0).alias("nonpositive_prices"),
+        F.max(n["TICKVOL"]).alias("tickvol_max"),
+    )
+
+
+def audit_bar_values(raw: DataFrame, file: str = "source_file") -> DataFrame:
+    """Audit counts of the notebook check: null cells, prices, volumes, open interest, gaps."""
+    data = drop_embedded_headers(raw, "-Ticker").withColumn(
+        "stamp", F.expr("try_cast(`Date Time` AS timestamp)")
+    )
+    text = [c for c in raw.columns if c not in (file, "line")]
+    prices = [F.col(f"`{c}`").try_cast("double") for c in ("Open", "High", "Low", "Last")]
+    any_low = F.lit(False)
+    for p in prices:
+        any_low = any_low | F.coalesce(p <= 0, F.lit(False))
+    volume = F.col("Volume").try_cast("double")
+    interest = F.col("`Open Interest`").try_cast("double")
+    values = data.groupBy(file).agg(
+        sum_of([F.count_if(F.col(f"`{c}`").isNull()) for c in text]).alias("null_cells"),
+        F.count_if(any_low).alias("nonpositive_prices"),
+        F.count_if(volume < 0).alias("negative_volume"),
+        F.count_if(volume == 0).alias("zero_volume"),
+        F.round(100.0 * F.count_if(interest == 0) / F.count(F.lit(1)), 3).alias(
+            "zero_open_interest_pct"
+        ),
+    )
+    return values.join(minute_gaps(data, file, "stamp"), file)
+
+
+def minute_gaps(df: DataFrame, file: str, stamp: str) -> DataFrame:
+    """Steps of more than one minute between consecutive sorted times, per file.
+
+    Times are reduced to distinct values and windowed per (file, day); the step into a day
+    comes from the last time of the previous day that has any.
+    """
+    day = F.to_date(stamp)
+    times = df.filter(F.col(stamp).isNotNull()).select(file, stamp, day.alias("day")).distinct()
+    w = Window.partitionBy(file, "day").orderBy(stamp)
+    micros = F.unix_micros(stamp)
+    inside = (
+        times.withColumn("gap", micros - F.lag(micros).over(w) > 60_000_000)
+        .groupBy(file, "day")
+        .agg(
+            F.count_if("gap").alias("n"),
+            F.min(stamp).alias("first"),
+            F.max(stamp).alias("last"),
+        )
+    )
+    edge = Window.partitionBy(file).orderBy("day")
+    step = F.unix_micros("first") - F.unix_micros(F.lag("last").over(edge)) > 60_000_000
+    return (
+        inside.withColumn("crossing", step.cast("int"))
+        .groupBy(file)
+        .agg(
+            (F.sum("n") + F.coalesce(F.sum("crossing"), F.lit(0))).alias(
+                "missing_calendar_minutes"
+            )
+        )
+    )
+
+
+# Issue code -> severity.
+ISSUE_SEVERITY = {
+    "unknown_schema": "critical",
+    "embedded_headers": "high",
+    "multiple_symbols_in_file": "critical",
+    "filename_symbol_mismatch": "critical",
+    "invalid_timestamps": "critical",
+    "out_of_order": "high",
+    "exact_duplicate_rows": "high",
+    "duplicate_symbol_timestamp": "critical",
+    "invalid_numeric_values": "critical",
+    "invalid_ohlc": "critical",
+    "constant_price_series": "high",
+    "open_interest_unavailable": "medium",
+    "nonpositive_tick_volume": "high",
+    "price_outside_quote": "medium",
+    "short_history": "medium",
+    "duplicate_file_payload": "critical",
+    "duplicate_symbol_files": "critical",
+}
+
+
+def issues_from_profile(profile: DataFrame, file: str = "source_file") -> DataFrame:
+    """Unpivot nonzero counts into (file, code, severity, count)."""
+    codes = [c for c in profile.columns if c in ISSUE_SEVERITY]
+    severity = F.create_map(
+        *[F.lit(x) for code in codes for x in (code, ISSUE_SEVERITY[code])]
+    )
+    return (
+        profile.select(file, *[F.col(c).cast("long").alias(c) for c in codes])
+        .unpivot(file, codes, "code", "issue_count")
+        .filter(F.col("issue_count") > 0)
+        .withColumn("severity", severity[F.col("code")])
+    )
+
+
+def file_status(files: DataFrame, issues: DataFrame, file: str = "source_file") -> DataFrame:
+    """blocked / review / ready per file plus its number of blocking issues."""
+    blocking = F.col("severity").isin("critical", "high")
+    worst = issues.groupBy(file).agg(
+        F.count(F.lit(1)).alias("issues"), F.count_if(blocking).alias("blocking_issues")
+    )
+    return files.join(worst, file, "left").select(
+        *files.columns,
+        F.coalesce("issues", F.lit(0)).alias("issues"),
+        F.coalesce("blocking_issues", F.lit(0)).alias("blocking_issues"),
+        F.when(F.col("blocking_issues") > 0, "blocked")
+        .when(F.col("issues") > 0, "review")
+        .otherwise("ready")
+        .alias("status"),
+    )
+
+
+def cross_file_issues(files: DataFrame, file: str = "source_file") -> DataFrame:
+    """Files sharing a payload hash, and files sharing a (symbol, kind)."""
+
+    def shared_by(keys: list[str], code: str) -> DataFrame:
+        groups = (
+            files.filter(all_of([F.coalesce(F.col(k) != "", F.lit(False)) for k in keys]))
+            .groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .filter("n > 1")
+        )
+        return files.join(groups, keys).select(
+            file,
+            F.lit(code).alias("code"),
+            (F.col("n") - 1).alias("issue_count"),
+            F.lit(ISSUE_SEVERITY[code]).alias("severity"),
+        )
+
+    return shared_by(["sha256"], "duplicate_file_payload").unionByName(
+        shared_by(["symbol", "data_kind"], "duplicate_symbol_files")
+    )
+
+
+def quarantine(files: DataFrame, issues: DataFrame, file: str = "source_file") -> DataFrame:
+    """Normalization manifest: blocked files are set aside, tick files wait, the rest go on."""
+    blocked = issues.filter(F.col("severity").isin("critical", "high")).select(file).distinct()
+    held = files.join(blocked, file, "left_semi").withColumn("status", F.lit("quarantined"))
+    free = files.join(blocked, file, "left_anti").withColumn(
+        "status",
+        F.when(F.col("data_kind") == "minute_bars", "normalized").otherwise("deferred"),
+    )
+    return held.unionByName(free)
+
+
+def normalization_rejects(canonical: DataFrame) -> DataFrame:
+    """Counts of the reject rules on canonical bars, per source file."""
+    low = F.lit(False)
+    for p in PRICES:
+        low = low | (F.col(p) <= 0)
+    base = canonical.groupBy("source_file").agg(
+        F.count_if(low).alias("nonpositive_prices"),
+        F.count_if(F.col("volume") < 0).alias("negative_volume"),
+        (F.min("symbol") != F.max("symbol")).cast("int").alias("changed_identity"),
+    )
+    return base.join(
+        duplicate_rows(canonical, "source_file", ["symbol", "timestamp_utc"], "utc_collisions"),
+        "source_file",
+    )
+
+
+def null_if_all_zero(df: DataFrame, column: str, *key: str) -> DataFrame:
+    """A column that is zero on every row of the key is unavailable, hence NULL.
+
+    The flag is aggregated (map-side combined) and joined back, never windowed, so one key with
+    most of the rows does not land in one task.
+    """
+    flag = df.groupBy(*key).agg(
+        F.coalesce(F.max(F.abs(F.col(column))) == 0, F.lit(True)).alias("all_zero")
+    )
+    return (
+        df.join(flag, list(key))
+        .withColumn(column, F.when(~F.col("all_zero"), F.col(column)))
+        .drop("all_zero")
+    )

@@ -33,23 +33,31 @@ def order_panel_bars(spark, folder):
 
 @query(
     "strict_local_to_utc",
-    """SELECT event_id, epoch_us(u) AS utc_us,
-              timezone('America/New_York', timezone('UTC', u)) <> l AS nonexistent,
-              (timezone('America/New_York', timezone('UTC', u + INTERVAL 1 HOUR)) = l
-               OR timezone('America/New_York', timezone('UTC', u - INTERVAL 1 HOUR)) = l)
-                AS ambiguous
-       FROM (SELECT event_id, l, timezone('UTC', timezone('America/New_York', l)) AS u
-             FROM (SELECT event_id,
-                          date_trunc('minute', TIMESTAMP '2024-11-02 00:00:00'
-                          + (event_id % 2880) * INTERVAL 1 MINUTE) AS l FROM events))""",
+    """SELECT event_id, CASE WHEN NOT nonexistent AND NOT ambiguous THEN epoch_us(u) END AS utc_us,
+              nonexistent, ambiguous
+       FROM (SELECT event_id, u,
+                    timezone('America/New_York', timezone('UTC', u)) <> l AS nonexistent,
+                    (timezone('America/New_York', timezone('UTC', u + INTERVAL 1 HOUR)) = l
+                     OR timezone('America/New_York', timezone('UTC', u - INTERVAL 1 HOUR)) = l)
+                      AS ambiguous
+             FROM (SELECT event_id, l, timezone('UTC', timezone('America/New_York', l)) AS u
+                   FROM (SELECT event_id, CASE WHEN event_id % 2 = 0
+                                THEN TIMESTAMP '2024-11-02 00:00:00'
+                                ELSE TIMESTAMP '2024-03-09 00:00:00' END
+                                + (event_id % 2880) * INTERVAL 1 MINUTE AS l FROM events)))""",
 )
 def strict_local_to_utc(spark, folder):
-    start = F.lit("2024-11-02 00:00:00").cast("timestamp")
-    local = F.timestamp_seconds(F.unix_timestamp(start) + F.pmod("event_id", F.lit(2880)) * 60)
+    start = F.when(F.col("event_id") % 2 == 0, "2024-11-02 00:00:00").otherwise(
+        "2024-03-09 00:00:00"
+    )
+    local = F.timestamp_seconds(
+        F.unix_timestamp(start.cast("timestamp")) + F.pmod("event_id", F.lit(2880)) * 60
+    )
     parts = cal.strict_utc(local)
+    possible = ~parts["nonexistent"] & ~parts["ambiguous"]
     return src.table(spark, folder, "events").select(
         "event_id",
-        F.unix_micros(parts["utc"]).alias("utc_us"),
+        F.when(possible, F.unix_micros(parts["utc"])).alias("utc_us"),
         parts["nonexistent"].alias("nonexistent"),
         parts["ambiguous"].alias("ambiguous"),
     )
@@ -57,11 +65,11 @@ def strict_local_to_utc(spark, folder):
 
 @query(
     "contract_symbol_parts",
-    """SELECT root AS contract_root, code AS contract_month, contract_year,
+    """SELECT root AS root_symbol, code AS contract_month_code, contract_year,
               CAST(count(*) AS BIGINT) AS rows_seen
-       FROM (SELECT regexp_extract(s, '^([A-Z0-9]{1,4}?)([FGHJKMNQUVXZ])([0-9]{1,2})$', 1) root,
-                    regexp_extract(s, '^([A-Z0-9]{1,4}?)([FGHJKMNQUVXZ])([0-9]{1,2})$', 2) code,
-                    CAST(CASE WHEN length(d) = 2 THEN 2000 + CAST(d AS INTEGER)
+       FROM (SELECT substr(s, 1, length(s) - length(d) - 1) AS root,
+                    substr(s, length(s) - length(d), 1) AS code,
+                    CAST(CASE WHEN length(d) = 2 THEN CAST(d AS INTEGER)
                          WHEN 2020 + CAST(d AS INTEGER) < 2021 THEN 2030 + CAST(d AS INTEGER)
                          ELSE 2020 + CAST(d AS INTEGER) END AS INTEGER) AS contract_year
              FROM (SELECT *, regexp_extract(s, '([0-9]{1,2})$', 1) AS d
@@ -204,11 +212,11 @@ def plain_hour_bars(spark, folder):
 @query(
     "running_session_state",
     f"""SELECT symbol, epoch(timestamp_utc)::BIGINT AS ts, session_minute, time_quartile,
-        {r('mid', 'running_midpoint')}, {r('loc', 'range_location')},
+        {r('mid / close', 'midpoint_to_close')}, {r('loc', 'range_location')},
         CAST(CASE WHEN loc IS NOT NULL
              THEN least(greatest(ceil(least(greatest(loc, 0), 1) * 4), 1), 4) END AS INTEGER)
           AS range_quartile,
-        {r('vwap', 'running_vwap')}, {r('close / vwap - 1', 'vwap_deviation')},
+        {r('close / vwap - 1', 'vwap_deviation')},
         {r('close / session_open - 1', 'open_deviation')}, {r('r5', 'return_5m')},
         {r('span / session_open', 'running_range_fraction')}, cumulative_volume
         FROM (SELECT *, (hi + lo) / 2 AS mid, nullif(hi - lo, 0) AS span,
@@ -232,8 +240,8 @@ def running_session_state(spark, folder):
         out.select(
             "symbol", F.unix_timestamp("timestamp_utc").alias("ts"),
             F.col("session_minute").cast("long").alias("session_minute"), "time_quartile",
-            "running_midpoint", "range_location", "range_quartile", "running_vwap",
-            "vwap_deviation", "open_deviation", "return_5m", "running_range_fraction",
+            (F.col("running_midpoint") / F.col("close")).alias("midpoint_to_close"),
+            "range_location", "range_quartile", "vwap_deviation", "open_deviation", "return_5m", "running_range_fraction",
             "cumulative_volume",
         )
     )

@@ -22,9 +22,9 @@ LEDGER_COLUMNS = (
     "Close time", "Close price", "Profit/Loss", "Close type",
 )
 CANONICAL_COLUMNS = (
-    "symbol", "contract_root", "contract_month", "contract_year", "timestamp_utc",
-    "timestamp_local", "open", "high", "low", "close", "volume", "open_interest",
-    "source_file", "source_sha256",
+    "symbol", "root_symbol", "contract_month_code", "contract_year", "timestamp_local",
+    "timestamp_utc", "open", "high", "low", "close", "volume", "open_interest", "source_file",
+    "source_sha256",
 )
 
 HEADERLESS_MINUTE = strings("date", "time", "open", "high", "low", "close", "volume")
