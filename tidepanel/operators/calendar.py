@@ -233,6 +233,17 @@ def number_calendar(df: DataFrame, time: str, name: str = "cal") -> DataFrame:
     return df.join(times, time)
 
 
+def densify(df: DataFrame, key: str = "symbol", time: str = "trading_date", name: str = "cal") -> DataFrame:
+    """One row per key and calendar position, values NULL where the key did not print.
+
+    Used where a result is defined on every calendar row of every series (zero-filled returns).
+    The calendar is one sorted array from a scalar subquery, exploded per distinct key.
+    """
+    times = df.agg(F.array_sort(F.collect_set(time)).alias("times")).scalar()
+    grid = df.select(key).distinct().select(key, F.posexplode(times).alias(name, time))
+    return grid.withColumn(name, F.col(name) + 1).join(df, [key, time], "left")
+
+
 def in_session_lag(x: str | Column, order: str = "timestamp_utc", k: int = 1) -> Column:
     """Value k bars back when that bar belongs to the same session."""
     w = Window.partitionBy("symbol", "trading_date").orderBy(order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import frames
 from tidepanel.functions.scalars import clip, complete, ratio
 from tidepanel.operators.calendar import number_calendar
-from tidepanel.operators.smoothing import ema
+from tidepanel.operators.smoothing import emas
 from tidepanel.schema import require_columns
 
 KEY, ORDER = "symbol", "trading_date"
@@ -145,8 +145,9 @@ EMA_SPANS = (5, 10, 20, 30, 60, 120)
 
 
 def ema_features(df: DataFrame) -> DataFrame:
-    for n in EMA_SPANS:
-        df = ema(df, f"ema_{n}", "close", KEY, ORDER, span=n, least=n)
+    df = emas(
+        df, {f"ema_{n}": ("close", 2.0 / (n + 1.0), n) for n in EMA_SPANS}, KEY, ORDER
+    )
     out = {
         "ema_gap_5_20s": F.col("ema_5") / F.col("ema_20") - 1.0,
         "ema_gap_10_60s": F.col("ema_10") / F.col("ema_60") - 1.0,
@@ -247,19 +248,36 @@ EMA_COLUMNS = (
 )
 
 
-def session_features(panel: DataFrame) -> DataFrame:
-    """The full feature table with a completeness flag."""
+FAMILIES = ("return", "structure", "ema", "peer")
+
+
+def session_features(panel: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """The feature table with a completeness flag; ask only for the families in use."""
     df = with_inputs(panel)
-    own = {**return_features(), **structure_features()}
-    df = df.withColumns(own)
-    df = df.withColumn(
-        "trend_slope_acceleration_20s", F.col("trend_slope_20s") - lag("trend_slope_20s", 5)
-    )
-    df = peer_features(ema_features(df))
-    names = [
-        "log_return_1s", "range_fraction", "log_volume", *own, "trend_slope_acceleration_20s",
-        *EMA_COLUMNS, *PEER_COLUMNS,
-    ]
+    names = ["log_return_1s"]
+    own: dict[str, Column] = {}
+    if "return" in families:
+        names += ["range_fraction", "log_volume"]
+        own.update(return_features())
+    if "structure" in families:
+        own.update(structure_features())
+    if own:
+        df = df.withColumns(own)
+        names += list(own)
+    if "structure" in families:
+        base = "trend_slope_20s" if "return" in families else "__slope"
+        if base == "__slope":
+            df = df.withColumn(base, ratio(slope("close", 20), R(20).mean("close")))
+        df = df.withColumn(
+            "trend_slope_acceleration_20s", F.col(base) - lag(base, 5)
+        )
+        names.append("trend_slope_acceleration_20s")
+    if "ema" in families:
+        df = ema_features(df)
+        names += EMA_COLUMNS
+    if "peer" in families:
+        df = peer_features(df)
+        names += PEER_COLUMNS
     return df.select(
         KEY, ORDER, F.col("session_close_utc").alias("feature_available_at_utc"), *names
     ).withColumn("feature_set_complete", complete(names))

@@ -20,22 +20,16 @@ def robust_scale(
 ) -> DataFrame:
     """Winsorize to earlier quantiles, centre on the earlier median, divide by the earlier IQR.
 
-    Rows go long so that the partition key is (symbol, feature): the growing-frame percentile
-    is the one expensive step, and it then spreads over features as well as symbols.
+    Rows go long, so the groups are (symbol, feature) and spread over features as well.
     """
     long = features.unpivot([KEY, ORDER], names, "feature", "x")
-    f = frames.before([KEY, "feature"], ORDER, least)
-    q = F.percentile(
-        F.col("x"), F.array(*[F.lit(p) for p in (low, 0.25, 0.5, 0.75, high)])
-    ).over(f.window)
-    long = long.withColumns(
-        {"q": F.when(f.count("x") >= least, q), "deviation": f.std("x")}
-    )
-    iqr = F.col("q")[3] - F.col("q")[1]
-    scale = F.when(iqr != 0, iqr).otherwise(F.col("deviation"))
-    bounded = F.greatest(F.least("x", F.col("q")[4]), F.col("q")[0])
+    quantiles = {"q_low": low, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q_high": high}
+    long = earlier_quantiles(long, [KEY, "feature"], ORDER, "x", quantiles, least)
+    iqr = F.col("q75") - F.col("q25")
+    scale = F.when(iqr != 0, iqr).otherwise(F.col("earlier_std"))
+    bounded = F.greatest(F.least("x", "q_high"), "q_low")
     value = F.when(
-        F.col("x").isNotNull() & F.col("q").isNotNull(), ratio(bounded - F.col("q")[2], scale)
+        F.col("x").isNotNull() & F.col("q50").isNotNull(), ratio(bounded - F.col("q50"), scale)
     )
     wide = (
         long.select(KEY, ORDER, "feature", value.alias("value"))
@@ -46,6 +40,31 @@ def robust_scale(
     return wide.withColumn("model_row_complete", complete(names))
 
 
+def earlier_quantiles(
+    df: DataFrame, keys: list[str], order: str, x: str, quantiles: dict[str, float], least: int
+) -> DataFrame:
+    """Quantiles and deviation of all strictly earlier values of the key.
+
+    ``percentile`` over a growing frame sorts the whole history for every row.  The grouped
+    pandas form keeps a sorted structure instead (n log n); a group is one series on the session
+    calendar, so its size is bounded by the number of sessions.
+    """
+    slim = df.select(*keys, order, x)
+    fields = [f"{k} {slim.schema[k].dataType.simpleString()}" for k in [*keys, order, x]]
+    out = ", ".join([*fields, *[f"{n} double" for n in quantiles], "earlier_std double"])
+
+    def run(pdf):
+        pdf = pdf.sort_values(order, ignore_index=True)
+        values = pdf[x].astype(float)
+        history = values.expanding(min_periods=least)
+        for name, q in quantiles.items():
+            pdf[name] = history.quantile(q).shift(1)
+        pdf["earlier_std"] = history.std().shift(1)
+        return pdf
+
+    return slim.groupBy(*keys).applyInPandas(run, out)
+
+
 def feature_registry(
     metadata: DataFrame, redundant: DataFrame, drops: DataFrame
 ) -> DataFrame:
@@ -139,24 +158,42 @@ def fold_of_session(
 
 
 def training_folds(
-    df: DataFrame, folds: DataFrame, available: str | None = None
+    df: DataFrame,
+    sessions: DataFrame,
+    available: str | None = None,
+    train: int = 504,
+    validation: int = 63,
+    embargo: int = 5,
 ) -> DataFrame:
     """Fan a row out to every fold that may train on it.
 
     A row trains fold f when its session is not after the fold's train end and, with
-    ``available``, its label was known before the day after it.  Fold cut-offs grow with the
-    fold number, so the first admissible fold is a search in the sorted array of cut-offs and
-    the fan-out is a sequence; no inequality join is planned.
+    ``available``, its label was known by the end of that day.  Fold f ends its training at
+    session ``train + (f-1) * validation - 1``, so the first admissible fold is arithmetic on
+    the session number: one equi-join on the date and a sequence, no inequality join.
     """
     known = F.col(ORDER)
     if available is not None:
         known = F.greatest(known, F.to_date(available))
-    ends = folds.agg(
-        F.array_sort(F.collect_list(F.struct("train_end", "fold"))).alias("ends")
-    ).scalar()
-    keep = F.filter(ends, lambda e: e["train_end"] >= known)
-    out = df if available is None else df.filter(F.col(available).isNotNull())
-    return out.withColumn("fold", F.explode(F.transform(keep, lambda e: e["fold"])))
+        df = df.filter(F.col(available).isNotNull())
+    calendar = sessions.select(F.col(ORDER).alias("known")).distinct()
+    calendar = calendar.select(
+        "known",
+        (F.row_number().over(Window.orderBy("known")) - 1).alias("n"),
+        F.count(F.lit(1)).over(Window.partitionBy()).alias("total"),
+    )
+    first = F.greatest(F.ceil((F.col("n") - (train - 1)) / validation) + 1, F.lit(1))
+    last = F.ceil((F.col("total") - (train + embargo)) / validation)
+    calendar = calendar.select(
+        "known", F.when(first <= last, F.sequence(first, last)).alias("fold")
+    )
+    return (
+        df.withColumn("known", known)
+        .join(calendar, "known")
+        .drop("known")
+        .withColumn("fold", F.explode("fold"))
+        .withColumn("fold", F.col("fold").cast("int"))
+    )
 
 
 def holdout_split(sessions: DataFrame, months: int = 12, minimum: int = 6, embargo_days: int = 5) -> DataFrame:

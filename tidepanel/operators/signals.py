@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepanel.functions import frames
+from tidepanel.functions.scalars import clip, ratio
 from tidepanel.operators import calendar as cal
 
 
@@ -19,3 +21,67 @@ def clock_masks(utc: str) -> dict[str, Column]:
         "open_30": (m >= half_nine) & (m < 10 * 60),
         "target": (m >= 10 * 60) & (m < 16 * 60),
     }
+
+
+# --- session grid ------------------------------------------------------------------------
+
+# The session grid.
+SESSION_FAMILIES = ("session_momentum", "session_reversal")
+SESSION_LOOKBACKS = (1, 2, 3, 5, 10, 20, 40, 60)
+SESSION_THRESHOLDS = (0.0, 0.5, 1.0, 1.5)
+
+
+def session_scores(panel):
+    """Trailing session return over its earlier risk, one column per lookback."""
+    x = F.col("session_return")
+    out = {}
+    for n in SESSION_LOOKBACKS:
+        trailing = frames.steps("symbol", "cal", n).sum(x)
+        risk = frames.steps("symbol", "cal", max(20, 2 * n), 20, end=-1).std(x)
+        out[f"score_{n}"] = clip(ratio(trailing, risk * float(n) ** 0.5), -8.0, 8.0)
+    return panel.withColumns(out)
+
+
+def session_grid_returns(panel, one_way_bps: float):
+    """Every rule of the grid on every session: position from the previous session's score.
+
+    ``panel`` is the dense (symbol, cal) panel with ``session_return``.  Scores are computed
+    once per lookback; families and thresholds are exploded from literals afterwards.
+    """
+    w = frames.ordered("symbol", "cal")
+    scored = session_scores(panel)
+    prior = [
+        F.struct(F.lit(n).alias("lookback"), F.lag(f"score_{n}").over(w).alias("observed"))
+        for n in SESSION_LOOKBACKS
+    ]
+    long = scored.select(
+        "symbol", "trading_date", F.coalesce("session_return", F.lit(0.0)).alias("target"),
+        F.array(*prior).alias("prior"),
+    )
+    long = long.select("symbol", "trading_date", "target", F.inline("prior"))
+    rules = F.array(
+        *[
+            F.struct(F.lit(f).alias("family"), F.lit(s).alias("side"), F.lit(t).alias("threshold"))
+            for f, s in zip(SESSION_FAMILIES, (1.0, -1.0))
+            for t in SESSION_THRESHOLDS
+        ]
+    )
+    long = long.select("*", F.inline(rules))
+    position = F.coalesce(
+        F.when(F.abs("observed") >= F.col("threshold"), F.signum(F.col("side") * F.col("observed"))),
+        F.lit(0.0),
+    )
+    out = long.withColumn("position", position).withColumns(
+        {
+            "gross": F.col("position") * F.col("target"),
+            "sides": F.abs("position") * 2.0,
+            "entries": (F.col("position") != 0).cast("int"),
+            "strategy": F.concat_ws(
+                "|", "symbol", "family", F.col("lookback").cast("string"),
+                F.format_number("threshold", 1),
+            ),
+        }
+    )
+    return out.withColumn("net", F.col("gross") - F.col("sides") * one_way_bps / 10_000.0).drop(
+        "target", "observed", "side"
+    )

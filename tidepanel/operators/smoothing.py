@@ -11,56 +11,78 @@ from tidepanel.functions.frames import ordered
 from tidepanel.functions.scalars import col
 
 
-def ema(
+def emas(
     df: DataFrame,
-    name: str,
-    x: str | Column,
+    wanted: dict[str, tuple[str | Column, float, int]],
     key: str,
     order: str,
-    *,
-    span: int | None = None,
-    alpha: float | None = None,
-    least: int = 1,
 ) -> DataFrame:
-    """y = (1-a) y[-1] + a x seeded with the first value, as scaled prefix sums.
+    """Several averages y = (1-a) y[-1] + a x, seeded with the first value, in three windows.
 
-    Rows are cut into blocks so short that the weight (1-a)^-i stays near 1e6 inside one and
-    decays to 1e-6 across one.  A value is its block's prefix sum plus what the three previous
-    blocks ended with; anything older weighs less than 1e-18.  No Python, no recursion.
+    ``wanted`` maps a name to (input, a, least rows).  Rows are cut into blocks short enough
+    that (1-a)^-i stays inside double range, so a value is its block's scaled prefix sum plus
+    what earlier blocks ended with.  Blocks older than the ones kept weigh less than 1e-18.
+    No Python and no recursion; all averages share the row numbering, the prefix-sum window and
+    the carry window.
     """
-    a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    q = 1.0 - a
-    size = max(2, math.ceil(6.0 * math.log(10.0) / -math.log(q)))
-    decay = q**size
-    t = f"__{name}"
+    keep = {n: 1.0 - a for n, (_, a, _) in wanted.items()}
+    fast, slow = min(keep.values()), max(keep.values())
+    size = max(2, min(4096, int(200.0 * math.log(10.0) / -math.log(max(fast, 1e-30)))))
+    back = max(1, math.ceil(18.0 * math.log(10.0) / (-math.log(slow) * size)))
     w = ordered(key, order)
-    df = df.withColumn(f"{t}_rn", F.row_number().over(w) - 1)
+    df = df.withColumn("__rn", F.row_number().over(w) - 1)
+    rn = F.col("__rn")
     df = df.withColumns(
-        {
-            f"{t}_block": F.floor(F.col(f"{t}_rn") / size).cast("int"),
-            f"{t}_pos": (F.col(f"{t}_rn") % size).cast("double"),
-            f"{t}_x": col(x) * F.when(F.col(f"{t}_rn") == 0, 1.0).otherwise(a),
-        }
+        {"__block": F.floor(rn / size).cast("int"), "__pos": (rn % size).cast("double")}
     )
+    pos = F.col("__pos")
     inside = (
-        Window.partitionBy(key, f"{t}_block")
+        Window.partitionBy(key, "__block")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    pos = F.col(f"{t}_pos")
+    prefix = {}
+    for n, (x, a, _) in wanted.items():
+        weight = F.when(rn == 0, 1.0).otherwise(a)
+        scaled = col(x) * weight * F.pow(F.lit(keep[n]), -pos)
+        prefix[f"__c_{n}"] = F.pow(F.lit(keep[n]), pos) * F.sum(scaled).over(inside)
+    df = df.withColumns(prefix)
+    end = F.struct(F.col("__block").alias("b"), *[F.col(c) for c in prefix])
+    frame = Window.partitionBy(key).orderBy(F.col("__block")).rangeBetween(-back, -1)
     df = df.withColumn(
-        f"{t}_c", F.pow(F.lit(q), pos) * F.sum(F.col(f"{t}_x") * F.pow(F.lit(q), -pos)).over(inside)
+        "__ends", F.collect_list(F.when(pos == size - 1, end)).over(frame)
     )
-    end = F.when(pos == size - 1, F.col(f"{t}_c"))
+    out = {}
+    for n, (_, _, least) in wanted.items():
+        carried = F.aggregate("__ends", F.lit(0.0), _decayed(f"__c_{n}", keep[n], size))
+        value = F.col(f"__c_{n}") + F.pow(F.lit(keep[n]), pos + 1.0) * carried
+        out[n] = F.when(rn >= least - 1, value)
+    return df.withColumns(out).drop("__rn", "__block", "__pos", "__ends", *prefix)
+
+
+def _decayed(column: str, q: float, size: int):
+    """Fold step adding one block end, decayed by the blocks since."""
+
+    def step(total: Column, block_end: Column) -> Column:
+        gap = (F.col("__block") - 1 - block_end["b"]) * float(size)
+        return total + block_end[column] * F.pow(F.lit(q), gap)
+
+    return step
 
-    def block_end(back: int) -> Column:
-        frame = Window.partitionBy(key).orderBy(F.col(f"{t}_block")).rangeBetween(-back, -back)
-        return F.coalesce(F.max(end).over(frame), F.lit(0.0))
 
-    carried = block_end(1) + decay * block_end(2) + decay * decay * block_end(3)
-    value = F.col(f"{t}_c") + F.pow(F.lit(q), pos + 1.0) * carried
-    df = df.withColumn(name, F.when(F.col(f"{t}_rn") >= least - 1, value))
-    return df.drop(*[f"{t}_{s}" for s in ("rn", "block", "pos", "x", "c")])
+def ema(
+    df: DataFrame,
+    name: str,
+    x: str | Column,
+    key: str,
+    order: str,
+    *,
+    span: int | None = None,
+    alpha: float | None = None,
+    least: int = 1,
+) -> DataFrame:
+    a = alpha if alpha is not None else 2.0 / (span + 1.0)
+    return emas(df, {name: (x, a, least)}, key, order)
 
 
 def tema(df: DataFrame, name: str, x: str, key: str, order: str, period: int) -> DataFrame:
@@ -77,8 +99,8 @@ def macd_signal(
     df: DataFrame, name: str, x: str, key: str, order: str, fast: int, slow: int, smooth: int
 ) -> DataFrame:
     f, s, d = (f"__{name}_{i}" for i in ("fast", "slow", "gap"))
-    df = ema(df, f, x, key, order, span=fast)
-    df = ema(df, s, x, key, order, span=slow)
+    wanted = {f: (x, 2.0 / (fast + 1.0), 1), s: (x, 2.0 / (slow + 1.0), 1)}
+    df = emas(df, wanted, key, order)
     df = df.withColumn(d, F.col(f) - F.col(s))
     return ema(df, name, d, key, order, span=smooth).drop(f, s, d)
 

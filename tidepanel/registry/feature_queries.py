@@ -197,8 +197,8 @@ GROUPS = {
 ALL_FEATURES = [n for names in GROUPS.values() for n in names]
 
 
-def features(spark, folder):
-    return X.session_features(src.session_panel(spark, folder))
+def features(spark, folder, families=X.FAMILIES):
+    return X.session_features(src.session_panel(spark, folder), families)
 
 
 def _group_query(name, columns):
@@ -207,7 +207,8 @@ def _group_query(name, columns):
         "SELECT symbol, trading_date, " + ", ".join(r(c, c) for c in columns) + " FROM t_feat",
     )
     def run(spark, folder):
-        return tidy(features(spark, folder).select("symbol", "trading_date", *columns))
+        family = (name.removesuffix("_features"),)
+        return tidy(features(spark, folder, family).select("symbol", "trading_date", *columns))
 
 
 for _name, _columns in GROUPS.items():
@@ -282,7 +283,7 @@ def tape_pace_features(spark, folder):
 )
 def feature_assembly(spark, folder):
     panel = src.session_panel(spark, folder)
-    base = X.session_features(panel).select(
+    base = X.session_features(panel, ("return",)).select(
         "symbol", "trading_date", "feature_available_at_utc", "log_return_1s", "momentum_20s"
     )
     a = panel.filter("observations > 1").select(
