@@ -429,14 +429,16 @@ def ledger_sharpes(daily: DataFrame, capital: float) -> DataFrame:
     )
 
 
-def trade_drawdown(trades: DataFrame, capital: float, slice_width: int = 1_000_000) -> DataFrame:
+def trade_drawdown(
+    trades: DataFrame, capital: float, slice_width: int = 1_000_000, sliced_by: str = "ticket"
+) -> DataFrame:
     """Worst drop of trade-by-trade equity in (close time, strategy, ticket) order.
 
     Running totals are two-level: inside slices of (day, strategy, ticket range) and over the
     slice totals.  A day or strategy that holds most trades is still many slices, and only one
     row per slice reaches the ordered pass.
     """
-    part = F.floor(F.col("ticket") / slice_width)
+    part = F.floor(F.col(sliced_by) / slice_width)
     keys = ["close_time", "strategy", "part"]
     df = trades.withColumn("part", part)
     run = (
@@ -459,9 +461,7 @@ def trade_drawdown(trades: DataFrame, capital: float, slice_width: int = 1_000_0
     worst = F.least(
         F.col("drop"), F.col("offset") + F.col("bottom") - F.col("peak_before")
     )
-    return slices.agg(F.min(worst).alias("trade_max_drawdown"), F.count(F.lit(1)).alias("slices")).select(
-        "trade_max_drawdown"
-    )
+    return slices.agg(F.min(worst).alias("trade_max_drawdown"))
 
 
 def ledger_monthly(daily: DataFrame) -> DataFrame:
@@ -490,18 +490,26 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], bins: int
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c"))
     histogram = histogram.withColumn("upto", F.sum("c").over(w))
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    asked = F.array(
+        *[
+            F.struct(F.lit(float(p)).alias("p"), ((span["n"] - 1) * float(p)).alias("h"))
+            for p in probabilities
+        ]
+    )
     asked = (
-        value.agg(F.count("v").alias("n"))
-        .withColumn("probability", F.explode(wanted))
-        .withColumn("h", (F.col("n") - 1) * F.col("probability"))
+        value.sparkSession.range(1)
+        .select(F.inline(asked).alias("probability", "h"))
         .withColumn("rank", F.explode(F.array(F.floor("h"), F.ceil("h"))))
         .distinct()
     )
-    needed = histogram.join(
-        asked.select("rank").distinct(),
-        (F.col("rank") >= F.col("upto") - F.col("c")) & (F.col("rank") < F.col("upto")),
-    ).select("bin", "rank", (F.col("upto") - F.col("c")).alias("before"))
+    ranks = F.array(
+        *[f((span["n"] - 1) * float(p)) for p in probabilities for f in (F.floor, F.ceil)]
+    )
+    needed = (
+        histogram.withColumn("rank", F.explode(F.array_distinct(ranks)))
+        .filter((F.col("rank") >= F.col("upto") - F.col("c")) & (F.col("rank") < F.col("upto")))
+        .select("bin", "rank", (F.col("upto") - F.col("c")).alias("before"))
+    )
     values = (
         binned.join(needed.select("bin").distinct(), "bin", "left_semi")
         .groupBy("bin", "v")

@@ -198,7 +198,7 @@ ALL_FEATURES = [n for names in GROUPS.values() for n in names]
 
 
 def features(spark, folder, families=X.FAMILIES):
-    return X.session_features(src.session_panel(spark, folder), families)
+    return X.session_features(src.settled_panel(spark, folder), families)
 
 
 def _group_query(name, columns):

@@ -33,11 +33,15 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; a test session gets its own."""
+    """Checkpoint a table that several branches of a plan read, so its inputs are scanned once.
+
+    The files go to the shared folder the cluster names, so a lost executor re-reads them instead
+    of redoing the scan.  Only a local session without that setting gets a folder of its own.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get(CHECKPOINT_KEY)
+        folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators import calendar as cal
+from tidepanel.session import cut_lineage
 
 TICK_BITS = 21
 TICK_MASK = (1 << TICK_BITS) - 1
@@ -98,6 +99,15 @@ def session_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def settled_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The session panel, checkpointed: for plans that read it along several branches."""
+    return cut_lineage(session_panel(spark, folder))
+
+
+def settled_bars(spark: SparkSession, folder: str, minutes: int) -> DataFrame:
+    return cut_lineage(clock_bars(spark, folder, minutes))
+
+
 def order_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Thin second panel: order priority as symbol, total price as price."""
     ticks = tick_count(F.col("o_totalprice"))
