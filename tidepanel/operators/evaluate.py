@@ -479,34 +479,26 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], bins: int
     collapses them to (value, count) and numbers those.  One output row per probability.
     """
     value = df.select(F.col(x).cast("double").alias("v")).filter("v IS NOT NULL")
-    span = value.agg(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).alias("s")
-    ).scalar()
-    width = F.when(span["hi"] > span["lo"], (span["hi"] - span["lo"]) / bins)
-    bucket = F.coalesce(
-        F.least(F.floor((F.col("v") - span["lo"]) / width), F.lit(bins - 1)), F.lit(0)
+    lo, hi, n = value.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    spark = value.sparkSession
+    if n == 0:
+        return spark.createDataFrame([], "probability double, quantile double")
+    width = (hi - lo) / bins
+    bucket = (
+        F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
     )
     binned = value.withColumn("bin", bucket)
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = histogram.withColumn("upto", F.sum("c").over(w))
-    asked = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("p"), ((span["n"] - 1) * float(p)).alias("h"))
-            for p in probabilities
-        ]
-    )
-    asked = (
-        value.sparkSession.range(1)
-        .select(F.inline(asked).alias("probability", "h"))
-        .withColumn("rank", F.explode(F.array(F.floor("h"), F.ceil("h"))))
-        .distinct()
-    )
-    ranks = F.array(
-        *[f((span["n"] - 1) * float(p)) for p in probabilities for f in (F.floor, F.ceil)]
+    spots = [(float(p), (n - 1) * float(p)) for p in probabilities]
+    asked = spark.createDataFrame(
+        [(p, h, rank) for p, h in spots for rank in {math.floor(h), math.ceil(h)}],
+        "probability double, h double, rank long",
     )
+    ranks = sorted({f(h) for _, h in spots for f in (math.floor, math.ceil)})
     needed = (
-        histogram.withColumn("rank", F.explode(F.array_distinct(ranks)))
+        histogram.withColumn("rank", F.explode(F.array(*[F.lit(k).cast("long") for k in ranks])))
         .filter((F.col("rank") >= F.col("upto") - F.col("c")) & (F.col("rank") < F.col("upto")))
         .select("bin", "rank", (F.col("upto") - F.col("c")).alias("before"))
     )
@@ -515,9 +507,7 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], bins: int
         .groupBy("bin", "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    inside = (
-        Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("upto", F.sum("c").over(inside))
     at = values.join(needed, "bin").filter(
         (F.col("rank") - F.col("before") >= F.col("upto") - F.col("c"))
@@ -534,20 +524,18 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], bins: int
 def histogram(df: DataFrame, x: str, bins: int = 24, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Counts in equal bins between two quantiles; outliers clip into the end bins and the last
     bin is closed."""
-    edges = exact_quantiles(df, x, [low, high]).agg(
-        F.struct(F.min("quantile").alias("lo"), F.max("quantile").alias("hi")).alias("e")
-    ).scalar()
-    step = (edges["hi"] - edges["lo"]) / bins
-    v = F.greatest(F.least(F.col(x), edges["hi"]), edges["lo"])
-    bucket = F.least(F.floor((v - edges["lo"]) / step), F.lit(bins - 1)).cast("int")
+    lo, hi = exact_quantiles(df, x, [low, high]).agg(F.min("quantile"), F.max("quantile")).first()
+    step = (hi - lo) / bins
+    v = F.greatest(F.least(F.col(x), F.lit(hi)), F.lit(lo))
+    bucket = F.least(F.floor((v - lo) / step), F.lit(bins - 1)).cast("int")
     counts = df.filter(F.col(x).isNotNull()).groupBy(bucket.alias("bin")).agg(
         F.count(F.lit(1)).alias("trade_count")
     )
     return counts.select(
         "bin",
         "trade_count",
-        (edges["lo"] + F.col("bin") * step).alias("bin_start"),
-        (edges["lo"] + (F.col("bin") + 1) * step).alias("bin_end"),
+        (lo + F.col("bin") * step).alias("bin_start"),
+        (lo + (F.col("bin") + 1) * step).alias("bin_end"),
     )
 
 

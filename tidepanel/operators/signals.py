@@ -31,28 +31,30 @@ SESSION_LOOKBACKS = (1, 2, 3, 5, 10, 20, 40, 60)
 SESSION_THRESHOLDS = (0.0, 0.5, 1.0, 1.5)
 
 
-def session_scores(panel):
+def session_scores(panel, lookbacks=SESSION_LOOKBACKS):
     """Trailing session return over its earlier risk, one column per lookback."""
     x = F.col("session_return")
     out = {}
-    for n in SESSION_LOOKBACKS:
+    for n in lookbacks:
         trailing = frames.steps("symbol", "cal", n).sum(x)
         risk = frames.steps("symbol", "cal", max(20, 2 * n), 20, end=-1).std(x)
         out[f"score_{n}"] = clip(ratio(trailing, risk * float(n) ** 0.5), -8.0, 8.0)
     return panel.withColumns(out)
 
 
-def session_grid_returns(panel, one_way_bps: float):
+def session_grid_returns(
+    panel, one_way_bps: float, lookbacks=SESSION_LOOKBACKS, thresholds=SESSION_THRESHOLDS
+):
     """Every rule of the grid on every session: position from the previous session's score.
 
     ``panel`` is the dense (symbol, cal) panel with ``session_return``.  Scores are computed
     once per lookback; families and thresholds are exploded from literals afterwards.
     """
     w = frames.ordered("symbol", "cal")
-    scored = session_scores(panel)
+    scored = session_scores(panel, lookbacks)
     prior = [
         F.struct(F.lit(n).alias("lookback"), F.lag(f"score_{n}").over(w).alias("observed"))
-        for n in SESSION_LOOKBACKS
+        for n in lookbacks
     ]
     long = scored.select(
         "symbol", "trading_date", F.coalesce("session_return", F.lit(0.0)).alias("target"),
@@ -63,7 +65,7 @@ def session_grid_returns(panel, one_way_bps: float):
         *[
             F.struct(F.lit(f).alias("family"), F.lit(s).alias("side"), F.lit(t).alias("threshold"))
             for f, s in zip(SESSION_FAMILIES, (1.0, -1.0))
-            for t in SESSION_THRESHOLDS
+            for t in thresholds
         ]
     )
     long = long.select("*", F.inline(rules))

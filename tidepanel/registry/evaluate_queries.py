@@ -28,7 +28,7 @@ def grid(spark, folder, bps=1.0):
 
 def few(spark, folder, bps=1.0):
     """The two-session, threshold 0.5 rules: 12 full-length return series."""
-    return grid(spark, folder, bps).filter("lookback = 2 AND threshold = 0.5")
+    return N.session_grid_returns(dense_panel(spark, folder), bps, (2,), (0.5,))
 
 
 shared(

@@ -99,6 +99,12 @@ def session_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def week_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Session panel whose sessions are calendar weeks: every symbol prints in each of them."""
+    weekly = quotes(spark, folder).withColumn("trading_date", F.trunc("trading_date", "week"))
+    return session_bars(weekly, "symbol", "trading_date")
+
+
 def settled_panel(spark: SparkSession, folder: str) -> DataFrame:
     """The session panel, checkpointed: for plans that read it along several branches."""
     return cut_lineage(session_panel(spark, folder))
