@@ -437,3 +437,81 @@ def dollar_change(bars: DataFrame, instruments: DataFrame, contracts: Column) ->
     return bars.withColumn("change", change).join(instruments, SYMBOL, "left").withColumn(
         "dollar_pnl", F.col("change") * F.col("multiplier") * contracts
     )
+
+
+SESSION_MINUTES = 23 * 60
+
+
+def minute_weights(df: DataFrame, signal: str, every: int = 15, limit: float = 0.25) -> DataFrame:
+    """Minute targets: risk-scaled signals balanced per timestamp, reset on rebalance minutes.
+
+    Between rebalances a symbol keeps its last target.  A weight is held only on a row exactly
+    one minute after the row that decided it, in the same session.
+    """
+    w = frames.ordered(SYMBOL, "timestamp_utc")
+    risk = frames.rows(SYMBOL, "timestamp_utc", 240, 120).std("return_1m")
+    df = df.withColumn("risk_score", ratio(signal, risk))
+    at = Window.partitionBy("timestamp_utc")
+    x = F.col("risk_score")
+    long0 = F.sum(F.greatest(x, F.lit(0.0))).over(at)
+    short0 = F.sum(-F.least(x, F.lit(0.0))).over(at)
+    one_sided = (F.coalesce(long0, F.lit(0.0)) == 0) | (F.coalesce(short0, F.lit(0.0)) == 0)
+    centred = x - F.percentile(x, F.lit(0.5)).over(at)
+    df = df.withColumn("working", F.when(one_sided, centred).otherwise(x))
+    up = F.when(F.col("working").isNotNull(), F.greatest("working", F.lit(0.0)))
+    down = F.when(F.col("working").isNotNull(), -F.least("working", F.lit(0.0)))
+    long_total = F.sum(up).over(at)
+    short_total = F.sum(down).over(at)
+    long_total = F.when(long_total != 0, long_total)
+    short_total = F.when(short_total != 0, short_total)
+    net = clip((long_total - short_total) / (long_total + short_total), -limit, limit)
+    target = (1.0 + net) / 2.0 * up / long_total - (1.0 - net) / 2.0 * down / short_total
+    rebalance = (F.col("session_minute") % every == 0) | (
+        F.col("session_minute") >= SESSION_MINUTES - 5
+    )
+    df = df.withColumn("decided", F.when(rebalance, F.coalesce(target, F.lit(0.0))))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(
+        "target_weight", F.coalesce(F.last("decided", ignorenulls=True).over(run), F.lit(0.0))
+    )
+    step = F.unix_timestamp("timestamp_utc") - F.unix_timestamp(F.lag("timestamp_utc").over(w))
+    adjacent = (step == 60) & (F.lag(DATE).over(w) == F.col(DATE))
+    held = F.when(adjacent, F.lag("target_weight").over(w))
+    return df.withColumn("implemented_weight", F.coalesce(held, F.lit(0.0))).drop(
+        "risk_score", "working", "decided"
+    )
+
+
+def volatility_scaled_daily(df: DataFrame, bps: float = 3.5, target: float = 0.10, history: int = 20) -> DataFrame:
+    """Daily gross, turnover, cost and exposure of minute weights scaled by earlier volatility.
+
+    The drawdown feedback of a path-dependent simulation is left out on purpose.
+    """
+    gross = F.col("implemented_weight") * F.coalesce("return_1m", F.lit(0.0))
+    base = df.groupBy(DATE).agg(F.sum(gross).alias("base"))
+    w = Window.orderBy(DATE).rowsBetween(-history, -1)
+    prior = F.when(F.count("base").over(w) >= history, F.stddev_samp("base").over(w)) * 252.0**0.5
+    scale = base.select(
+        DATE, F.coalesce(clip(ratio(F.lit(target), prior), 0.25, 2.0), F.lit(1.0)).alias("risk_scale")
+    )
+    df = df.join(scale, DATE).withColumn(
+        "actual", F.col("implemented_weight") * F.col("risk_scale")
+    )
+    run = frames.ordered(SYMBOL, "timestamp_utc")
+    df = df.withColumn(
+        "turn", F.abs(F.col("actual") - F.coalesce(F.lag("actual").over(run), F.lit(0.0))) / 2.0
+    )
+    per_minute = df.groupBy(DATE, "timestamp_utc").agg(
+        F.sum(F.col("actual") * F.coalesce("return_1m", F.lit(0.0))).alias("g"),
+        F.sum("turn").alias("t"),
+        F.sum(F.abs("actual")).alias("e"),
+    )
+    return (
+        per_minute.groupBy(DATE)
+        .agg(
+            F.sum("g").alias("gross_return"), F.sum("t").alias("turnover"),
+            F.avg("e").alias("gross_exposure"),
+        )
+        .withColumn("cost", F.col("turnover") * bps / 10_000.0)
+        .withColumn("net_return", F.col("gross_return") - F.col("cost"))
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,19 +33,31 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names; only a local session without one gets its own."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current is not None:
+        return current
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint a table that several branches of a plan read, so its inputs are scanned once.
 
-    The files go to the shared folder the cluster names, so a lost executor re-reads them instead
-    of redoing the scan.  Only a local session without that setting gets a folder of its own.
+    The files live in the shared folder, so a lost executor re-reads them instead of redoing
+    the scan.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder for a table a job writes and reads back."""
+    return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
