@@ -62,4 +62,4 @@ def query(name: str, sql: str | None = None):
 
 
 def r(expr: str, alias: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias}"

@@ -262,7 +262,7 @@ def unique_key_merge(spark, folder):
                     WHEN symbol IN (SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part WHERE p_type <> 'PROMO') THEN symbol END AS root
              FROM (SELECT symbol, regexp_extract(symbol, '[FGHJKMNQUVXZ]([0-9]{1,2})$', 1) AS digits
                    FROM (SELECT CASE WHEN p_size % 2 = 0 THEN upper(substr(p_type, 1, 2)) ELSE upper(substr(p_type, 1, 2)) || 'U' || CAST(p_size % 30 AS VARCHAR) END AS symbol FROM part))) s
-       LEFT JOIN (SELECT upper(substr(p_type, 1, 2)) AS root, CAST(max(p_size) AS DOUBLE) AS multiplier, max(p_size) * 0.25 AS tick_value
+       LEFT JOIN (SELECT upper(substr(p_type, 1, 2)) AS root, CAST(max(p_size) AS DOUBLE) AS multiplier, CAST(max(p_size) * 0.25 AS DOUBLE) AS tick_value
                   FROM part WHERE p_type <> 'PROMO' GROUP BY 1) d USING (root)""",
 )
 def instrument_reconcile(spark, folder):
