@@ -442,14 +442,16 @@ def dollar_change(bars: DataFrame, instruments: DataFrame, contracts: Column) ->
 SESSION_MINUTES = 23 * 60
 
 
-def minute_weights(df: DataFrame, signal: str, every: int = 15, limit: float = 0.25) -> DataFrame:
+def minute_weights(
+    df: DataFrame, signal: str, every: int = 15, limit: float = 0.25, history: int = 240, least: int = 120
+) -> DataFrame:
     """Minute targets: risk-scaled signals balanced per timestamp, reset on rebalance minutes.
 
     Between rebalances a symbol keeps its last target.  A weight is held only on a row exactly
     one minute after the row that decided it, in the same session.
     """
     w = frames.ordered(SYMBOL, "timestamp_utc")
-    risk = frames.rows(SYMBOL, "timestamp_utc", 240, 120).std("return_1m")
+    risk = frames.rows(SYMBOL, "timestamp_utc", history, least).std("return_1m")
     df = df.withColumn("risk_score", ratio(signal, risk))
     at = Window.partitionBy("timestamp_utc")
     x = F.col("risk_score")
@@ -492,7 +494,11 @@ def volatility_scaled_daily(df: DataFrame, bps: float = 3.5, target: float = 0.1
     w = Window.orderBy(DATE).rowsBetween(-history, -1)
     prior = F.when(F.count("base").over(w) >= history, F.stddev_samp("base").over(w)) * 252.0**0.5
     scale = base.select(
-        DATE, F.coalesce(clip(ratio(F.lit(target), prior), 0.25, 2.0), F.lit(1.0)).alias("risk_scale")
+        DATE,
+        # No variation at all earns the largest scale; an unknown one leaves the weights alone.
+        F.when(prior == 0, 2.0)
+        .otherwise(F.coalesce(clip(target / prior, 0.25, 2.0), F.lit(1.0)))
+        .alias("risk_scale"),
     )
     df = df.join(scale, DATE).withColumn(
         "actual", F.col("implemented_weight") * F.col("risk_scale")

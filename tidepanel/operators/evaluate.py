@@ -601,3 +601,43 @@ def describe(df: DataFrame, keys: list[str], x: str) -> DataFrame:
         volatility(x).alias("annualized_volatility"),
     )
     return out.withColumns({n: F.col("q")[i] for i, n in enumerate(names)}).drop("q")
+
+
+# --- intraday attribution ------------------------------------------------------------------
+
+
+def component_information(df: DataFrame, components: list[str], ret: str) -> DataFrame:
+    """Pooled correlation of each score component with the next row's return in its session."""
+    w = Window.partitionBy("symbol", "trading_date").orderBy("timestamp_utc")
+    ahead = df.withColumn("ahead", F.lead(ret).over(w))
+    long = ahead.unpivot(["symbol", "trading_date", "ahead"], components, "component", "score")
+    both = F.col("score").isNotNull() & F.col("ahead").isNotNull()
+    return long.filter(both).groupBy("component").agg(
+        F.count(F.lit(1)).alias("observations"), F.corr("score", "ahead").alias("next_return_ic")
+    )
+
+
+def quartile_attribution(df: DataFrame, score: str, active: str, contribution: str) -> DataFrame:
+    return df.groupBy("time_quartile", "range_quartile").agg(
+        F.count(F.lit(1)).alias("observations"),
+        F.avg((F.col(active) != 0).cast("double")).alias("active_share"),
+        F.avg(F.abs(score)).alias("mean_absolute_score"),
+        F.sum(contribution).alias("contribution"),
+    )
+
+
+def symbol_day_attribution(df: DataFrame, score: str, active: str, weight: str, contribution: str) -> DataFrame:
+    return df.groupBy("symbol", "trading_date").agg(
+        F.avg(score).alias("mean_score"),
+        F.count_if(F.col(active) != 0).alias("active_minutes"),
+        F.avg(F.abs(weight)).alias("mean_absolute_weight"),
+        F.sum(contribution).alias("contribution"),
+    )
+
+
+def dominant_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """How often each column is the largest of its row (first one on ties)."""
+    values = F.array(*[F.col(n) for n in names])
+    label = F.array(*[F.lit(n) for n in names])[F.array_position(values, F.array_max(values)).cast("int") - 1]
+    known = df.filter(all_of([F.col(n).isNotNull() for n in names]))
+    return known.groupBy(label.alias("dominant")).agg(F.count(F.lit(1)).alias("rows_seen"))

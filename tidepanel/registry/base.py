@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.session import pin_utc
+from tidepanel.session import pin_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query defined twice: {name}")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(pin_utc(spark), folder)
+            return fn(pin_session(spark), folder)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

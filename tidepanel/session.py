@@ -26,10 +26,18 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """Every date rule below assumes a UTC session clock."""
+# Window and matrix steps cost far more CPU than their bytes suggest, so the adaptive planner
+# must not merge their small partitions into a single task.
+MIN_PARTITION_KEY = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+MIN_PARTITION = "16k"
+
+
+def pin_session(spark: SparkSession) -> SparkSession:
+    """Every date rule assumes a UTC session clock; small CPU-heavy partitions stay apart."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(MIN_PARTITION_KEY, None) != MIN_PARTITION:
+        spark.conf.set(MIN_PARTITION_KEY, MIN_PARTITION)
     return spark
 
 
