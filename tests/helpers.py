@@ -13,10 +13,13 @@ def seeded_panel(spark, days=150, symbols=("A", "B", "C"), seed=3):
             day = dt.date(2020, 1, 1) + dt.timedelta(days=i)
             span = abs(rng.normal(0, 0.5)) + 0.1
             prior = close[i - 1] if i else None
+            numbers = (
+                close[i] * (1 + rng.normal(0, 0.002)), close[i] + span, close[i] - span, close[i],
+                rng.integers(10, 100),
+            )
             rows.append(
-                (s, day, dt.datetime.combine(day, dt.time(22)), close[i] * (1 + rng.normal(0, 0.002)),
-                 close[i] + span, close[i] - span, close[i], float(rng.integers(10, 100)),
-                 None if prior is None else close[i] / prior - 1.0, abs(rng.normal(0, 0.01)))
+                (s, day, dt.datetime.combine(day, dt.time(22)), *[float(v) for v in numbers],
+                 None if prior is None else float(close[i] / prior - 1.0), float(abs(rng.normal(0, 0.01))))
             )
     return spark.createDataFrame(
         rows,

@@ -233,7 +233,8 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     a = E.block_bootstrap(df, "strategy", "net", samples=200).first()
     b = E.block_bootstrap(df.repartition(7), "strategy", "net", samples=200).first()
     mean = np.mean([r[2] for r in rows]) * 252
-    assert a == b
+    for x, y in zip(a[1:], b[1:]):
+        assert x == pytest.approx(y, rel=1e-9)
     assert a.annualized_return_p05 < mean < a.annualized_return_p95
 
 
