@@ -206,7 +206,8 @@ def chained_selection_per_symbol(spark, folder):
 
 @query("walk_forward_family_selection")
 def walk_forward_family_selection(spark, folder):
-    """Greedy members per family and fold, capped weights, leverage; brute force in the tests."""
+    """Greedy members per family and fold, capped weights, leverage; the greedy step and the
+    weights are checked on their own."""
     returns = cut_lineage(
         grid(spark, folder, 0.0).select("strategy", "symbol", "family", "trading_date", "net", "sides")
     )

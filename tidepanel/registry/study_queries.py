@@ -193,7 +193,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY timestamp_utc ROWS BETWEEN 239 PRECEDI
 
 @query("intraday_sleeve")
 def intraday_sleeve(spark, folder):
-    """Minute alerts to balanced weights to daily accounting; the tests check each step."""
+    """Minute alerts to balanced weights to daily accounting; each step has its own SQL check."""
     return tidy(P.intraday_sleeve(src.minute_returns(spark, folder), 2, 0.3, 0.1, 8), 9)
 
 
