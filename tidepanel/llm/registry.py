@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, mixing, sql, texts, tokens
+from tidepanel.llm import decontaminate, lines, mixing, quality, sharding, sql, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_frequency(_table(spark, folder, "documents")).drop(*texts.KEY)
+
+
+def op2_longest_first_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
 def op4_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, folder, "documents"))
 
@@ -31,8 +39,16 @@ def op8_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop(*texts.KEY)
 
 
+def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_source_mixture, op6_token_counts, op8_benchmark_overlap)
+    f.__name__: f
+    for f in (
+        op1_line_frequency, op2_longest_first_shards, op4_source_mixture, op6_token_counts, op8_benchmark_overlap,
+        op9_quality_scores,
+    )
 }
 
 

@@ -1,5 +1,46 @@
 """DuckDB statements that return what the corpus queries return, written without their methods."""
 
+OP1 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT r, i, array_to_string(w[i : i + 4], ' ') AS span FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), again AS (
+  SELECT r, count(DISTINCT j) AS n FROM (
+    SELECT p.r, unnest(range(p.i, p.i + 5)) AS j
+    FROM places p JOIN (SELECT r, span FROM places GROUP BY r, span HAVING count(*) > 1) q ON p.r = q.r AND p.span = q.span
+  ) GROUP BY r
+), raw_lines AS (
+  SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         array_to_string(regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS folded
+  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)
+), held AS (SELECT * FROM raw_lines WHERE n > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM held GROUP BY r),
+hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+common AS (
+  SELECT h.source, h.folded FROM (SELECT source, folded, count(DISTINCT r) AS docs FROM held GROUP BY source, folded) h
+  JOIN hosts ON h.source IS NOT DISTINCT FROM hosts.source
+  WHERE h.docs >= 20 AND h.docs > CAST(0.08 AS DOUBLE) * hosts.docs
+), gone AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n FROM held JOIN common c
+  ON held.folded = c.folded AND held.source IS NOT DISTINCT FROM c.source GROUP BY r
+), measured AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+  FROM d LEFT JOIN again ON d.r = again.r LEFT JOIN dup ON d.r = dup.r LEFT JOIN gone ON d.r = gone.r
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - removed_words AS rest FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rest >= 10 AND rest >= CAST(0.3 AS DOUBLE) * n_words AS kept, removed_words
+FROM judged
+"""
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -70,4 +111,4 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(word
 FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
 """
 
-ORACLES: dict[str, str] = {"op4_source_mixture": OP4, "op8_benchmark_overlap": OP8}
+ORACLES: dict[str, str] = {"op1_line_frequency": OP1, "op4_source_mixture": OP4, "op8_benchmark_overlap": OP8}
