@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, lines, mixing, quality, sharding, sql, texts, tokens
+from tidepanel.llm import decontaminate, jaccard, lines, mixing, quality, sharding, sql, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_longest_first_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
 
 
+def op3_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.similar_documents(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, folder, "documents"))
 
@@ -46,8 +51,8 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_line_frequency, op2_longest_first_shards, op4_source_mixture, op6_token_counts, op8_benchmark_overlap,
-        op9_quality_scores,
+        op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op6_token_counts,
+        op8_benchmark_overlap, op9_quality_scores,
     )
 }
 

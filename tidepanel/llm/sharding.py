@@ -2,11 +2,12 @@
 
 Rows with equal texts form a group that must stay together.  Groups sorted by size go to the
 least-loaded shard through a heap.  One heap over all groups would be one task, so the schedule is a
-tree: groups fall into buckets by hash, each bucket is scheduled onto as many bins as there are
-shards, and the bins of ``FAN`` buckets are scheduled together as the groups of the next level, until
-one bucket is left.  Groups above a ``HEAVY``-th of a shard, of which there are at most ``HEAVY`` times
-the shards, skip the tree and meet the last level as they are, where the largest come first.  Small
-inputs have few groups a bucket, so bins hold single groups and the result is the plain schedule.
+tree: groups fall into buckets by hash, each bucket is scheduled onto ``BINS`` bins, and the bins of
+``FAN`` buckets are scheduled together as the groups of the next level, until one bucket is left, which
+is scheduled onto the shards.  Groups above a ``HEAVY``-th of a shard, of which there are at most
+``HEAVY`` times the shards, skip the tree and meet the last level as they are, where the largest come
+first.  A bin then is a thousandth of a shard at most, so shards come out equal to far less than that.
+Small inputs have few groups a bucket, so bins hold single groups and the result is the plain schedule.
 
 Slots number a shard's rows from 0.  Rows are counted by shard and range of a hash, ranges are offset
 by the counts before them, and only a range is ordered.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from tidepanel.session import cut_lineage
 
 SHARDS = 16
-HEAVY = 64
+BINS = 256
+HEAVY = 1024
 FAN = 64
 GROUPS_A_BUCKET = 20_000
 LEAST_BUCKETS = 64
@@ -46,12 +48,12 @@ def schedule(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _level(items: DataFrame, shards: int) -> DataFrame:
+def _level(items: DataFrame, bins: int) -> DataFrame:
     """Schedule each bucket's items (bucket, item, size) onto its bins; adds ``bin``."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
-        frame["bin"] = schedule(frame["size"].to_numpy(), shards)
+        frame["bin"] = schedule(frame["size"].to_numpy(), bins)
         return frame
 
     return items.groupBy("bucket").applyInPandas(one, "bucket long, item string, size long, bin int")
@@ -66,7 +68,7 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     large = groups.where(heavy).select(F.lit(0).cast("long").alias("bucket"), "item", "size")
     steps = []
     while buckets > 1:
-        placed = cut_lineage(_level(level, shards))
+        placed = cut_lineage(_level(level, BINS))
         steps.append(placed)
         level = (
             placed.groupBy("bucket", "bin").agg(F.sum("size").alias("size"))

@@ -41,6 +41,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS MATERIALIZED (
+  SELECT doc_id, span FROM (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS span
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)
+  )
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM grams a JOIN grams b ON a.span = b.span AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both.n >= 90 * (x.n + y.n - both.n)
+), edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM d LEFT JOIN sizes s ON d.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON d.doc_id = r.doc_id
+"""
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -111,4 +137,4 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(word
 FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
 """
 
-ORACLES: dict[str, str] = {"op1_line_frequency": OP1, "op4_source_mixture": OP4, "op8_benchmark_overlap": OP8}
+ORACLES: dict[str, str] = {"op1_line_frequency": OP1, "op3_jaccard_components": OP3, "op4_source_mixture": OP4, "op8_benchmark_overlap": OP8}
