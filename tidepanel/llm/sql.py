@@ -52,12 +52,12 @@ WITH RECURSIVE d AS (
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)
   )
 ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-both AS (
+shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
   FROM grams a JOIN grams b ON a.span = b.span AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS MATERIALIZED (
-  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both.n >= 90 * (x.n + y.n - both.n)
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
 ), edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a
