@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, jaccard, lines, mixing, quality, sharding, sql, texts, tokens
+from tidepanel.llm import decontaminate, jaccard, lines, mixing, personal, quality, sharding, sql, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, folder, "documents"))
 
 
+def op5_personal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.span_report(_table(spark, folder, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -51,8 +55,8 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op6_token_counts,
-        op8_benchmark_overlap, op9_quality_scores,
+        op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op5_personal_spans,
+        op6_token_counts, op8_benchmark_overlap, op9_quality_scores,
     )
 }
 
