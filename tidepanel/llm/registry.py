@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, jaccard, lines, mixing, personal, quality, sharding, sql, texts, tokens
+from tidepanel.llm import backoff, decontaminate, jaccard, lines, mixing, personal, quality, sharding, sql, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,11 +52,15 @@ def op9_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.scores(_table(spark, folder, "documents")).drop(*texts.KEY)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op5_personal_spans,
-        op6_token_counts, op8_benchmark_overlap, op9_quality_scores,
+        op6_token_counts, op8_benchmark_overlap, op9_quality_scores, op10_backoff_scores,
     )
 }
 
