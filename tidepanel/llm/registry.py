@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +57,15 @@ def op10_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.scores(_table(spark, folder, "documents")).drop(*texts.KEY)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op5_personal_spans,
-        op6_token_counts, op8_benchmark_overlap, op9_quality_scores, op10_backoff_scores,
+        op6_token_counts, op8_benchmark_overlap, op9_quality_scores, op10_backoff_scores, pipeline,
     )
 }
 

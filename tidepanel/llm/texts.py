@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.session import cut_lineage
@@ -22,6 +22,8 @@ KEY = ("__file", "__row")
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 16 << 20
 PIECE = 4 << 20
+#: Keys of 16 bytes that are sent to all executors at most.
+BROADCAST_KEYS = 2_000_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -35,21 +37,35 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def keyed(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and a key for each row that stays the same when the rows are read again.
+def with_keys(df: DataFrame) -> DataFrame:
+    """All columns and a key for each row that stays the same when the rows are read again.
 
     Rows of files are keyed by file and place.  Other rows get a number and are written to the
     checkpoint folder, because a number given on the fly could differ after a lost executor.
     """
     bound_batches(df.sparkSession)
+    if set(KEY) <= set(df.columns):
+        return df
     try:
-        return df.select(
-            F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]), *columns,
-        )
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
     except AnalysisException:
         return cut_lineage(
-            df.select(F.lit(0).cast("long").alias(KEY[0]), F.monotonically_increasing_id().alias(KEY[1]), *columns)
-        )
+            df.select("*", F.lit(0).cast("long").alias(KEY[0]), F.monotonically_increasing_id().alias(KEY[1])))
+
+
+def keyed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The key of each row and the named columns."""
+    return with_keys(df).select(*KEY, *columns)
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The keyed rows that are not in ``rejected``.
+
+    A short list of keys goes to all executors, so that texts stay where they are; a long one is
+    joined by a shuffle.
+    """
+    keys = cut_lineage(rejected.select(*KEY))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, list(KEY), "left_anti")
 
 
 class WordHashes(dict):
