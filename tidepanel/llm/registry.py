@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import backoff, decontaminate, jaccard, lines, mixing, personal, quality, sharding, sql, texts, tokens
+from tidepanel.llm import backoff, decontaminate, jaccard, licences, lines, mixing, personal, quality, sharding, sql, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_licence_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_report(_table(spark, folder, "documents"))
+
+
 def op8_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.drop(*texts.KEY)
@@ -65,7 +69,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op5_personal_spans,
-        op6_token_counts, op8_benchmark_overlap, op9_quality_scores, op10_backoff_scores, pipeline,
+        op6_token_counts, op7_licence_lines, op8_benchmark_overlap,
+        op9_quality_scores, op10_backoff_scores, pipeline,
     )
 }
 
