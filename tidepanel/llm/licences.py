@@ -4,9 +4,9 @@ A paragraph is a line.  Its word n-grams (one to three words) are the features o
 logistic regression over licence families and an unknown class.  It is trained on licence wordings in
 several frames, alone and inside ordinary paragraphs, against a bounded sample of ordinary paragraphs
 of the corpus and some near misses.  n-grams that more than one in a hundred ordinary paragraphs have
-tell nothing and are left out; an elastic net leaves few weights.  Per family, the lowest probability
-at which predictions were right in at least ``PRECISION`` of a calibration half is the limit below which
-a paragraph is unknown.  A prediction counts when a template of its family confirms it: most of the
+tell nothing and are left out; an elastic net leaves few weights.  Per family, predictions are followed
+down a calibration half to the lowest probability at which at least ``PRECISION`` of them were right; at
+the next one below, or at ``LEAST_PROBABILITY`` if there is none, a paragraph is unknown.  A prediction counts when a template of its family confirms it: most of the
 template's words and word pairs stand in the paragraph.
 
 A paragraph can only leave the unknown class through a weighted n-gram, and each of those has a rarest
@@ -63,6 +63,8 @@ FAMILIES = ("unknown", *sorted(TEMPLATES))
 NEGATIVES = 3_000
 MOST_GRAMS = 20_000
 PRECISION = 0.95
+LEAST_PROBABILITY = 0.5
+LEAST_COMMON = 3
 CONFIRMED = 0.6
 
 
@@ -98,8 +100,8 @@ def contained(grams: Column, wanted: Column) -> Column:
     return F.size(F.array_intersect(grams, wanted)) / F.size(wanted)
 
 
-def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled n-gram rows (label, grams, half): ordinary paragraphs and licence paragraphs."""
+def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Labelled n-gram rows (label, grams, half) of ordinary and licence paragraphs; the wordings' n-grams."""
     spark = docs.sparkSession
     total = max(1, docs.count())
     share = min(1.0, NEGATIVES / total)
@@ -124,7 +126,8 @@ def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     positive = texts.select("label", grams_of(words_of(F.col("t"))).alias("grams"))
     negative = plain.select(F.lit(0).alias("label"), "grams")
     half = F.pmod(F.xxhash64("grams"), F.lit(2)).alias("half")
-    return negative.select("*", half), positive.select("*", half)
+    wording = alone.select(F.explode(grams_of(words_of(F.col("t")))).alias("g")).distinct().collect()
+    return negative.select("*", half), positive.select("*", half), sorted(r["g"] for r in wording)
 
 
 class Classifier:
@@ -136,13 +139,14 @@ class Classifier:
 
 def train(docs: DataFrame) -> Classifier:
     """Fit the classifier on wordings and a sample of ``docs`` (with a column ``text``)."""
-    negative, positive = training_set(docs)
+    negative, positive, wording = training_set(docs)
     plain = negative.count()
-    common = negative.select(F.explode("grams").alias("g")).groupBy("g").count()
-    often = {r["g"]: r["count"] for r in common.collect()}  # of a bounded sample
-    too_common = [g for g, n in often.items() if 100 * n > plain]
-    useful = F.filter("grams", lambda g: ~F.array_contains(F.lit(too_common or [""]), g))
-    rows = cut_lineage(negative.unionByName(positive).withColumn("grams", useful))
+    known = negative.select(F.explode(F.array_intersect("grams", F.lit(wording))).alias("g"))
+    often = {r["g"]: r["count"] for r in known.groupBy("g").count().collect()}
+    useful = [g for g in wording if often.get(g, 0) < max(LEAST_COMMON, plain / 100)]
+    # Some thousand short rows: a few partitions keep each step of the fit short.
+    rows = cut_lineage(
+        negative.unionByName(positive).withColumn("grams", F.array_intersect("grams", F.lit(useful))).coalesce(4))
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MOST_GRAMS, binary=True, minDF=2)
     fitted = counter.fit(rows.where("label > 0"))
     ready = fitted.transform(rows).withColumn("label", F.col("label").cast("double"))
@@ -158,8 +162,10 @@ def train(docs: DataFrame) -> Classifier:
     down = Window.partitionBy("prediction").orderBy(F.desc("p"))
     steps = judged.groupBy("prediction", "p").agg(
         F.sum((F.col("label") == F.col("prediction")).cast("int")).alias("r"), F.count("*").alias("n"))
-    good = steps.withColumns({"r": F.sum("r").over(down), "n": F.sum("n").over(down)}).where(F.col("r") >= PRECISION * F.col("n"))
-    limits = {int(x["prediction"]): x["p"] for x in good.groupBy("prediction").agg(F.min("p").alias("p")).collect()}
+    steps = steps.withColumns({
+        "good": F.sum("r").over(down) >= PRECISION * F.sum("n").over(down), "below": F.lead("p").over(down)})
+    chosen = steps.where("good").groupBy("prediction").agg(F.min_by("below", "p").alias("below")).collect()
+    limits = {int(x["prediction"]): max(x["below"] or 0.0, LEAST_PROBABILITY) for x in chosen}
     anchors = sorted({min(g.split(" "), key=lambda w: (often.get(w, 0), w)) for g in weights})
     return Classifier(weights, [float(x) for x in model.interceptVector.toArray()], limits, anchors)
 
@@ -182,7 +188,7 @@ def licence_paragraphs(docs: DataFrame, classifier: Classifier) -> DataFrame:
         *KEY, "paragraph", "grams", (F.array_position("odds", F.array_max("odds")) - 1).cast("int").alias("family"),
         (F.array_max("odds") / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)).alias("probability"))
     limits = F.coalesce(*[F.when(F.col("family") == k, F.lit(p)) for k, p in classifier.limits.items()], F.lit(2.0))
-    predicted = scored.where((F.col("family") > 0) & (F.round("probability", 3) >= limits))
+    predicted = scored.where((F.col("family") > 0) & (F.round("probability", 3) > limits))
     return (
         predicted.join(F.broadcast(templates(spark)), "family")
         .where(contained(F.col("grams"), F.col("wanted")) >= CONFIRMED)
