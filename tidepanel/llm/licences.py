@@ -84,20 +84,31 @@ def grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, runs(2), runs(3)))
 
 
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    """Add ``grams`` of a text column; the words are a column first, or each run would cut the text again."""
+    return df.withColumn("__words", words_of(F.col(text))).withColumn("grams", grams_of(F.col("__words"))).drop("__words")
+
+
 def paragraphs(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns, paragraph, text`` for each line of ``text`` with a word."""
     return docs.select(*columns, F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
 
 
 def templates(spark) -> DataFrame:
-    """``family, wanted``: the words and word pairs of each template."""
+    """``family, template, of, gram``: the ``of`` words and word pairs of each template."""
     rows = [(FAMILIES.index(f), t) for f, texts in TEMPLATES.items() for t in texts]
-    grams = F.filter(grams_of(words_of(F.col("t"))), lambda g: F.size(F.split(g, " ")) < 3)
-    return spark.createDataFrame(rows, "family int, t string").select("family", grams.alias("wanted"))
+    wanted = F.filter("grams", lambda g: F.size(F.split(g, " ")) < 3)
+    known = with_grams(spark.createDataFrame(rows, "family int, t string"), "t").select("family", "t", wanted.alias("w"))
+    return known.select("family", F.col("t").alias("template"), F.size("w").alias("of"), F.explode("w").alias("gram"))
 
 
-def contained(grams: Column, wanted: Column) -> Column:
-    return F.size(F.array_intersect(grams, wanted)) / F.size(wanted)
+def confirmed(grams: DataFrame, *columns: str) -> DataFrame:
+    """``columns, family`` for paragraphs (columns, gram) that hold most of a template of the family."""
+    known = templates(grams.sparkSession)
+    return (
+        grams.join(F.broadcast(known), "gram").groupBy(*columns, "family", "template", "of").count()
+        .where(F.col("count") >= CONFIRMED * F.col("of")).select(*columns, "family").distinct()
+    )
 
 
 def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -111,11 +122,10 @@ def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         .orderBy(F.xxhash64("text"), "text").limit(NEGATIVES).select("text")
     )
     near = spark.createDataFrame([(t,) for t in NEAR_MISSES], "text string")
-    lines = cut_lineage(lines.unionByName(near).select("text", grams_of(words_of(F.col("text"))).alias("grams")))
-    known = F.broadcast(templates(spark))
-    licensed = lines.join(known, contained(F.col("grams"), F.col("wanted")) >= CONFIRMED).select("text").distinct()
-    plain = cut_lineage(lines.join(licensed, "text", "left_anti").where(F.size("grams") > 0).select(
-        "text", "grams", F.row_number().over(Window.orderBy(F.xxhash64("text", F.lit(1)), "text")).alias("n")))
+    lines = cut_lineage(with_grams(lines.unionByName(near), "text").withColumn("line", F.xxhash64("text")))
+    licensed = confirmed(lines.select("line", F.explode("grams").alias("gram")), "line").select("line").distinct()
+    plain = cut_lineage(lines.join(licensed, "line", "left_anti").where(F.size("grams") > 0).select(
+        "text", "grams", F.row_number().over(Window.orderBy("line", "text")).alias("n")))
     framed = [
         (FAMILIES.index(f), frame.format(t)) for f, texts in TEMPLATES.items() for t in texts for frame in FRAMES
     ]
@@ -123,10 +133,10 @@ def training_set(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     alone = spark.createDataFrame(rows, "n int, label int, t string")
     inside = alone.join(plain.select("n", "text"), "n").select("label", F.concat_ws(" ", "text", "t").alias("t"))
     texts = alone.select("label", "t").unionByName(inside)
-    positive = texts.select("label", grams_of(words_of(F.col("t"))).alias("grams"))
+    positive = with_grams(texts, "t").select("label", "grams")
     negative = plain.select(F.lit(0).alias("label"), "grams")
     half = F.pmod(F.xxhash64("grams"), F.lit(2)).alias("half")
-    wording = alone.select(F.explode(grams_of(words_of(F.col("t")))).alias("g")).distinct().collect()
+    wording = with_grams(alone, "t").select(F.explode("grams").alias("g")).distinct().collect()
     return negative.select("*", half), positive.select("*", half), sorted(r["g"] for r in wording)
 
 
@@ -178,23 +188,20 @@ def licence_paragraphs(docs: DataFrame, classifier: Classifier) -> DataFrame:
                                   "gram string, " + ", ".join(f"{n} double" for n in names))
     lines = paragraphs(docs, *KEY).select(*KEY, "paragraph", words_of(F.col("text")).alias("words"))
     possible = lines.where(F.arrays_overlap("words", F.lit(classifier.anchors or [""])))
-    described = possible.select(*KEY, "paragraph", grams_of(F.col("words")).alias("grams"))
-    sums = (
-        described.select(*KEY, "paragraph", "grams", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
-        .groupBy(*KEY, "paragraph").agg(F.first("grams").alias("grams"), *[F.sum(n).alias(n) for n in names])
-    )
+    # Only the n-grams of some wording go on; the arrays stay behind, as an explode would repeat them.
+    wordings = table.select("gram").union(templates(spark).select("gram")).distinct()
+    matched = cut_lineage(
+        possible.select(*KEY, "paragraph", F.explode(grams_of(F.col("words"))).alias("gram"))
+        .join(F.broadcast(wordings), "gram"))
+    sums = matched.join(F.broadcast(table), "gram").groupBy(*KEY, "paragraph").agg(*[F.sum(n).alias(n) for n in names])
     odds = F.array(*[F.exp(F.col(n) + F.lit(b)) for n, b in zip(names, classifier.intercepts, strict=True)])
-    scored = sums.select(*KEY, "paragraph", "grams", odds.alias("odds")).select(
-        *KEY, "paragraph", "grams", (F.array_position("odds", F.array_max("odds")) - 1).cast("int").alias("family"),
+    scored = sums.select(*KEY, "paragraph", odds.alias("odds")).select(
+        *KEY, "paragraph", (F.array_position("odds", F.array_max("odds")) - 1).cast("int").alias("family"),
         (F.array_max("odds") / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)).alias("probability"))
     limits = F.coalesce(*[F.when(F.col("family") == k, F.lit(p)) for k, p in classifier.limits.items()], F.lit(2.0))
     predicted = scored.where((F.col("family") > 0) & (F.round("probability", 3) > limits))
-    return (
-        predicted.join(F.broadcast(templates(spark)), "family")
-        .where(contained(F.col("grams"), F.col("wanted")) >= CONFIRMED)
-        .groupBy(*KEY, "paragraph").agg(F.first("family").alias("family"), F.first("probability").alias("probability"))
-        .select(*KEY, "paragraph", F.get(F.lit(list(FAMILIES)), F.col("family")).alias("family"), "probability")
-    )
+    return predicted.join(confirmed(matched, *KEY, "paragraph"), [*KEY, "paragraph", "family"]).select(
+        *KEY, "paragraph", F.get(F.lit(list(FAMILIES)), F.col("family")).alias("family"), "probability")
 
 
 def licence_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
