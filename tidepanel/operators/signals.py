@@ -418,49 +418,49 @@ def breakout_forecast():
     return clip(F.tanh((where - 0.5) * 3.0) * activity, -1.0, 1.0)
 
 
-# The reversion registry, feature names in rule order.
+# The reversion registry, rule ids and feature names in rule order.
 REVERSION_RULES = {
-    "return_reversal": (
+    ("return_reversal", "return_reversal"): (
         "log_return_1s", "momentum_2s", "momentum_5s", "momentum_10s", "momentum_20s",
         "standardized_return_5s", "standardized_return_20s", "standardized_return_60s",
         "close_return_lag_2s", "close_return_lag_5s",
     ),
-    "moving_average_deviation": (
+    ("moving_average", "moving_average_deviation"): (
         "price_to_sma_5s", "price_to_sma_10s", "price_to_sma_20s", "price_to_sma_30s",
         "price_to_sma_60s", "price_to_sma_120s", "sma_gap_5_20s", "sma_gap_20_60s",
         "sma_gap_30_120s", "price_to_ema_30s",
     ),
-    "range_exhaustion": (
+    ("residual", "regression_residual"): ("trend_residual_zscore_20s", "trend_residual_zscore_60s"),
+    ("exhaustion", "range_exhaustion"): (
         "close_location", "overnight_gap_fraction", "intraday_tail_imbalance",
         "return_sign_imbalance", "range_zscore_20s", "range_percentile_20s",
         "range_percentile_60s", "volume_zscore_20s", "trend_slope_acceleration_20s",
         "upside_downside_volatility_ratio_20s",
     ),
+    ("cross_sectional", "cross_sectional_contrarian"): (
+        "log_return_1s", "momentum_2s", "momentum_5s", "momentum_10s", "momentum_20s",
+    ),
 }
-RESIDUAL_FEATURES = ("trend_residual_zscore_20s", "trend_residual_zscore_60s")
 RESIDUAL_THRESHOLDS = (0.0, 0.5, 1.0, 1.5, 2.0)
-CONTRARIAN_FEATURES = ("log_return_1s", "momentum_2s", "momentum_5s", "momentum_10s", "momentum_20s")
+
+
+def _reversion_variants(prefix: str, number: int, feature: str):
+    """(id, threshold, ranked) of the rules that one feature gives in a block."""
+    if prefix == "residual":
+        return [(f"{prefix}_{feature[-3:]}_t{t}", t, False) for t in RESIDUAL_THRESHOLDS]
+    if prefix == "cross_sectional":
+        return [(f"{prefix}_{feature}_{'rank' if ranked else 'scaled'}", 0.0, ranked) for ranked in (False, True)]
+    return [(f"{prefix}_{number:02d}", 0.0, False)]
 
 
 def reversion_registry():
     """(name, family, feature, threshold, ranked) of the 50 reversion rules."""
-    rules = [
-        (f"{family}_{i:02d}", family, feature, 0.0, False)
-        for family, names in REVERSION_RULES.items()
-        for i, feature in enumerate(names, 1)
-    ]
-    rules += [
-        (f"residual_{feature[-3:]}_t{t}", "regression_residual", feature, t, False)
-        for feature in RESIDUAL_FEATURES
-        for t in RESIDUAL_THRESHOLDS
-    ]
-    rules += [
-        (f"contrarian_{feature}_{'rank' if ranked else 'scaled'}", "cross_sectional_contrarian",
-         feature, 0.0, ranked)
-        for feature in CONTRARIAN_FEATURES
-        for ranked in (False, True)
+    return [
+        (name, family, feature, threshold, ranked)
+        for (prefix, family), features in REVERSION_RULES.items()
+        for number, feature in enumerate(features, 1)
+        for name, threshold, ranked in _reversion_variants(prefix, number, feature)
     ]
-    return rules
 
 
 # The six-theme registry.  (feature, direction, hold, other feature, mode)
