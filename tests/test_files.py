@@ -120,6 +120,37 @@ def test_streaming_alerts_continue_across_batches(spark, tmp_path):
     assert [r.position_signal for r in out] == [0.0, 1.0, 1.0, 0.0, -1.0]
 
 
+@pytest.mark.parametrize("layout", ["file", "directory", "shuffled"])
+def test_streaming_bars_keep_every_print(spark, tmp_path, layout):
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    folder = source
+    if layout != "file":
+        folder = str(tmp_path)
+        order = F.xxhash64("event_id") if layout == "shuffled" else F.col("ts")
+        events.repartitionByRange(6, order).write.parquet(f"{folder}/events.parquet")
+    stream = S.event_stream(spark, folder)
+    if layout == "shuffled":
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events.parquet")
+    for width, seconds in (("1 hour", 3600), ("4 hours", 14_400)):
+        got = S.run_backfill(S.live_bars(stream, width), "bars").collect()
+        start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)) * seconds
+        priced = events.withColumn("price", src.tick_price(src.tick_count(F.col("value"))))
+        want = priced.groupBy("event_type", start.alias("start")).agg(
+            F.min(F.struct("ts", "price"))["price"].alias("open"), F.max(F.struct("ts", "price"))["price"].alias("close"),
+            F.count("*").alias("n")).collect()
+        assert sum(r.prints for r in got) == events.count()
+        assert {(r.symbol, r.timestamp_utc.timestamp(), r.open, r.close, r.prints) for r in got} == {
+            (r.event_type, float(r.start), r.open, r.close, r.n) for r in want}
+
+
+def test_packed_key_refuses_what_does_not_fit(spark):
+    row = spark.range(1).select(src.print_key(F.lit((1 << 42) - 1), F.lit(5)).alias("k"))
+    assert row.first().k > 0
+    with pytest.raises(Exception, match="packed key"):
+        spark.range(1).select(src.print_key(F.col("id") + (1 << 42), F.lit(5)).alias("k")).collect()
+
+
 def test_minute_table_from_events_is_unique(spark):
     minutes = src.minute_bars(spark, "/root/testdata/sf0.001")
     assert minutes.count() == minutes.select("symbol", "timestamp_utc").distinct().count()

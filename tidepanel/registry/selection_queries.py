@@ -416,11 +416,10 @@ def hourly_weight_accounting(spark, folder):
         {r('first(p ORDER BY ts, p)', 'open')}, {r('max(p)', 'high')}, {r('min(p)', 'low')}, {r('last(p ORDER BY ts, p)', 'close')},
         CAST(sum(user_id % 100 + 1) AS BIGINT) AS volume, CAST(count(*) AS BIGINT) AS prints
         FROM (SELECT *, 100.0 + floor(ln(1 + value) * 100000) / 100000.0 AS p FROM events)
-        GROUP BY 1, date_trunc('hour', ts)
-        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+        GROUP BY 1, date_trunc('hour', ts)""",
 )
 def streaming_hour_bars(spark, folder):
-    out = S.run_available(S.live_bars(S.event_stream(spark, folder)), "hour-bars")
+    out = S.run_backfill(S.live_bars(S.event_stream(spark, folder)), "hour-bars")
     return tidy(
         out.withColumn("hour_ts", F.unix_timestamp("timestamp_utc")).drop("timestamp_utc")
     )

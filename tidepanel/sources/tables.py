@@ -15,6 +15,7 @@ from tidepanel.operators import calendar as cal
 from tidepanel.session import cut_lineage
 
 TICK_BITS = 21
+POSITION_BITS = 42
 TICK_MASK = (1 << TICK_BITS) - 1
 TICKS_PER_POINT = 100_000.0
 BASE_PRICE = 100.0
@@ -34,7 +35,13 @@ def tick_price(ticks: Column) -> Column:
 
 
 def print_key(position: Column, ticks: Column) -> Column:
-    return F.shiftleft(position, TICK_BITS).bitwiseOR(ticks)
+    """Position and price in one long; values that would not fit end the query instead of mixing."""
+    fits = position.between(0, (1 << POSITION_BITS) - 1) & ticks.between(0, TICK_MASK)
+    return (
+        F.when(fits, F.shiftleft(position, TICK_BITS).bitwiseOR(ticks))
+        .when(fits.isNull(), F.lit(None).cast("long"))
+        .otherwise(F.raise_error(F.lit("print position or price is beyond the packed key")).cast("long"))
+    )
 
 
 def key_price(key: Column) -> Column:

@@ -16,32 +16,37 @@ from tidepanel.sources import tables as src
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table as a stream of files; the schema is that of the batch table."""
+    """The event table, one file or a directory of part files, as a stream of files.
+
+    A plain path of a stream must be a directory; a pattern that only the table's own name matches may
+    be either.
+    """
     schema = src.table(spark, folder, "events").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
-    )
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
-def live_bars(events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+def live_bars(events: DataFrame, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
     """Tumbling bars per event type.  State is one small buffer per open (type, window): first
-    and last price come from the minimum and maximum print key."""
+    and last price come from the minimum and maximum print key.
+
+    With ``lateness`` a bar is emitted once the watermark passes its end, and later prints are too
+    late.  Without it no print is ever late and every bar stays open, which is the form for a bounded
+    backfill whose files come in any order.
+    """
     stamp = F.col("ts").cast("timestamp")
     ticks = src.tick_count(F.col("value"))
-    position = F.pmod(F.unix_micros(stamp), F.lit(3_600_000_000))
-    prints = events.select(
-        F.col("event_type").alias("symbol"),
-        stamp.alias("stamp"),
-        src.print_key(position, ticks).alias("key"),
-        src.tick_price(ticks).alias("price"),
-        (F.pmod("user_id", F.lit(100)) + 1).alias("volume"),
+    stamped = events.withColumn("stamp", stamp)
+    if lateness is not None:
+        stamped = stamped.withWatermark("stamp", lateness)
+    prints = stamped.select(
+        F.col("event_type").alias("symbol"), F.window("stamp", width).alias("w"), "stamp",
+        ticks.alias("ticks"), (F.pmod("user_id", F.lit(100)) + 1).alias("volume"),
+    ).select(
+        "symbol", "w", "volume", src.tick_price(F.col("ticks")).alias("price"),
+        src.print_key(F.unix_micros("stamp") - F.unix_micros("w.start"), F.col("ticks")).alias("key"),
     )
     return (
-        prints.withWatermark("stamp", lateness)
-        .groupBy("symbol", F.window("stamp", width).alias("w"))
+        prints.groupBy("symbol", "w")
         .agg(
             F.min("key").alias("first_key"), F.max("key").alias("last_key"),
             F.max("price").alias("high"), F.min("price").alias("low"),
@@ -71,6 +76,30 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
+def run_backfill(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there, in however many batches, and read the final state of every group.
+
+    Each batch writes the whole result to a folder of its own, so a repeated batch replaces its own
+    rows; the last one holds every row of the input, the groups still open included.
+    """
+    spark = stream.sparkSession
+    root = shared_folder(spark, name)
+    last: list[int] = []
+
+    def keep(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{root}/batch-{batch}")
+        last[:] = [batch]
+
+    query = (
+        stream.writeStream.outputMode("complete").foreachBatch(keep)
+        .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{root}/batch-{last[0]}")
+
+
 def live_alerts(
     scores: DataFrame, entry: float = 0.55, leave: float = 0.15, cap: int = 60
 ) -> DataFrame:
