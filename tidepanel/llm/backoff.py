@@ -16,7 +16,8 @@ to the same place, and each document's words are looked up and summed there.
 Hashes are uniform, so a frequent n-gram is one entry per chunk and ranges are even.  The number of
 ranges grows with the corpus (``TOKENS_A_RANGE``), which bounds a task's memory.
 
-Words are runs without ASCII white space, ASCII letters in lower case, compared by 64-bit hashes.  Edge
+Words are runs without ASCII white space, ASCII letters in lower case; n-grams are compared by 56-bit
+hashes, of which a table of 1e9 n-grams shares about seven.  Edge
 cases: null and empty texts have no words and a null score; the first words of a text start from the
 orders they have; repeated documents are evidence for each other; an empty table gives an empty
 result; columns besides the named ones are not read.
@@ -41,6 +42,7 @@ BACKOFF = 0.4
 UNSEEN = 0.5
 CHUNK_BYTES = 6 << 20
 CHUNK_ROWS = 4_000
+ID_BITS = 56
 TOKENS_A_RANGE = 1 << 20
 LEAST_RANGES = 256
 
@@ -63,14 +65,19 @@ def unpacked_hashes(blob: bytes) -> np.ndarray:
     return np.cumsum(from_planes(blob, np.uint64), dtype=np.uint64)
 
 
+def gram_ids(words: np.ndarray, size: int) -> np.ndarray:
+    """n-grams by the first ``ID_BITS`` of their hashes."""
+    return gram_hashes(words, size) >> np.uint64(64 - ID_BITS)
+
+
 def range_starts(ranges: int) -> np.ndarray:
-    """The first hash of each range; ``ranges`` is a power of two."""
-    return np.arange(ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1)
+    """The first id of each range; ``ranges`` is a power of two."""
+    return np.arange(ranges, dtype=np.uint64) << np.uint64(ID_BITS - ranges.bit_length() + 1)
 
 
 def chunk_grams(words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of a chunk's documents, and their counts."""
-    return np.unique(np.concatenate([gram_hashes(w, order) for w in words]), return_counts=True)
+    return np.unique(np.concatenate([gram_ids(w, order) for w in words]), return_counts=True)
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
@@ -169,7 +176,7 @@ def document_score(words: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]
     n = len(words)
     others, own = [], []
     for size, (grams, totals) in enumerate(tables, 1):
-        mine = gram_hashes(words, size)
+        mine = gram_ids(words, size)
         _, back, counts = np.unique(mine, return_inverse=True, return_counts=True)
         others.append(totals[np.searchsorted(grams, mine)].astype(np.int64) - counts[back])
         own.append(len(mine))
