@@ -171,25 +171,38 @@ def joined_counts(counted: DataFrame) -> DataFrame:
         join, "chunk string, place long, size int, totals binary")
 
 
-def document_score(words: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], all_words: int) -> tuple[float, list[int]]:
-    """Sum of log scores of a document and how many words each order answered, lowest order first."""
-    n = len(words)
-    others, own = [], []
-    for size, (grams, totals) in enumerate(tables, 1):
-        mine = gram_ids(words, size)
-        _, back, counts = np.unique(mine, return_inverse=True, return_counts=True)
-        others.append(totals[np.searchsorted(grams, mine)].astype(np.int64) - counts[back])
-        own.append(len(mine))
-    base = max(1, all_words - n)
-    score = np.maximum(others[0], UNSEEN) / base * BACKOFF ** (len(tables) - 1)
-    answered = np.ones(n, np.int64)
-    for size in range(2, len(tables) + 1):
-        seen, context = others[size - 1], others[size - 2][: own[size - 1]]
-        hit = np.flatnonzero(seen > 0)
-        at = hit + size - 1
-        score[at] = seen[hit] / context[hit] * BACKOFF ** (len(tables) - size)
-        answered[at] = size
-    return float(np.log(score).sum()), np.bincount(answered, minlength=len(tables) + 1)[1:].tolist()
+def chunk_scores(words: list[np.ndarray], totals: list[np.ndarray], all_words: int) -> list[tuple[float | None, list[int]]]:
+    """Per document: sum of log scores, and how many words each order answered, lowest order first.
+
+    ``totals`` has the table's count of each distinct n-gram of the chunk, by order.
+    """
+    orders = len(totals)
+    elsewhere: list[list[np.ndarray]] = []
+    for size, total in enumerate(totals, 1):
+        parts = [gram_ids(w, size) for w in words]
+        lengths = np.array([len(p) for p in parts])
+        distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+        if len(distinct) != len(total):
+            raise ValueError("a chunk differs between two scans of the documents")
+        mine = back + np.repeat(np.arange(len(parts)) * max(1, len(distinct)), lengths)
+        _, own, times = np.unique(mine, return_inverse=True, return_counts=True)
+        elsewhere.append(np.split(total[back].astype(np.int64) - times[own], np.cumsum(lengths)[:-1]))
+    out: list[tuple[float | None, list[int]]] = []
+    for i, w in enumerate(words):
+        n = len(w)
+        if not n:
+            out.append((None, [0] * orders))
+            continue
+        score = np.maximum(elsewhere[0][i], UNSEEN) / max(1, all_words - n) * BACKOFF ** (orders - 1)
+        answered = np.ones(n, np.int64)
+        for size in range(2, orders + 1):
+            seen = elsewhere[size - 1][i]
+            hit = np.flatnonzero(seen > 0)
+            at = hit + size - 1
+            score[at] = seen[hit] / elsewhere[size - 2][i][hit] * BACKOFF ** (orders - size)
+            answered[at] = size
+        out.append((float(np.log(score).sum()), np.bincount(answered, minlength=orders + 1)[1:].tolist()))
+    return out
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -207,16 +220,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
             by = {}
             for size, place, blob in zip(*(right.column(c).to_pylist() for c in ("size", "place", "totals")), strict=True):
                 by[size, place] = from_planes(blob, np.uint64)
-            tables = []
+            totals = []
             for size in range(1, order + 1):
                 parts = [by[k] for k in sorted(k for k in by if k[0] == size)]
-                grams, _ = chunk_grams(words, size)
-                totals = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-                if len(totals) != len(grams):
-                    raise ValueError("a chunk differs between two scans of the documents")
-                tables.append((grams, totals))
-            for w in words:
-                total, answered = document_score(w, tables, all_words) if len(w) else (None, [0] * order)
+                totals.append(np.concatenate(parts) if parts else np.empty(0, np.uint64))
+            for w, (total, answered) in zip(words, chunk_scores(words, totals, all_words), strict=True):
                 rows["n_words"].append(len(w))
                 rows["log_score"].append(total)
                 rows["answered"].append(answered)
