@@ -226,6 +226,50 @@ def test_exact_quantiles_on_a_hot_value(spark):
         assert q == pytest.approx(np.quantile(x, p))
 
 
+def test_exact_quantiles_with_one_far_outlier(spark):
+    x = np.concatenate([[1e12], np.random.default_rng(3).normal(size=3000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r.probability: r["quantile"] for r in E.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.999, 1.0], 32).collect()}
+    assert len(got) == 5
+    for p, q in got.items():
+        assert q == pytest.approx(np.quantile(x, p))
+
+
+def test_exact_quantiles_of_one_value_and_of_none(spark):
+    df = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
+    assert [r["quantile"] for r in E.exact_quantiles(df, "x", [0.3]).collect()] == [2.0]
+    assert E.exact_quantiles(df.limit(0), "x", [0.3]).count() == 0
+
+
+def test_trade_drawdown_equals_a_plain_walk(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for ticket in range(3000):
+        stamp = dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(rng.integers(0, 24 * 20)))
+        strategy = "hot" if rng.random() < 0.7 else f"s{rng.integers(0, 9)}"
+        rows.append((stamp, strategy, ticket, float(rng.normal())))
+    df = spark.createDataFrame(rows, "close_time timestamp_ntz, strategy string, ticket long, pnl double")
+    walk = np.cumsum([r[3] for r in sorted(rows)])
+    worst = np.min(walk - np.maximum.accumulate(walk))
+    for width in (7, 1_000_000):
+        assert E.trade_drawdown(df.repartition(5), width).first()[0] == pytest.approx(worst)
+    assert E.trade_drawdown(df.limit(0)).first()[0] is None
+
+
+def test_bootstrap_blocks_equal_a_plain_draw(spark):
+    rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7) - 2.5) for i in range(47)]
+    df = spark.createDataFrame(rows, "strategy string, trading_date date, net double")
+    draws = spark.range(30).selectExpr("id AS sample", "explode(sequence(0, 2)) AS draw").selectExpr(
+        "sample", "draw", "pmod(xxhash64(20260823, 's', CAST(sample AS INT), draw), 28) AS first").collect()
+    means = []
+    for k in range(30):
+        starts = [r["first"] for r in sorted(draws) if r["sample"] == k]
+        picked = [f + i for d, f in enumerate(starts) for i in range(20) if d * 20 + i < 47]
+        means.append(252 * np.mean([rows[i][2] for i in picked]))
+    got = E.block_bootstrap(df, "strategy", "net", samples=30).first()
+    assert [got.annualized_return_p05, got.annualized_return_p50] == pytest.approx(list(np.quantile(means, [0.05, 0.5])))
+
+
 def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     rng = np.random.default_rng(2)
     rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(rng.normal(0.001, 0.01, 300))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,29 +261,52 @@ def block_bootstrap(
 ) -> DataFrame:
     """Moving-block resampling of each key's series, 5/50/95 % of return and Sharpe.
 
-    Draws come from a seeded hash of (key, sample, draw), so a retried task repeats them.  The
-    series is indexed once; every draw expands to its positions and meets it in an equi-join.
+    Draws come from a seeded hash of (key, sample, draw), so a retried task repeats them.  Every
+    start of a block carries the block's sum and sum of squares, and those of the shorter last block.
+    A key's starts, at most one per session of the calendar, lie in one array that draws look up, so
+    no draw is shuffled or joined.
     """
     w = Window.partitionBy(key).orderBy("trading_date")
     series = df.filter(F.col(x).isNotNull()).select(
-        key, (F.row_number().over(w) - 1).alias("pos"), F.col(x).alias("value")
-    )
-    n = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    starts = F.greatest(F.col("n") - block + 1, F.lit(1))
-    draws = (
-        n.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-        .withColumn(
-            "first", F.pmod(F.xxhash64(F.lit(seed), key, "sample", "draw"), starts)
+        key,
+        F.row_number().over(w).alias("place"),
+        F.collect_list(F.col(x)).over(w.rowsBetween(0, block - 1)).alias("values"),
+        F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"),
+    )
+
+    def plus(total: Column, v: Column) -> Column:
+        return F.struct((total["s"] + v["s"]).alias("s"), (total["q"] + v["q"]).alias("q"))
+
+    def sums(values: Column) -> Column:
+        pairs = F.transform(values, lambda v: F.struct(v.alias("s"), (v * v).alias("q")))
+        return F.aggregate(pairs, nothing, plus)
+
+    nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rest = (F.col("n") - (blocks - 1) * block).cast("int")
+    starts = series.select(
+        key, "n", F.struct("place", sums(F.col("values")).alias("whole"), sums(F.slice("values", 1, rest)).alias("last")).alias("start")
+    )
+    keyed = starts.groupBy(key, "n").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def drawn(draw: Column) -> Column:
+        first = F.pmod(
+            F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), draw), F.greatest(F.col("n") - block + 1, F.lit(1))
         )
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-        .filter(F.col("draw") * block + F.col("step") < F.col("n"))
-        .select(key, "sample", (F.col("first") + F.col("step")).cast("int").alias("pos"))
+        start = F.get("starts", first.cast("int"))
+        return F.when(draw == blocks - 1, start["last"]).otherwise(start["whole"])
+
+    sampled = keyed.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), blocks - 1), drawn), nothing, plus)
+    per_sample = sampled.select(key, "n", total.alias("total")).select(
+        key, "n", F.col("total.q").alias("q"), (F.col("total.s") / F.col("n")).alias("mean")
     )
-    per_sample = (
-        draws.join(series, [key, "pos"])
-        .groupBy(key, "sample")
-        .agg((F.avg("value") * YEAR).alias("ret"), sharpe("value").alias("sharpe"))
+    spread = F.when(
+        F.col("n") > 1,
+        F.sqrt(F.greatest(F.col("q") - F.col("n") * F.col("mean") ** 2, F.lit(0.0)) / (F.col("n") - 1)),
+    )
+    per_sample = per_sample.select(
+        key, (F.col("mean") * YEAR).alias("ret"), (ratio(F.col("mean"), spread) * math.sqrt(YEAR)).alias("sharpe")
     )
     q = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     out = per_sample.groupBy(key).agg(
@@ -429,18 +453,31 @@ def ledger_sharpes(daily: DataFrame, capital: float) -> DataFrame:
     )
 
 
-def trade_drawdown(
-    trades: DataFrame, capital: float, slice_width: int = 1_000_000, sliced_by: str = "ticket"
-) -> DataFrame:
+def _fold_level(df: DataFrame, parents: list[str], order: str) -> DataFrame:
+    """Join the stretches of each parent, in order, to one stretch: its total, highest and lowest
+    running total and worst drop."""
+    before = Window.partitionBy(*parents).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    df = df.withColumns({"top": F.col("offset") + F.col("top"), "bottom": F.col("offset") + F.col("bottom")})
+    df = df.withColumn("drop", F.least("drop", F.col("bottom") - F.max("top").over(before)))
+    return df.groupBy(*parents).agg(
+        F.sum("total").alias("total"), F.max("top").alias("top"),
+        F.min("bottom").alias("bottom"), F.min("drop").alias("drop"),
+    )
+
+
+def trade_drawdown(trades: DataFrame, slice_width: int = 1_000_000, sliced_by: str = "ticket") -> DataFrame:
     """Worst drop of trade-by-trade equity in (close time, strategy, ticket) order.
 
-    Running totals are two-level: inside slices of (day, strategy, ticket range) and over the
-    slice totals.  A day or strategy that holds most trades is still many slices, and only one
-    row per slice reaches the ordered pass.
+    A stretch of trades is its total, its highest and lowest running total and its worst drop, and two
+    stretches in order make one.  Trades become slices of (close time, strategy, ticket range), these
+    are joined per strategy, then per close time, then per day; each window stays within its parent,
+    so a hot strategy is still many slices and only one row per day reaches the last ordered pass.
     """
-    part = F.floor(F.col(sliced_by) / slice_width)
-    keys = ["close_time", "strategy", "part"]
-    df = trades.withColumn("part", part)
+    keys = ["day", "close_time", "strategy", "part"]
+    df = trades.withColumns(
+        {"day": F.to_date("close_time"), "part": F.floor(F.col(sliced_by) / slice_width)}
+    )
     run = (
         Window.partitionBy(*keys)
         .orderBy("ticket")
@@ -448,20 +485,16 @@ def trade_drawdown(
     )
     df = df.withColumn("inside", F.sum("pnl").over(run))
     df = df.withColumn("drop", F.col("inside") - F.max("inside").over(run))
-    slices = df.groupBy(*keys).agg(
+    df = df.groupBy(*keys).agg(
         F.sum("pnl").alias("total"),
         F.max("inside").alias("top"),
         F.min("inside").alias("bottom"),
         F.min("drop").alias("drop"),
     )
-    order = Window.orderBy(*keys)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("offset", F.lit(capital) + F.coalesce(F.sum("total").over(before), F.lit(0.0)))
-    slices = slices.withColumn("peak_before", F.max(F.col("offset") + F.col("top")).over(before))
-    worst = F.least(
-        F.col("drop"), F.col("offset") + F.col("bottom") - F.col("peak_before")
-    )
-    return slices.agg(F.min(worst).alias("trade_max_drawdown"))
+    while keys:
+        order = keys.pop()
+        df = _fold_level(df, keys, order)
+    return df.select(F.col("drop").alias("trade_max_drawdown"))
 
 
 def ledger_monthly(daily: DataFrame) -> DataFrame:
@@ -475,19 +508,20 @@ def ledger_monthly(daily: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, x: str, probabilities: list[float], bins: int = 4096) -> DataFrame:
     """Linear-interpolated quantiles of one big column without sorting or collecting it.
 
-    Pass one counts equal-width bins.  Pass two keeps only the bins that hold a wanted rank,
+    Pass one takes bin edges from approximate quantiles, so bins hold similar numbers of rows whatever
+    the outliers, and counts them exactly.  Pass two keeps only the bins that hold a wanted rank,
     collapses them to (value, count) and numbers those.  One output row per probability.
     """
     value = df.select(F.col(x).cast("double").alias("v")).filter("v IS NOT NULL")
-    lo, hi, n = value.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    marks = [k / bins for k in range(1, bins)]
+    edges, n = value.agg(F.percentile_approx("v", marks, 4 * bins), F.count("v")).first()
     spark = value.sparkSession
     if n == 0:
         return spark.createDataFrame([], "probability double, quantile double")
-    width = (hi - lo) / bins
-    bucket = (
-        F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-    )
-    binned = value.withColumn("bin", bucket)
+    inner = sorted({e for e in edges if math.isfinite(e)})
+    splits = [-math.inf, *inner, math.inf] if inner else [-math.inf, 0.0, math.inf]
+    cut = Bucketizer(splits=splits, inputCol="v", outputCol="bin", handleInvalid="keep")
+    binned = cut.transform(value)
     histogram = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c"))
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = histogram.withColumn("upto", F.sum("c").over(w))

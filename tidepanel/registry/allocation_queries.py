@@ -9,7 +9,7 @@ from tidepanel.operators import accounting as B
 from tidepanel.operators import calendar as cal
 from tidepanel.operators import network as G
 from tidepanel.registry.base import query, r, shared
-from tidepanel.registry.evaluate_queries import few, sharpe_sql  # noqa: F401
+from tidepanel.registry.evaluate_queries import few, grid, sharpe_sql  # noqa: F401
 from tidepanel.session import cut_lineage
 from tidepanel.sources import tables as src
 
@@ -159,10 +159,10 @@ def market_neutral_weights(spark, folder):
 
 @query(
     "family_mean_sleeves",
-    f"""SELECT family, trading_date, {r('avg(net)', 'net')} FROM t_few GROUP BY family, trading_date""",
+    f"""SELECT family, trading_date, {r('avg(net)', 'net')} FROM t_grid GROUP BY family, trading_date""",
 )
 def family_mean_sleeves(spark, folder):
-    return tidy(B.mean_sleeve(few(spark, folder), ["family"]))
+    return tidy(B.mean_sleeve(grid(spark, folder), ["family"]))
 
 
 @query(

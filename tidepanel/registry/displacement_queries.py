@@ -106,7 +106,7 @@ def regression_displacement_features(spark, folder):
     return tidy(out.select("symbol", F.unix_timestamp("hour_start_utc").alias("ts"), *NAMES))
 
 
-HORIZONS = (1, 4, 23)
+HORIZONS = D.TARGET_HORIZONS
 shared(
     t_targets="SELECT symbol, trading_date, hour_start_utc, z, "
     + ", ".join(

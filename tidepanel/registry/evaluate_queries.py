@@ -67,10 +67,6 @@ FROM (SELECT *, CASE WHEN abs(observed) >= threshold THEN sign(side * observed)
       CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0), (1.5)) h(threshold))
 """,
     t_few="SELECT * FROM t_grid WHERE lookback = 2 AND threshold = 0.5",
-    t_few_fold="""
-SELECT g.*, f.fold FROM t_few g LEFT JOIN t_folds f
-  ON g.trading_date BETWEEN f.validation_start AND f.validation_end
-""",
     t_grid_fold="""
 SELECT g.*, f.fold FROM t_grid g LEFT JOIN t_folds f
   ON g.trading_date BETWEEN f.validation_start AND f.validation_end
@@ -170,15 +166,15 @@ def session_scores(spark, folder):
              ELSE 'D_exploratory_negative' END AS research_tier
         FROM (SELECT strategy, {metric_sql('net')},
                      {r('avg(sides)', 'average_daily_sides')}
-              FROM {dd('t_few_fold', 'strategy', 'net', 'fold IS NOT NULL')} GROUP BY strategy) p
+              FROM {dd('t_grid_fold', 'strategy', 'net', 'fold IS NOT NULL')} GROUP BY strategy) p
         JOIN (SELECT strategy, CAST(count(*) FILTER (m > 0) AS BIGINT) AS positive_folds,
                      {r('min(s)', 'worst_fold_sharpe')}
-              FROM (SELECT strategy, fold, avg(net) AS m, {sharpe_sql('net')} AS s FROM t_few_fold
+              FROM (SELECT strategy, fold, avg(net) AS m, {sharpe_sql('net')} AS s FROM t_grid_fold
                     WHERE fold IS NOT NULL GROUP BY strategy, fold) GROUP BY strategy)
           USING (strategy)""",
 )
 def fold_and_pooled_metrics(spark, folder):
-    df = L.fold_of_session(few(spark, folder))
+    df = L.fold_of_session(grid(spark, folder))
     out = E.fold_and_pooled(df, ["strategy"], "net", F.avg("sides").alias("average_daily_sides"))
     out = out.withColumns(
         {
@@ -193,12 +189,12 @@ def fold_and_pooled_metrics(spark, folder):
     "cost_stress_grid",
     f"""SELECT strategy, cost_bps, {metric_sql('stressed')}
         FROM {dd('''(SELECT strategy, trading_date, c.cost_bps, gross - sides * c.cost_bps / 10000 AS stressed
-                     FROM t_few CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0), (3.5), (5.0)) c(cost_bps))''',
+                     FROM t_grid CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0), (3.5), (5.0)) c(cost_bps))''',
                  'strategy, cost_bps', 'stressed')}
         GROUP BY strategy, cost_bps""",
 )
 def cost_stress_grid(spark, folder):
-    df = E.with_costs(few(spark, folder).drop("net"), (0.0, 0.5, 1.0, 2.0, 3.5, 5.0))
+    df = E.with_costs(grid(spark, folder).drop("net"), (0.0, 0.5, 1.0, 2.0, 3.5, 5.0))
     return tidy(E.summarize(df, ["strategy", "cost_bps"], "net"))
 
 
@@ -257,10 +253,10 @@ def temporal_stability_audit(spark, folder):
         max(trading_date) AS "end", {r('product(1 + net) - 1', 'total_return')},
         {r(f"coalesce({sharpe_sql('net')}, 0)", 'sharpe')}
         FROM (SELECT *, ntile(4) OVER (PARTITION BY strategy ORDER BY trading_date) AS subperiod
-              FROM t_few) GROUP BY strategy, subperiod""",
+              FROM t_grid) GROUP BY strategy, subperiod""",
 )
 def subperiod_table(spark, folder):
-    return tidy(E.subperiods(few(spark, folder), ["strategy"], "net"))
+    return tidy(E.subperiods(grid(spark, folder), ["strategy"], "net"))
 
 
 @query(
@@ -271,12 +267,12 @@ def subperiod_table(spark, folder):
         {r(f"coalesce({sharpe_sql('net', f'FILTER (rn > {k})')}, 0)", 'sharpe')},
         {r(f'CASE WHEN sum(net) > 0 THEN coalesce(sum(net) FILTER (rn <= {k}), 0) / sum(net) END', 'share_of_net_sum_removed')}
         FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY net DESC, trading_date) AS rn
-              FROM t_few) GROUP BY strategy"""
+              FROM t_grid) GROUP BY strategy"""
         for k in (0, 1, 3, 5, 10)
     ),
 )
 def best_days_removed(spark, folder):
-    return tidy(E.best_days_removed(few(spark, folder), ["strategy"], "net"))
+    return tidy(E.best_days_removed(grid(spark, folder), ["strategy"], "net"))
 
 
 @query(
@@ -290,16 +286,16 @@ def best_days_removed(spark, folder):
                      {r(sharpe_sql('net'), 'sharpe')}, {r('min(drawdown)', 'maximum_drawdown')},
                      {r('avg((net > 0)::INT)', 'win_days')},
                      CAST(count(*) FILTER (net > 0) AS BIGINT) AS positive_days
-              FROM {dd('t_few', 'strategy', 'net')} GROUP BY strategy) d
+              FROM {dd('t_grid', 'strategy', 'net')} GROUP BY strategy) d
         {' '.join(f'''JOIN (SELECT strategy, avg((x > 0)::INT) AS win_{p}s,
                  CAST(count(*) FILTER (x > 0) AS BIGINT) AS positive_{p}s,
                  CAST(count(*) AS BIGINT) AS {p}s
           FROM (SELECT strategy, date_trunc('{p}', trading_date) AS k, product(1 + net) - 1 AS x
-                FROM t_few GROUP BY ALL) GROUP BY strategy) {p}_table USING (strategy)'''
+                FROM t_grid GROUP BY ALL) GROUP BY strategy) {p}_table USING (strategy)'''
                 for p in E.PERIODS)}""",
 )
 def performance_snapshot(spark, folder):
-    return tidy(E.performance_snapshot(few(spark, folder), ["strategy"], "net"))
+    return tidy(E.performance_snapshot(grid(spark, folder), ["strategy"], "net"))
 
 
 @query(
@@ -307,12 +303,12 @@ def performance_snapshot(spark, folder):
     " UNION ALL ".join(
         f"""SELECT strategy, '{p}' AS period_type,
         CAST(date_trunc('{p}', trading_date) AS DATE) AS period_start,
-        {r('product(1 + net) - 1', 'period_return')} FROM t_few GROUP BY ALL"""
+        {r('product(1 + net) - 1', 'period_return')} FROM t_grid GROUP BY ALL"""
         for p in E.PERIODS
     ),
 )
 def calendar_period_returns(spark, folder):
-    return tidy(E.period_returns(few(spark, folder), ["strategy"], "net"))
+    return tidy(E.period_returns(grid(spark, folder), ["strategy"], "net"))
 
 
 @query(
@@ -321,10 +317,10 @@ def calendar_period_returns(spark, folder):
         CAST(count(*) FILTER (x > 0) AS BIGINT) AS positive_weeks,
         {r('count(*) FILTER (x > 0) / ((max(k) - min(k)) / 7 + 1)', 'win_weeks')}
         FROM (SELECT strategy, CAST(trading_date + CAST((12 - isodow(trading_date)) % 7 AS INTEGER) AS DATE) AS k,
-                     product(1 + net) - 1 AS x FROM t_few GROUP BY 1, 2) GROUP BY strategy""",
+                     product(1 + net) - 1 AS x FROM t_grid GROUP BY 1, 2) GROUP BY strategy""",
 )
 def weekly_hit_rate(spark, folder):
-    return tidy(E.weekly_hits(few(spark, folder), ["strategy"], "net"))
+    return tidy(E.weekly_hits(grid(spark, folder), ["strategy"], "net"))
 
 
 @query(
@@ -343,7 +339,7 @@ def expected_shortfall(spark, folder):
 @query("block_bootstrap_summary")
 def block_bootstrap_summary(spark, folder):
     """Seeded draws of Spark's own hash: no SQL form; checked by distribution in the tests."""
-    return tidy(E.block_bootstrap(few(spark, folder), "strategy", "net", samples=200))
+    return tidy(E.block_bootstrap(grid(spark, folder), "strategy", "net"))
 
 
 shared(
@@ -413,10 +409,10 @@ def probability_diagnostics(spark, folder):
                  {{'gate': 'all_gates', 'passed': a AND b AND c}}]) AS g
           FROM (SELECT strategy, avg(net) * 252 > 0 AS a,
                        {sharpe_sql('net')} >= 0.5 AS b, min(drawdown) > -0.15 AS c
-                FROM {dd('t_few', 'strategy', 'net')} GROUP BY strategy))""",
+                FROM {dd('t_grid', 'strategy', 'net')} GROUP BY strategy))""",
 )
 def audit_gates(spark, folder):
-    summary = E.summarize(few(spark, folder), ["strategy"], "net")
+    summary = E.summarize(grid(spark, folder), ["strategy"], "net")
     return E.gates(
         summary,
         {
@@ -504,7 +500,7 @@ def ledger_sharpes(spark, folder):
 )
 def trade_sequence_drawdown(spark, folder):
     trades = ledger(spark, folder).withColumn("ticket", F.struct("ticket0", "p", "s"))
-    return tidy(E.trade_drawdown(trades, CAPITAL, 20_000, "ticket0"), 7)
+    return tidy(E.trade_drawdown(trades, 20_000, "ticket0"), 7)
 
 
 @query(

@@ -20,7 +20,8 @@ from tidepanel.registry.signal_queries import PEERS, full_features, numbered
 from tidepanel.session import cut_lineage
 from tidepanel.sources import tables as src
 
-FOLDS = {"train": 504, "validation": 504, "embargo": 5}
+# Bar lengths of the studies, in minutes.
+TIMEFRAMES = (15, 30, 60, 240)
 
 
 def variant_totals(df, *variant):
@@ -32,18 +33,25 @@ def variant_totals(df, *variant):
     )
 
 
+def per_timeframe(spark, folder, study, *variant):
+    """Totals of a bar study at every bar length."""
+    out = None
+    for minutes in TIMEFRAMES:
+        part = study(src.settled_bars(spark, folder, minutes)).withColumn("timeframe", F.lit(minutes))
+        out = part if out is None else out.unionByName(part)
+    return variant_totals(out, "timeframe", *variant)
+
+
 @query("component_residual_grid")
 def component_residual_grid(spark, folder):
-    """First-component rules on hour bars; the tests refit one session by hand."""
-    out = P.component_grid(src.settled_bars(spark, folder, 60), sessions=(20,))
-    return variant_totals(out, "train", "threshold", "confirmation", "symbol")
+    """First-component rules, 48 variants; the tests refit one session by hand."""
+    return per_timeframe(spark, folder, P.component_grid, "train", "threshold", "confirmation", "symbol")
 
 
 @query("ridge_var_grid")
 def ridge_var_grid(spark, folder):
-    """Ridge VAR rules on hour bars; the tests refit one session by hand."""
-    out = P.var_grid(src.settled_bars(spark, folder, 60), sessions=(20,))
-    return variant_totals(out, "train", "penalty", "threshold", "symbol")
+    """Ridge VAR rules, 32 variants; the tests refit one session by hand."""
+    return per_timeframe(spark, folder, P.var_grid, "train", "penalty", "threshold", "symbol")
 
 
 @query("network_rule_grid")
@@ -54,15 +62,15 @@ def network_rule_grid(spark, folder):
 
 @query("hypothesis_pass_one")
 def hypothesis_pass_one(spark, folder):
-    """Families H002-H006 on hour and four-hour bars, each checked on its own as well."""
-    bars = {m: src.settled_bars(spark, folder, m) for m in (60, 240)}
+    """Families H002-H006 on bars of every length, each checked on its own as well."""
+    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
     out = P.hypothesis_pass_one(bars, LEADERS, least=10)
     return variant_totals(out, "hypothesis_id", "timeframe", "symbol")
 
 
 @query("hypothesis_pass_two")
 def hypothesis_pass_two(spark, folder):
-    bars = {m: src.settled_bars(spark, folder, m) for m in (60, 240)}
+    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
     out = P.hypothesis_pass_two(bars, cut_lineage(dense(spark, folder)))
     return variant_totals(out, "hypothesis_id", "timeframe", "symbol")
 
@@ -86,21 +94,21 @@ def study_tail(spark, folder):
 @query("theme_search")
 def theme_search(spark, folder):
     feats = cut_lineage(full_features(spark, folder))
-    out = P.theme_search(feats, src.settled_panel(spark, folder), folds=FOLDS)
+    out = P.theme_search(feats, src.settled_panel(spark, folder))
     return tidy(out)
 
 
 @query("reversion_tournament")
 def reversion_tournament(spark, folder):
     feats = cut_lineage(full_features(spark, folder))
-    return tidy(P.reversion_tournament(feats, src.settled_panel(spark, folder), folds=FOLDS))
+    return tidy(P.reversion_tournament(feats, src.settled_panel(spark, folder)))
 
 
 @query("candidate_portfolio")
 def candidate_portfolio(spark, folder):
     feats = cut_lineage(full_features(spark, folder))
     sleeves = P.forecast_sleeves(feats, src.settled_panel(spark, folder))
-    return tidy(P.candidate_portfolio(sleeves, FOLDS))
+    return tidy(P.candidate_portfolio(sleeves))
 
 
 @query("trend_baseline_with_regimes")
