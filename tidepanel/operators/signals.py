@@ -361,6 +361,75 @@ def intraday_grid_activity(bars, lookbacks=(2, 4, 8)):
     )
 
 
+def intraday_rule_returns(bars, lookbacks=(2, 4, 8)):
+    """Daily gross return and traded sides of every intraday rule.
+
+    A rising edge of the entry level opens a stretch one bar later in the same session; a later edge
+    opens the next one.  A stretch ends after ``hold`` bars, one bar after a calm score, one bar after
+    its own return fell to the stop, or with the session.  Weights share one unit of exposure per bar.
+    All windows lie within (session, theme, lookback), so one shuffle before the variants serves them.
+    """
+    df = entry_eligibility(bar_themes(bars, lookbacks))
+    scores = F.array(
+        *[
+            F.struct(F.lit(t).alias("theme"), F.lit(n).alias("lookback"), F.col(f"{t}_{n}").alias("score"))
+            for t in ("mean_reversion", "relative_value", "lead_lag")
+            for n in lookbacks
+        ]
+    )
+    keep = ["symbol", "trading_date", BAR, "return", "eligible_all", "eligible_below_median",
+            "eligible_above_median", "in_us_core", "in_overnight"]
+    df = df.select(*keep, F.inline(scores)).repartition("trading_date", "theme", "lookback")
+    df = df.select("*", F.inline(intraday_rules()))
+    no, rule = F.lit(False), ["theme", "lookback", "variant"]
+    own = ["trading_date", *rule, "symbol"]
+    w = frames.ordered(own, BAR)
+    allowed = (
+        F.when(F.col("volatility_filter") == "below_median", F.col("eligible_below_median"))
+        .when(F.col("volatility_filter") == "above_median", F.col("eligible_above_median"))
+        .otherwise(F.col("eligible_all"))
+    ) & (
+        F.when(F.col("time_rule") == "us_core", F.col("in_us_core"))
+        .when(F.col("time_rule") == "overnight", F.col("in_overnight"))
+        .otherwise(F.lit(True))
+    )
+    up = F.coalesce(F.col("score") >= F.col("entry"), no)
+    down = F.coalesce(F.col("score") <= -F.col("entry"), no)
+    df = df.withColumns(
+        {
+            "now": F.when(allowed & up, 1).when(allowed & down, -1).otherwise(0),
+            "calm_before": F.coalesce(F.lag(F.abs("score") <= F.col("exit")).over(w), no),
+        }
+    )
+    df = df.withColumn("edge", F.when(F.col("now") != F.coalesce(F.lag("now").over(w), F.lit(0)), F.col("now")).otherwise(0))
+    side = F.lag("edge").over(w)
+    df = df.withColumn("side", F.when(side != 0, side))
+    so_far = w.rowsBetween(frames.Window.unboundedPreceding, 0)
+    df = df.withColumns(
+        {"stretch": F.count("side").over(so_far), "direction": F.last("side", ignorenulls=True).over(so_far)}
+    )
+    v = frames.ordered([*own, "stretch"], BAR)
+    df = df.withColumn("age", F.row_number().over(v) - 1)
+    before = v.rowsBetween(frames.Window.unboundedPreceding, -1)
+    made = F.sum(F.col("direction") * F.coalesce("return", F.lit(0.0))).over(before)
+    df = df.withColumns(
+        {
+            "left": F.max(F.col("calm_before") & (F.col("age") > 0)).over(v.rowsBetween(frames.Window.unboundedPreceding, 0)),
+            "made": made,
+        }
+    )
+    df = df.withColumn("lowest", F.min("made").over(v.rowsBetween(frames.Window.unboundedPreceding, 0)))
+    stopped = F.coalesce(F.col("lowest") <= -F.col("stop"), no)
+    held = (F.col("stretch") > 0) & (F.col("age") < F.col("hold")) & ~F.col("left") & ~stopped
+    df = df.withColumn("position", F.when(held, F.col("direction")).otherwise(0).cast("double"))
+    everyone = F.sum(F.abs("position")).over(frames.Window.partitionBy("trading_date", *rule, BAR))
+    df = df.withColumn("weight", F.coalesce(ratio("position", everyone), F.lit(0.0)))
+    moved = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0)))
+    closing = F.when(F.lead("weight").over(w).isNull(), F.abs("weight")).otherwise(0.0)
+    df = df.withColumns({"sides": moved + closing, "gross": F.col("weight") * F.coalesce("return", F.lit(0.0))})
+    return df.groupBy(*rule, "trading_date").agg(F.sum("gross").alias("gross"), F.sum("sides").alias("sides"))
+
+
 def parameter_grid(symbols, grid):
     """Every parameter combination per symbol; values come from literals, exploded in turn."""
     for name, values in grid.items():

@@ -229,6 +229,85 @@ def intraday_rule_grid(spark, folder):
     return N.intraday_grid_activity(numbered(spark, folder))
 
 
+shared(
+    t_rule_days="""
+WITH long AS (
+  SELECT *, CASE WHEN allowed AND coalesce(score >= entry, false) THEN 1 WHEN allowed AND coalesce(score <= -entry, false) THEN -1 ELSE 0 END AS now,
+         coalesce(lag(abs(score) <= leave) OVER w, false) AS calm_before
+  FROM (SELECT *, CASE vol WHEN 'below_median' THEN e_below WHEN 'above_median' THEN e_above ELSE e_all END
+               AND CASE clock WHEN 'us_core' THEN core WHEN 'overnight' THEN NOT core ELSE true END AS allowed
+        FROM ("""
+    + " UNION ALL ".join(
+        f"SELECT symbol, trading_date, timestamp_utc, \"return\" AS x, e_all, e_below, e_above, core, '{t}' AS theme, {n} AS lookback, {t}_{n} AS score FROM t_eligible"
+        for n in (2, 4, 8) for t in ("mean_reversion", "relative_value", "lead_lag")
+    )
+    + ") CROSS JOIN (VALUES "
+    + ", ".join(
+        f"({i}, {v[0]}, {v[1]}, {v[2]}, '{v[3]}', '{v[4]}', {'NULL::DOUBLE' if v[5] is None else v[5]})"
+        for i, v in enumerate(N.INTRADAY_VARIANTS, 1)
+    )
+    + """) v(variant, entry, leave, hold, vol, clock, stop))
+  WINDOW w AS (PARTITION BY symbol, trading_date, theme, lookback, variant ORDER BY timestamp_utc)
+), edges AS (
+  SELECT *, CASE WHEN now <> coalesce(lag(now) OVER w, 0) THEN now ELSE 0 END AS edge FROM long
+  WINDOW w AS (PARTITION BY symbol, trading_date, theme, lookback, variant ORDER BY timestamp_utc)
+), entered AS (
+  SELECT *, nullif(lag(edge) OVER w, 0) AS side, row_number() OVER w AS rn FROM edges
+  WINDOW w AS (PARTITION BY symbol, trading_date, theme, lookback, variant ORDER BY timestamp_utc)
+), stretches AS (
+  SELECT *, max(CASE WHEN side IS NOT NULL THEN rn END) OVER w AS opened FROM entered
+  WINDOW w AS (PARTITION BY symbol, trading_date, theme, lookback, variant ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)
+), directed AS (
+  SELECT *, rn - opened AS age, max(side) OVER (PARTITION BY symbol, trading_date, theme, lookback, variant, opened) AS direction
+  FROM stretches WHERE opened IS NOT NULL
+), paths AS (
+  SELECT *, sum(direction * coalesce(x, 0)) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made,
+         bool_or(calm_before AND age > 0) OVER (v ROWS UNBOUNDED PRECEDING) AS gone FROM directed
+  WINDOW v AS (PARTITION BY symbol, trading_date, theme, lookback, variant, opened ORDER BY timestamp_utc)
+), placed AS (
+  SELECT e.symbol, e.trading_date, e.theme, e.lookback, e.variant, e.timestamp_utc, e.x, coalesce(p.position, 0.0) AS position
+  FROM entered e LEFT JOIN (
+    SELECT *, CASE WHEN age < hold AND NOT gone AND NOT coalesce(min(made) OVER v <= -stop, false) THEN direction::DOUBLE ELSE 0.0 END AS position FROM paths
+    WINDOW v AS (PARTITION BY symbol, trading_date, theme, lookback, variant, opened ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)) p
+  USING (symbol, trading_date, theme, lookback, variant, timestamp_utc)
+), weighed AS (
+  SELECT *, coalesce(position / nullif(sum(abs(position)) OVER (PARTITION BY theme, lookback, variant, timestamp_utc), 0), 0) AS weight FROM placed
+)
+SELECT theme, lookback, variant, trading_date, sum(weight * coalesce(x, 0)) AS gross, sum(moved) AS sides
+FROM (SELECT *, abs(weight - coalesce(lag(weight) OVER w, 0)) + CASE WHEN lead(weight) OVER w IS NULL THEN abs(weight) ELSE 0 END AS moved FROM weighed
+      WINDOW w AS (PARTITION BY symbol, trading_date, theme, lookback, variant ORDER BY timestamp_utc))
+GROUP BY ALL
+"""
+)
+
+
+@query(
+    "intraday_rule_returns",
+    f"""SELECT theme, lookback, variant, trading_date, {r('gross', 'gross')}, {r('sides', 'sides')},
+        {r('gross - sides * 1.75 / 10000', 'net_1_75')}, {r('gross - sides * 3.5 / 10000', 'net_3_5')}, {r('gross - sides * 7.0 / 10000', 'net_7')}
+        FROM t_rule_days""",
+)
+def intraday_rule_returns(spark, folder):
+    df = N.intraday_rule_returns(numbered(spark, folder))
+    costs = {"net_1_75": 1.75, "net_3_5": 3.5, "net_7": 7.0}
+    return tidy(df.withColumns({n: F.col("gross") - F.col("sides") * c / 10_000.0 for n, c in costs.items()}))
+
+
+@query("intraday_rule_search")
+def intraday_rule_search(spark, folder):
+    """All 576 rules over four bar lengths, totals before cost; hour bars have their own SQL check."""
+    out = None
+    for minutes in (15, 30, 60, 240):
+        part = N.intraday_rule_returns(numbered(spark, folder, minutes)).withColumn("timeframe", F.lit(minutes))
+        out = part if out is None else out.unionByName(part)
+    return tidy(
+        out.groupBy("timeframe", "theme", "lookback", "variant").agg(
+            F.count(F.lit(1)).alias("sessions"), F.sum("gross").alias("gross"), F.sum("sides").alias("sides"),
+            F.count_if(F.col("sides") > 0).alias("active_sessions"),
+        )
+    )
+
+
 @query("sampled_rule_population")
 def sampled_rule_population(spark, folder):
     """Seeded balanced draw of rules per symbol: Spark's hash order has no SQL form."""
