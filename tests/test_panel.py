@@ -19,7 +19,7 @@ from tidepanel.operators import labels as L
 from tidepanel.operators import network as G
 from tidepanel.operators import signals as N
 from tidepanel.operators import smoothing
-from tidepanel.operators.joins import assert_unique
+from tidepanel.operators.joins import assert_unique, merge_many_to_one, merge_unique
 from tidepanel.operators.stateful import hysteresis
 
 
@@ -303,3 +303,12 @@ def test_isolated_node_is_uniform(spark):
 def test_duplicate_keys_are_refused(spark):
     with pytest.raises(ValueError, match="not unique"):
         assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
+
+
+def test_merges_refuse_repeated_keys_when_they_run(spark):
+    once = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, w string")
+    assert merge_many_to_one(twice, once, ["k"]).count() == 3
+    for broken in (merge_unique(twice, once, ["k"]), merge_many_to_one(once, twice, ["k"])):
+        with pytest.raises(Exception, match="not unique"):
+            broken.collect()

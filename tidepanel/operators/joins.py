@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.calendar import contract_parts
@@ -16,14 +16,26 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; a repeated key ends the query.  The check is a window on the keys inside the plan,
+    so a join on them uses its shuffle and nothing runs while the query is built."""
+    repeated = F.raise_error(F.lit(f"keys are not unique: {keys}")).cast("boolean")
+    seen = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return (
+        df.withColumn("rows_of_key", seen)
+        .filter(F.when(F.col("rows_of_key") > 1, repeated).otherwise(True))
+        .drop("rows_of_key")
+    )
+
+
 def merge_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """1:1 join after checking both sides."""
-    return assert_unique(left, keys).join(assert_unique(right, keys), keys, how)
+    """1:1 join; a key repeated on either side ends the query."""
+    return unique_rows(left, keys).join(unique_rows(right, keys), keys, how)
 
 
 def merge_many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join onto a table with unique keys; Spark broadcasts it when its size allows."""
-    return left.join(assert_unique(right, keys), keys, "left")
+    return left.join(unique_rows(right, keys), keys, "left")
 
 
 def reconcile_instruments(symbols: DataFrame, master: DataFrame) -> DataFrame:

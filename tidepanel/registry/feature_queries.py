@@ -277,19 +277,19 @@ def tape_pace_features(spark, folder):
           AND dispersion IS NOT NULL AS feature_set_complete
         FROM t_feat0
         LEFT JOIN (SELECT symbol, trading_date, CAST(observations AS DOUBLE) AS observed
-                   FROM t_session WHERE observations > 1) USING (symbol, trading_date)
+                   FROM t_session) USING (symbol, trading_date)
         LEFT JOIN (SELECT symbol, trading_date, realized_volatility_1m AS dispersion
-                   FROM t_session WHERE volume > 20) USING (symbol, trading_date)""",
+                   FROM t_session) USING (symbol, trading_date)""",
 )
 def feature_assembly(spark, folder):
     panel = src.session_panel(spark, folder)
     base = X.session_features(panel, ("return",)).select(
         "symbol", "trading_date", "feature_available_at_utc", "log_return_1s", "momentum_20s"
     )
-    a = panel.filter("observations > 1").select(
+    a = panel.select(
         "symbol", "trading_date", F.col("observations").cast("double").alias("observed")
     )
-    b = panel.filter("volume > 20").select(
+    b = panel.select(
         "symbol", "trading_date", F.col("realized_volatility_1m").alias("dispersion")
     )
     return tidy(X.assemble(base, a, b).drop("feature_available_at_utc", "momentum_20s"))

@@ -350,21 +350,27 @@ def breakout_forecast(spark, folder):
     return tidy(feats.select("symbol", "trading_date", N.breakout_forecast().alias("score")))
 
 
+TAPE_INPUTS = ("intraday_tail_imbalance", "return_sign_imbalance", "volume_per_observed_minute")
+
+
 def full_features(spark, folder):
-    """All session features plus the two tape columns the reversion registry reads."""
-    feats = X.session_features(src.settled_panel(spark, folder))
-    return feats.withColumns(
-        {
-            "intraday_tail_imbalance": F.col("high_to_previous_close") + F.col("low_to_previous_close"),
-            "return_sign_imbalance": F.col("close_location") * 2 - 1,
-        }
-    )
+    """All session features with the tape columns that the rules and regimes read."""
+    panel = src.settled_panel(spark, folder)
+    tape = X.tape_pace(src.session_returns(spark, folder)).select("symbol", "trading_date", *TAPE_INPUTS)
+    return X.session_features(panel).join(tape, ["symbol", "trading_date"], "left")
 
 
 shared(
+    t_session_returns="""
+SELECT *, close / lag(close) OVER (PARTITION BY symbol, trading_date ORDER BY minute) - 1 AS return_1m
+FROM (SELECT symbol, trading_date, (k1 * 8 + k2) % 1440 AS minute, last(price ORDER BY k1, k2, price) AS close, sum(volume) AS volume
+      FROM t_quotes GROUP BY 1, 2, 3)
+""",
     t_feat_all="""
-SELECT *, high_to_previous_close + low_to_previous_close AS intraday_tail_imbalance,
-       close_location * 2 - 1 AS return_sign_imbalance FROM t_feat
+SELECT * FROM t_feat LEFT JOIN (
+  SELECT symbol, trading_date, abs(quantile_cont(return_1m, 0.9)) - abs(quantile_cont(return_1m, 0.1)) AS intraday_tail_imbalance,
+         avg(sign(return_1m)) AS return_sign_imbalance, sum(volume) / count(*) AS volume_per_observed_minute
+  FROM t_session_returns GROUP BY symbol, trading_date) USING (symbol, trading_date)
 """,
 )
 

@@ -128,7 +128,7 @@ def _median_mean(cols, absolute=False):
     )
 
 
-REGIME_NAMES = [c for group in G.REGIME_INPUTS.values() for c in group if c != "volume_per_observed_minute"]
+REGIME_NAMES = [c for group in G.REGIME_INPUTS.values() for c in group]
 
 
 def _scale_sql(c: str) -> str:
@@ -140,7 +140,7 @@ def _scale_sql(c: str) -> str:
 
 shared(
     t_reg0="SELECT symbol, trading_date, " + ", ".join(f"{_scale_sql(c)} AS {c}" for c in REGIME_NAMES)
-    + " FROM t_feat WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    + " FROM t_feat_all WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     t_reg1="SELECT trading_date, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in REGIME_NAMES) + " FROM t_reg0 GROUP BY trading_date",
     t_conc="""
 SELECT trading_date, CASE WHEN count(c) OVER w >= 120 THEN (c - min(c) OVER w) / nullif(max(c) OVER w - min(c) OVER w, 0) END AS cc
@@ -156,7 +156,7 @@ SELECT trading_date, cc, tr - 0.75 * vo - 0.25 * ac AS s0, tr + 0.5 * vo + 0.5 *
        vo + ac + ex + coalesce(cc, 0) - 0.5 * li AS s3
 FROM (SELECT trading_date, cc, {_median_mean(G.REGIME_INPUTS['trend'], True)} AS tr, {_median_mean(G.REGIME_INPUTS['volatility'])} AS vo,
         {_median_mean(G.REGIME_INPUTS['acceleration'])} AS ac, {_median_mean(G.REGIME_INPUTS['expansion'])} AS ex,
-        {_median_mean(G.REGIME_INPUTS['reversion'])} AS me, m_volume_zscore_20s AS li FROM t_reg1 LEFT JOIN t_conc USING (trading_date))
+        {_median_mean(G.REGIME_INPUTS['reversion'])} AS me, {_median_mean(G.REGIME_INPUTS['liquidity'])} AS li FROM t_reg1 LEFT JOIN t_conc USING (trading_date))
 """,
     t_reg3=f"""
 SELECT trading_date, cc, {", ".join(f"exp(s{i}) / (exp(s0) + exp(s1) + exp(s2) + exp(s3)) AS p{i}" for i in range(4))} FROM t_reg2
@@ -267,11 +267,11 @@ def unique_key_merge(spark, folder):
     """SELECT s.symbol, s.root, CASE WHEN d.root IS NOT NULL THEN 'configured' ELSE 'missing' END AS metadata_status,
               d.tick_value, d.multiplier
        FROM (SELECT DISTINCT symbol, CASE WHEN digits <> '' THEN substr(symbol, 1, length(symbol) - length(digits) - 1)
-                    WHEN symbol IN (SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part WHERE p_type <> 'PROMO') THEN symbol END AS root
+                    WHEN symbol IN (SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part) THEN symbol END AS root
              FROM (SELECT symbol, regexp_extract(symbol, '[FGHJKMNQUVXZ]([0-9]{1,2})$', 1) AS digits
                    FROM (SELECT CASE WHEN p_size % 2 = 0 THEN upper(substr(p_type, 1, 2)) ELSE upper(substr(p_type, 1, 2)) || 'U' || CAST(p_size % 30 AS VARCHAR) END AS symbol FROM part))) s
        LEFT JOIN (SELECT upper(substr(p_type, 1, 2)) AS root, CAST(max(p_size) AS DOUBLE) AS multiplier, CAST(max(p_size) * 0.25 AS DOUBLE) AS tick_value
-                  FROM part WHERE p_type <> 'PROMO' GROUP BY 1) d USING (root)""",
+                  FROM part GROUP BY 1) d USING (root)""",
 )
 def instrument_reconcile(spark, folder):
     from tidepanel.operators.joins import reconcile_instruments
@@ -283,7 +283,7 @@ def instrument_reconcile(spark, folder):
         .otherwise(F.concat(root, F.lit("U"), (F.col("p_size") % 30).cast("string")))
         .alias("symbol")
     ).distinct()
-    master = part.filter("p_type <> 'PROMO'").groupBy(root.alias("root")).agg(
+    master = part.groupBy(root.alias("root")).agg(
         F.max("p_size").cast("double").alias("multiplier"), (F.max("p_size") * 0.25).cast("double").alias("tick_value")
     )
     return reconcile_instruments(symbols, master)

@@ -106,6 +106,23 @@ def session_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def session_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Returns from print to print inside each session of the panel.
+
+    The given prints carry a position and no time of day; the position's remainder stands for the
+    minute, so a session is at most 1440 rows before any window sees it.
+    """
+    minute = F.pmod(F.shiftright("key", TICK_BITS), F.lit(1440))
+    bars = quotes(spark, folder).groupBy("symbol", "trading_date", minute.alias("minute")).agg(
+        F.max("key").alias("last_key"), F.sum("volume").alias("volume")
+    )
+    w = Window.partitionBy("symbol", "trading_date").orderBy("minute")
+    close = key_price(F.col("last_key"))
+    return bars.select(
+        "symbol", "trading_date", "minute", "volume", (close / F.lag(close).over(w) - 1.0).alias("return_1m")
+    )
+
+
 def week_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Session panel whose sessions are calendar weeks: every symbol prints in each of them."""
     weekly = quotes(spark, folder).withColumn("trading_date", F.trunc("trading_date", "week"))
