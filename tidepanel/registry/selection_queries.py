@@ -313,7 +313,7 @@ def learning_ridge_and_trees(spark, folder):
     ridge, _ = M.pooled_ridge(train, apply, names, [], robust=False)
     keep = ["symbol", "trading_date", "fold"]
     ridge = ridge.select(*keep, "target_return", F.col("forecast").alias("ridge_prediction"))
-    trees = M.boosted_by_fold(train, apply, names, [2, 3, 4], iterations=10, leaf=5)
+    trees = M.boosted_by_fold(train, apply, names, [2, 3, 4])
     out = ridge.join(trees.select(*keep, F.col("nonlinear").alias("nonlinear_prediction")), keep)
     return tidy(
         out.withColumn(

@@ -207,31 +207,36 @@ def intraday_sleeve(spark, folder):
 
 @query("displacement_study")
 def displacement_study(spark, folder):
-    """Hourly features, label-aware ridge per block, information coefficients of the forecasts."""
+    """Hourly features, label-aware ridge per block and horizon, information coefficients of the forecasts.
+
+    The prior-day regime shares stay out: the given hour bars and sessions share no dates.
+    """
+    names = [c for c in D.FEATURES if c not in D.REGIME_COLUMNS]
     base = cut_lineage(D.regression_features(hours(spark, folder)))
-    h = 8
-    names = ["regression_residual_zscore_24h", "regression_slope_24h", "regression_r_squared_24h",
-             "volatility_ratio_24h_120h", "volume_zscore_24h", "trend_efficiency_24h", "peer_return_1h"]
-    labels = D.regression_targets(base, (h,)).drop("trading_date")
-    df = E.date_blocks(base.join(labels, ["symbol", "hour_start_utc"]), 3)
-    df = cut_lineage(
-        df.withColumn("target", M.scaled_label(f"future_log_return_{h}h", "realized_volatility_24h", h))
-    )
-    train = df.filter("target IS NOT NULL").withColumn("fold", F.explode(F.sequence(F.lit(2), F.lit(3))))
+    labels = D.regression_targets(base, D.MODEL_HORIZONS).drop("trading_date")
+    df = cut_lineage(E.date_blocks(base.join(labels, ["symbol", "hour_start_utc"]), 3))
+    symbols = sorted(row.symbol for row in df.select("symbol").distinct().collect())
     edge = df.groupBy(F.col("block").alias("fold")).agg(F.min("trading_date").alias("cutoff"))
-    train = train.join(edge, "fold").filter(
-        (F.col("block") < F.col("fold"))
-        & (F.to_date(f"label_available_at_{h}h_utc") < F.col("cutoff"))
-    )
-    symbols = ["click", "error", "purchase", "signup", "view"]
-    forecast, _ = M.pooled_ridge(train.drop("cutoff"), df.filter("block > 1").withColumn("fold", F.col("block")), names, symbols)
-    return tidy(E.information_coefficients(forecast, ["fold", "symbol"], "forecast", f"future_log_return_{h}h"))
+    out = None
+    for h in D.MODEL_HORIZONS:
+        scaled = df.withColumn("target", M.scaled_label(f"future_log_return_{h}h", "realized_volatility_24h", h))
+        train = scaled.filter("target IS NOT NULL").withColumn("fold", F.explode(F.sequence(F.lit(2), F.lit(3))))
+        train = train.join(edge, "fold").filter(
+            (F.col("block") < F.col("fold"))
+            & (F.to_date(f"label_available_at_{h}h_utc") < F.col("cutoff"))
+        )
+        apply = scaled.filter("block > 1").withColumn("fold", F.col("block"))
+        forecast, _ = M.pooled_ridge(train.drop("cutoff"), apply, names, symbols)
+        part = E.information_coefficients(forecast, ["fold", "symbol"], "forecast", f"future_log_return_{h}h")
+        part = part.withColumn("horizon_hours", F.lit(h))
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
 
 
 @query("prepared_rule_scores")
 def prepared_rule_scores(spark, folder):
     """Every family and lookback with the bars each entry filter allows."""
-    long = P.rule_scores_prepared(numbered(spark, folder), (4,), PEERS)
+    long = P.rule_scores_prepared(numbered(spark, folder), (2, 4, 8, 16), PEERS)
     allowed = F.col("eligible_all") & F.col("score").isNotNull()
     return tidy(
         long.groupBy("family", "lookback", "symbol").agg(
