@@ -21,9 +21,12 @@ from tidepanel.session import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by the removal of boilerplate lines."""
+    """Documents that pass the base rules and are not depleted by the removal of boilerplate lines.
+
+    Exact copies count once, so a copy group goes on whole and the next stage keeps one of it.
+    """
     rows = with_keys(docs)
-    return without(rows, lines.line_frequency(rows).where(~F.col("kept"))).select(*docs.columns)
+    return without(rows, lines.line_frequency(rows, distinct=True).where(~F.col("kept"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """The pipeline stage by stage against the operators' brute-force versions, and the registered queries."""
 
 import collections
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.cases import SCHEMA, odd_rows, table
+from tests.llm.cases import SCHEMA, odd_rows, prose, table
 from tests.llm.test_operators import base_numbers, brute_components, brute_contamination, near_copies
 from tidepanel.session import shared_folder
 
@@ -80,3 +81,21 @@ def test_empty_documents_pass_through(spark):
         stage(spark, docs, FOLDER).write.parquet(folder)
         docs = spark.read.parquet(folder)
     assert docs.count() == 0
+
+
+def test_one_of_a_large_copy_group_survives(spark):
+    rng = random.Random(11)
+    copy = "\n".join(prose(rng, 12) for _ in range(5))
+    footer = "all rights reserved by the owners of this site and its many partners"
+    own = "\n".join(prose(rng, 12) for _ in range(5))
+    rows = [(i, copy, "en", "s0", 1) for i in range(100)]
+    rows += [(100 + i, prose(rng, 60, 5_000), "en", "s0", 1) for i in range(175)]
+    rows += [(275 + i, f"{footer}\nw{chr(97 + i)} is new", "en", "s0", 1) for i in range(25)]
+    rows += [(300 + i, own, "en", "s1", 1) for i in range(20)] + [(320 + i, prose(rng, 60, 5_000), "en", "s1", 1) for i in range(180)]
+    docs = table(spark, rows)
+    for name in ("quality_rules", "near_duplicates"):
+        folder = shared_folder(spark, "stage")
+        dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    left = sorted(r["doc_id"] for r in docs.collect())
+    assert left == [0, *range(100, 275), 300, *range(320, 500)]

@@ -6,15 +6,18 @@ the documents that hold a line are counted; a line is boilerplate when it stands
 removed, and a document is rejected as depleted when fewer than ``min_words`` words or less than
 ``min_left`` of its words remain.
 
+Documents are rows, or with ``distinct`` the distinct texts of the host, so that exact copies count once
+and a copy group of any size never makes boilerplate of its own lines.
+
 Each document sends a line once, and counts are combined before the shuffle, so a line of a third of
 all rows arrives as one row from each task.  The table of boilerplate lines is small by its
 definition: a host has at most its mean number of lines over ``max_share``.
 
 A separate set of base rules looks at one text alone (``base_measures``).
 
-Lines and five-word windows are compared by 64-bit hashes.  Edge cases: a null text has no words and
-fails the base rules; null is a host; an empty or blank line is never removed; repeated documents
-count each; an empty table gives an empty result; columns besides the named ones are not read.
+Lines, texts and five-word windows are compared by 64-bit hashes.  Edge cases: a null text has no words
+and fails the base rules; null is a host; an empty or blank line is never removed; repeated documents
+count each, unless ``distinct``; an empty table gives an empty result; columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -41,11 +44,15 @@ _LINE = pa.struct([("line", pa.int64()), ("words", pa.int64())])
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def signed_hash(data: bytes) -> int:
+    value = xxhash.xxh3_64_intdigest(data)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
 def line_hash(line: bytes) -> tuple[int, int]:
     """Hash of a normalised line as a signed long, and its words."""
     words = line.translate(_FOLD).split()
-    value = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return value - (1 << 64) if value >= 1 << 63 else value, len(words)
+    return signed_hash(b" ".join(words)), len(words)
 
 
 def repeated_words(words: np.ndarray, k: int = REPEAT_WINDOW) -> int:
@@ -84,32 +91,36 @@ def base_measures(text: str, data: bytes, memo: WordHashes) -> tuple[list[int],
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """Each row's key, id and host with its measures and lines."""
+    """Each row's key, id and host with its measures, lines and the hash of its text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            rows = []
+            rows, hashes = [], []
             for value in batch.column(4).to_pylist():
                 value = value or ""
-                rows.append(base_measures(value, value.encode(), memo))
+                data = value.encode()
+                rows.append(base_measures(value, data, memo))
+                hashes.append(signed_hash(data))
             numbers = np.array([r[0] for r in rows], np.int64).reshape(-1, len(_MEASURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], *[pa.array(numbers[:, i]) for i in range(len(_MEASURES))],
-                 pa.array([r[1] for r in rows], pa.list_(_LINE))],
-                [*KEY, "doc_id", "host", *_MEASURES, "lines"],
+                 pa.array([r[1] for r in rows], pa.list_(_LINE)), pa.array(hashes, pa.int64())],
+                [*KEY, "doc_id", "host", *_MEASURES, "lines", "text_hash"],
             )
 
     read = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     kinds = {n: read.schema[n].dataType.simpleString() for n in ("doc_id", "host")}
     return read.mapInArrow(
         scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kinds['doc_id']}, host {kinds['host']}, "
-        + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<struct<line: long, words: long>>",
+        + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<struct<line: long, words: long>>, text_hash long",
     )
 
 
-def boilerplate(rows: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """``host, line``: lines in too many documents of their host."""
+def boilerplate(rows: DataFrame, min_documents: int, max_share: float, distinct: bool = False) -> DataFrame:
+    """``host, line``: lines in too many documents of their host, or in too many of its distinct texts."""
+    if distinct:
+        rows = rows.select("host", "text_hash", "lines").dropDuplicates(["host", "text_hash"])
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_documents")).alias("h")
     lines = (
         rows.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line")
@@ -122,10 +133,10 @@ def boilerplate(rows: DataFrame, min_documents: int, max_share: float) -> DataFr
 
 def line_frequency(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
                    min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS,
-                   min_left: float = MIN_LEFT) -> DataFrame:
+                   min_left: float = MIN_LEFT, distinct: bool = False) -> DataFrame:
     """Per row: key, measures, removed words, and ``kept``, the verdict of both kinds of rules."""
     rows = cut_lineage(measured(docs, doc_id, text, host))
-    common = cut_lineage(boilerplate(rows, min_documents, max_share)).alias("c")
+    common = cut_lineage(boilerplate(rows, min_documents, max_share, distinct)).alias("c")
     held = rows.select(*KEY, "host", F.explode("lines").alias("l")).select(*KEY, "host", "l.*").alias("d")
     removed = (
         held.join(common, (F.col("d.line") == F.col("c.line")) & F.col("d.host").eqNullSafe(F.col("c.host")))
@@ -135,7 +146,7 @@ def line_frequency(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = F.col("n_words") - gone
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (left < min_words) | (left < min_left * F.col("n_words"))
-    return rows.drop("lines").join(removed, list(KEY), "left").select(
+    return rows.drop("lines", "text_hash").join(removed, list(KEY), "left").select(
         *KEY, "doc_id", *_MEASURES, base.alias("base_failed"), (~base & ~depleted).alias("kept"),
         gone.alias("removed_words"),
     )
