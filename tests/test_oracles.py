@@ -1,9 +1,13 @@
 """A sample of registered queries against their SQL at the smallest scale; every name resolves."""
 
+import datetime as dt
+import statistics
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidepanel.registry import signal_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -40,3 +44,25 @@ def test_every_statement_belongs_to_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).columns[:2] == ["symbol", "fold"]
+
+
+def test_learning_frame_equals_sql(spark, con):
+    test_query_equals_sql(spark, con, "learning_frame_whole_history")
+
+
+def test_learning_frame_has_the_whole_history(spark, monkeypatch):
+    names = "overnight_return eu_open_return pre_open_return open_30_return overnight_volatility".split()
+    volumes = "overnight_volume pre_open_volume open_30_volume".split()
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i * i % 7), *[0.1] * 5, *[float(i + 1)] * 3) for i in range(30)]
+    schema = "symbol string, trading_date date, target_return double, " + ", ".join(f"{n} double" for n in names + volumes)
+    windows = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(signal_queries.cal, "window_summary", lambda *_: windows)
+    got = signal_queries.learning(spark, FOLDER).orderBy("trading_date").collect()
+    y = [r[2] for r in rows]
+    for i, x in enumerate(got):
+        if i < 20:
+            assert x["prior_target_volatility_20"] is None and x["observed_volume_surprise"] is None
+        else:
+            assert x["prior_target_volatility_20"] == pytest.approx(statistics.stdev(y[i - 20 : i]))
+            assert x["observed_volume_surprise"] == pytest.approx((i + 1) / statistics.mean(range(i - 19, i + 1)))
+        assert x["prior_session_momentum_5"] == (None if i < 5 else pytest.approx(sum(y[i - 5 : i])))

@@ -519,20 +519,13 @@ def intraday_combined_score(spark, folder):
     return tidy(out.select("symbol", F.unix_timestamp("timestamp_utc").alias("ts"), "ready", *INTRADAY), 5)
 
 
-shared(
-    t_learn0="SELECT symbol, trading_date, "
-    + ", ".join(
-        f"CASE WHEN {n}_n >= {m} THEN {n}_p - 1 END AS {n}_return, CASE WHEN {n}_n >= {m} THEN {n}_s END AS {n}_volatility, "
-        f"CASE WHEN {n}_n >= {m} THEN {n}_v END AS {n}_volume"
-        for n, m in MINIMUM_BARS.items()
-    )
-    + " FROM t_clock_windows",
-    t_learn=f"""
+def learn_sql(history, momentum):
+    return f"""
 SELECT symbol, trading_date, overnight_return, eu_open_return, pre_open_return, open_30_return, overnight_volatility,
-       ov / nullif(CASE WHEN count(ov) OVER p >= 5 THEN avg(ov) OVER p END, 0) AS observed_volume_surprise,
+       ov / nullif(CASE WHEN count(ov) OVER p >= {history} THEN avg(ov) OVER p END, 0) AS observed_volume_surprise,
        lag(target_return) OVER w AS prior_target_return,
-       CASE WHEN count(target_return) OVER p3 >= 3 THEN sum(target_return) OVER p3 END AS prior_session_momentum_5,
-       CASE WHEN count(target_return) OVER p >= 5 THEN stddev_samp(target_return) OVER p END AS prior_target_volatility_20,
+       CASE WHEN count(target_return) OVER p3 >= {momentum} THEN sum(target_return) OVER p3 END AS prior_session_momentum_5,
+       CASE WHEN count(target_return) OVER p >= {history} THEN stddev_samp(target_return) OVER p END AS prior_target_volatility_20,
        {prank('overnight_return', 'trading_date')} AS overnight_cross_rank,
        {prank('open_30_return', 'trading_date')} AS open_30_cross_rank,
        avg(overnight_return) OVER (PARTITION BY trading_date) AS cross_market_overnight,
@@ -540,16 +533,29 @@ SELECT symbol, trading_date, overnight_return, eu_open_return, pre_open_return,
        target_return
 FROM (SELECT *, coalesce(overnight_volume, 0) + coalesce(pre_open_volume, 0) + coalesce(open_30_volume, 0) AS ov FROM t_learn0)
 WINDOW w AS (PARTITION BY symbol ORDER BY trading_date),
-       p AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
-       p3 AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
-""",
+       p AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN {history} PRECEDING AND 1 PRECEDING),
+       p3 AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN {momentum} PRECEDING AND 1 PRECEDING)
+"""
+
+
+shared(
+    t_learn0="SELECT symbol, trading_date, "
+    + ", ".join(
+        f"CASE WHEN {n}_n >= {m} THEN {n}_p - 1 END AS {n}_return, CASE WHEN {n}_n >= {m} THEN {n}_s END AS {n}_volatility, "
+        f"CASE WHEN {n}_n >= {m} THEN {n}_v END AS {n}_volume"
+        for n, m in MINIMUM_BARS.items()
+    )
+    + " FROM t_clock_windows",
+    t_learn=learn_sql(5, 3),
+    t_learn_whole=learn_sql(20, 5),
 )
 
 
-def learning(spark, folder):
+def learning(spark, folder, **windows_of):
+    """The learning frame, by default with the reference's 20 and 5 sessions of history."""
     masks = {n: (m, MINIMUM_BARS[n]) for n, m in N.clock_masks("timestamp_utc").items()}
     windows = cal.window_summary(src.clock_bars(spark, folder, 15), masks)
-    return N.learning_frame(windows, history=5, momentum=3)
+    return N.learning_frame(windows, **windows_of)
 
 
 @query(
@@ -558,4 +564,14 @@ def learning(spark, folder):
     + " FROM t_learn WHERE target_return IS NOT NULL",
 )
 def learning_frame(spark, folder):
+    """Short histories, as its SQL has them; the names of the columns state the whole ones."""
+    return tidy(learning(spark, folder, history=5, momentum=3))
+
+
+@query(
+    "learning_frame_whole_history",
+    "SELECT symbol, trading_date, " + ", ".join(r(c, c) for c in (*N.LEARNING_FEATURES, "target_return"))
+    + " FROM t_learn_whole WHERE target_return IS NOT NULL",
+)
+def learning_frame_whole_history(spark, folder):
     return tidy(learning(spark, folder))
