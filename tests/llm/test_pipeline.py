@@ -18,12 +18,13 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["op1_line_frequency", "op3_jaccard_components", "op4_source_mixture", "op8_benchmark_overlap"])
+@pytest.mark.parametrize("name", ["op1_line_frequency", "op3_jaccard_components", "op4_source_mixture", "op8_benchmark_overlap",
+                                  "op11_accumulator_search", "op12_hard_negatives", "op13_similar_vectors"])
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -36,7 +37,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 14)]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 

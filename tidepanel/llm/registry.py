@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import backoff, decontaminate, jaccard, licences, lines, mixing, personal, quality, sharding, sql, texts, tokens
+from tidepanel.llm import (
+    backoff, decontaminate, jaccard, licences, lines, mixing, negatives, personal, quality, quantised, search, sharding,
+    sql, texts, tokens,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +64,18 @@ def op10_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.scores(_table(spark, folder, "documents")).drop(*texts.KEY)
 
 
+def op11_accumulator_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, folder, "embeddings"))
+
+
+def op13_similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.similar_vectors(_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -70,7 +85,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_line_frequency, op2_longest_first_shards, op3_jaccard_components, op4_source_mixture, op5_personal_spans,
         op6_token_counts, op7_licence_lines, op8_benchmark_overlap,
-        op9_quality_scores, op10_backoff_scores, pipeline,
+        op9_quality_scores, op10_backoff_scores, op11_accumulator_search, op12_hard_negatives, op13_similar_vectors,
+        pipeline,
     )
 }
 
