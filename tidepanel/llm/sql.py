@@ -167,9 +167,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 OP12 = """
 WITH v AS MATERIALIZED (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS x
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS MATERIALIZED (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
          CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
@@ -187,9 +187,9 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score
 
 OP13 = """
 WITH RECURSIVE v AS MATERIALIZED (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.x, b.x) >= 0.93
