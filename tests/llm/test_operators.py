@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -388,3 +389,64 @@ def test_backoff_scores_equal_plain_counts(spark, odd, empty, monkeypatch):
 def test_clashing_columns_pass_through_the_mix(odd):
     assert set(CLASHING) <= set(mixing.mix(odd).columns)
     assert odd.where(F.col("doc_id").isNull()).count() == 2
+
+
+def changed_copies(count, words, changes, seed):
+    """Near copies of one text, each with a few words of its own."""
+    rng = random.Random(seed)
+    base = prose(rng, words).split()
+    rows = []
+    for i in range(count):
+        own = list(base)
+        for j in rng.sample(range(words), changes):
+            own[j] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own), "en", "s", 1))
+    return rows
+
+
+def compared_pairs(spark, monkeypatch, rows):
+    """Pairs that the rounds compare, and the components."""
+    counts = []
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return real(pairs, sets)
+
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", counted)
+    found = jaccard.similar_documents(table(spark, rows).repartition(4)).select("component_id").distinct().count()
+    return sum(counts), found
+
+
+def test_pairs_grow_with_a_near_copy_group_and_not_with_its_square(spark, monkeypatch):
+    pairs = {}
+    for n in (400, 1600):
+        pairs[n], components = compared_pairs(spark, monkeypatch, changed_copies(n, 200, 1, n))
+        assert components == 1
+        monkeypatch.undo()
+    assert pairs[1600] < 1600 * 40 and pairs[1600] < 6 * pairs[400]
+
+
+def test_sketches_tell_unrelated_sets_of_any_size_apart():
+    rng = random.Random(2)
+    for n in (40, 1000, 6000, 20_000):
+        sets = [jaccard.shingles(prose(rng, n, 10**6).encode(), WordHashes()) for _ in range(4)]
+        sizes = jaccard.np.array([len(s) for s in sets])
+        assert (jaccard._close(sizes, [jaccard.sketch(s) for s in sets]) == jaccard.FAR).all()
+    close = sets[0][:-50]
+    apart = jaccard._close(jaccard.np.array([len(sets[0]), len(close)]), [jaccard.sketch(sets[0]), jaccard.sketch(close)])
+    assert 0 < apart[0, 1] <= 50
+
+
+def test_row_keys_leave_columns_of_their_name_alone(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40), "en", "s", 1) for i in range(20)] + [(20, "short", "en", "s", 1)]
+    for extra in (("__file", "__row"), ("__row",)):
+        docs = table(spark, rows)
+        for name in extra:
+            docs = docs.withColumn(name, F.lit(1))
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates):
+            kept = stage(spark, docs, "")
+            assert kept.columns == docs.columns
+            assert sorted(tuple(r[n] for n in extra) for r in kept.collect()) == [(1,) * len(extra)] * (
+                20 if stage is corpus_pipeline.quality_rules else 21)

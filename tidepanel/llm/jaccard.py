@@ -14,10 +14,12 @@ one size it bounds the place, so the rest of the block is skipped.  Long lists a
 pairs of pieces with compatible sizes are lists of their own.
 
 *Answer skipping.*  Members of a list are compared by parity sketches first: two sets differ in at
-least as many shingles as their sketches differ in bits, so the filter loses nothing.  Each member is
-verified with its closest partner in the list.  What this connects is an answer that the members of
-the component share: for a highly similar set, every further partner in the component is known to be
-reachable and is skipped.  Only pairs from different components remain, and all of them are verified.
+least as many shingles as their sketches differ in places, so the filter loses nothing, and sketches
+grow with their sets.  Each member is verified with its closest partner in the list.  What this
+connects is an answer that the members of the component share: for a highly similar set, every further
+partner in the component is known to be reachable and is skipped.  The next rounds try the closest
+partner outside the component, until no round links anything; untried pairs that are left between
+components are then all verified.
 
 Verification compares whole sets, fetched for the sets that passed the sketch.  Results are the
 components of the link graph; every pair of linked sets is in one component and no other pair joins
@@ -54,6 +56,7 @@ FLUSH = 4 << 20
 SKETCH_BITS = 1024
 PIECE = 1024
 FILTER_POWER = 22
+FAR = np.int32(1 << 30)
 
 
 def shingles(data: bytes | None, memo: WordHashes) -> np.ndarray:
@@ -70,11 +73,21 @@ def set_id(values: np.ndarray) -> int:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """For each of ``SKETCH_BITS`` places whether an odd number of shingles falls on it."""
-    odd = np.bincount((values & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """For each place whether an odd number of shingles falls on it.
+
+    The places are a power of two and at least as many as the shingles, so the sketches of unrelated sets
+    differ in far more places than a similar pair may, whatever the size.
+    """
+    places = max(SKETCH_BITS, 1 << (len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A sketch on fewer places: the places that fall together add up."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def least_overlap(total: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shared shingles that two sets with ``total`` shingles together need."""
     return -(-percent * total // (100 + percent))
@@ -110,28 +123,6 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Key, id, size, set and sketch of each row."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            sizes, ids, sketches = [], [], []
-            for data in as_bytes(batch.column(3)):
-                values = shingles(data, memo)
-                sizes.append(len(values))
-                ids.append(set_id(values) if len(values) else None)
-                sketches.append(sketch(values) if len(values) else None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(sketches, pa.binary())], [*KEY, "doc_id", "n", "set", "sketch"],
-            )
-
-    read = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, n long, set long, sketch binary")
-
-
 def _packed(values: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Sorted 42-bit numbers by range: differences of the rest, one plane for each byte."""
     values = np.sort(values)
@@ -150,31 +141,57 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def frequent_shingles(docs: DataFrame, text: str) -> DataFrame:
-    """``token, documents`` for shingles in more than ``LEAST_FREQUENT`` documents.
+def document_sets(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Key, id, size, set and sketch of each row; and sorted runs of all shingles, a range in one value.
 
-    Workers send sorted runs of numbers, a range in one value, instead of a row for each shingle.
+    One scan makes both, and one checkpoint holds them.  A run takes four bytes a shingle, instead of a row.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordHashes(), [], 0
+        memo, held, size, kind = WordHashes(), [], 0, None
+
+        def row(keys, sizes, ids, sketches, places, blobs):
+            n = len(sizes)
+            none = [pa.nulls(n, t) for t in kind] if keys is None else keys
+            return pa.RecordBatch.from_arrays(
+                [*none, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()),
+                 pa.array(places, pa.int64()), pa.array(blobs, pa.binary())],
+                [*KEY, "doc_id", "n", "set", "sketch", "place", "blob"])
 
         def flush():
             places, blobs = _packed(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(blobs, pa.binary())],
-                                              ["place", "blob"])
+            free = [None] * len(places)
+            return row(None, free, free, free, places, blobs)
 
         for batch in batches:
-            for data in as_bytes(batch.column(0)):
-                values = shingles(data, memo) >> np.uint64(64 - COUNT_BITS)
-                held.append(values)
-                size += len(values)
+            kind = [batch.column(i).type for i in range(3)]
+            sizes, ids, sketches = [], [], []
+            for data in as_bytes(batch.column(3)):
+                values = shingles(data, memo)
+                sizes.append(len(values))
+                ids.append(set_id(values) if len(values) else None)
+                sketches.append(sketch(values) if len(values) else None)
+                if len(values):
+                    held.append(values >> np.uint64(64 - COUNT_BITS))
+                    size += len(values)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
+            free = [None] * len(sizes)
+            yield row(batch.columns[:3], sizes, ids, sketches, free, free)
         if size:
             yield flush()
 
+    read = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = read.schema["doc_id"].dataType.simpleString()
+    both = cut_lineage(read.mapInArrow(
+        scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, n long, set long, sketch binary, place long, blob binary"))
+    return both.where("place is null").drop("place", "blob"), both.where("place is not null").select("place", "blob")
+
+
+def frequent_shingles(blobs: DataFrame) -> DataFrame:
+    """``token, documents`` for shingles in more than ``LEAST_FREQUENT`` documents, from the runs of all shingles."""
+
     def count(table: pa.Table) -> pa.Table:
         place = table.column("place")[0].as_py()
         values = np.sort(np.concatenate([_unpacked(b) for b in table.column("blob").to_pylist()]))
@@ -183,13 +200,12 @@ def frequent_shingles(docs: DataFrame, text: str) -> DataFrame:
         token = (place << (COUNT_BITS - RANGE_BITS)) + values[starts[often]].astype(np.int64)
         return pa.table({"token": token, "documents": lengths[often].astype(np.int64)})
 
-    blobs = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(scan, "place long, blob binary")
     return blobs.groupBy("place").applyInArrow(count, "token long, documents long")
 
 
-def hot_order(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def hot_order(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted tokens and frequencies of the most frequent shingles, ``HOT`` of them at most."""
-    often = cut_lineage(frequent_shingles(docs, text))
+    often = cut_lineage(frequent_shingles(blobs))
     steps = often.groupBy(F.floor(F.log2("documents")).alias("power")).count().orderBy(F.desc("power")).collect()
     least, kept = 64, 0
     for step in steps:
@@ -339,14 +355,20 @@ def _members(lists: DataFrame) -> DataFrame:
     return lists.select("list", "members").mapInArrow(explode, "list long, n long, set long")
 
 
-def _close(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Differences of the sketches where a pair can be similar, else a large number."""
+def _close(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Differences of the sketches where a pair can be similar, else ``FAR``."""
     apart = np.zeros((len(n), len(n)), np.int32)
-    for word in range(bits.shape[1]):
-        apart += np.bitwise_count(bits[:, None, word] ^ bits[None, :, word])
+    words = np.array([len(s) // 8 for s in sketches])
+    for size in np.unique(words):  # a pair keeps the difference on the places of its shorter sketch
+        at = np.flatnonzero(words >= size)
+        bits = np.stack([folded(np.frombuffer(sketches[i], np.uint64), size) for i in at])
+        part = np.zeros((len(at), len(at)), np.int32)
+        for word in range(size):
+            part += np.bitwise_count(bits[:, None, word] ^ bits[None, :, word])
+        apart[np.ix_(at, at)] = part
     total = n[:, None] + n[None, :]
     bad = (apart > total - 2 * least_overlap(total)) | np.eye(len(n), dtype=bool)
-    return np.where(bad, np.int32(1 << 30), apart)
+    return np.where(bad, FAR, apart)
 
 
 def candidate_pairs(members: DataFrame, choose: Callable) -> DataFrame:
@@ -356,12 +378,12 @@ def candidate_pairs(members: DataFrame, choose: Callable) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "list"):
             which, n, name = (table.column(c).to_numpy() for c in ("list", "n", "set"))
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+            sketches = table.column("sketch").to_pylist()
             root = table.column("root").to_numpy() if "root" in names else None
             left, right = [], []
             for s, k in zip(*runs(which), strict=True):
                 part = slice(s, s + k)
-                i, j = choose(n[part], bits[part], None if root is None else root[part])
+                i, j = choose(n[part], sketches[part], None if root is None else root[part])
                 left.append(name[part][i])
                 right.append(name[part][j])
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
@@ -372,17 +394,19 @@ def candidate_pairs(members: DataFrame, choose: Callable) -> DataFrame:
     return ordered.mapInArrow(scan, "a long, b long").distinct()
 
 
-def closest(n: np.ndarray, bits: np.ndarray, root) -> tuple[np.ndarray, np.ndarray]:
-    """Each member with its closest possible partner."""
-    apart = _close(n, bits)
+def outward(n: np.ndarray, sketches: list[bytes], root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each member with its closest possible partner outside its component."""
+    apart = _close(n, sketches)
+    if root is not None:
+        apart[root[:, None] == root[None, :]] = FAR
     best = apart.argmin(axis=1)
-    i = np.flatnonzero(apart[np.arange(len(n)), best] < 1 << 30)
+    i = np.flatnonzero(apart[np.arange(len(n)), best] < FAR)
     return i, best[i]
 
 
-def across(n: np.ndarray, bits: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def across(n: np.ndarray, sketches: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All possible pairs of members from different components."""
-    possible = (_close(n, bits) < 1 << 30) & (root[:, None] != root[None, :])
+    possible = (_close(n, sketches) < FAR) & (root[:, None] != root[None, :])
     return np.nonzero(np.triu(possible))
 
 
@@ -436,27 +460,49 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+def linked(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``node, root`` of the sets that links reach.
+
+    In each round every member tries its closest partner outside its component, so a large group of near
+    copies, whose members all link, ends as one component after a few rounds of at most one pair for each
+    membership.  When a round links nothing new, all untried pairs between components are compared; what
+    is left there are pairs that the sketches cannot tell from similar ones.
+    """
+    sets = tried = links = roots = None
+    choose = outward
+    while True:
+        labelled = members
+        if roots is not None:
+            labelled = members.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
+                "list", "n", "set", "sketch", F.coalesce("root", "set").alias("root"))
+        pairs = candidate_pairs(labelled, choose)
+        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if sets is None:  # a set with a possible partner has a closest one, so later rounds need no others
+            wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+            sets = cut_lineage(fetch_sets(docs, text, wanted))
+        found = cut_lineage(verified(pairs, sets))
+        first, tried = tried is None, pairs if tried is None else tried.unionByName(pairs)
+        grew = bool(found.take(1))
+        if grew or first:
+            links = found if links is None else links.unionByName(found)
+            roots = cut_lineage(components(links))
+        if choose is across or first and not grew and not pairs.take(1):
+            return roots
+        if not grew:
+            choose = across
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, id, set size, set, root set of its component and smallest id of the component."""
     spark = docs.sparkSession
-    rows = cut_lineage(document_sets(docs, doc_id, text))
-    hot = spark.sparkContext.broadcast(hot_order(docs, text))
+    rows, blobs = document_sets(docs, doc_id, text)
+    hot = spark.sparkContext.broadcast(hot_order(blobs))
     lists = cut_lineage(
         index_lists(postings(docs, text, hot)).select(F.monotonically_increasing_id().alias("list"), "members")
     )
     sketches = rows.where("n > 0").groupBy("set").agg(F.first("sketch").alias("sketch"))
     members = cut_lineage(_members(lists).join(sketches, "set").select("list", "n", "set", "sketch"))
-    first = cut_lineage(candidate_pairs(members, closest))
-    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).distinct()
-    sets = cut_lineage(fetch_sets(docs, text, wanted))
-    links = cut_lineage(verified(first, sets))
-    roots = cut_lineage(components(links))
-    labelled = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(
-        "root", F.coalesce("root", "set"))
-    rest = candidate_pairs(labelled.select("list", "n", "set", "sketch", "root"), across).join(first, ["a", "b"], "left_anti")
-    more = cut_lineage(verified(rest, sets))
-    if more.take(1):
-        roots = cut_lineage(components(links.unionByName(more)))
+    roots = linked(members, docs, text)
     named = (
         rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
         .join(roots.withColumnRenamed("node", "set"), "set", "left")

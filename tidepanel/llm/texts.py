@@ -20,6 +20,8 @@ from tidepanel.session import cut_lineage
 
 KEY = ("__file", "__row")
 WORD = r"[^\x20\x09-\x0D]+"
+#: Mark of the key columns, and what a column of the same name is called meanwhile.
+OWN, ASIDE = "tidepanel.key", "__aside"
 BATCH_BYTES = 16 << 20
 PIECE = 4 << 20
 #: Keys of 16 bytes that are sent to all executors at most.
@@ -41,16 +43,26 @@ def with_keys(df: DataFrame) -> DataFrame:
     """All columns and a key for each row that stays the same when the rows are read again.
 
     Rows of files are keyed by file and place.  Other rows get a number and are written to the
-    checkpoint folder, because a number given on the fly could differ after a lost executor.
+    checkpoint folder, because a number given on the fly could differ after a lost executor.  A column
+    that has the name of a key column by chance is kept under another name; ``original`` undoes that.
     """
     bound_batches(df.sparkSession)
-    if set(KEY) <= set(df.columns):
+    if all(name in df.columns and df.schema[name].metadata.get(OWN) for name in KEY):
         return df
+    held = df.withColumnsRenamed({name: name + ASIDE for name in KEY})
+    own = {OWN: True}
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
+        return held.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0], metadata=own),
+                           F.col("_metadata.row_index").alias(KEY[1], metadata=own))
     except AnalysisException:
-        return cut_lineage(
-            df.select("*", F.lit(0).cast("long").alias(KEY[0]), F.monotonically_increasing_id().alias(KEY[1])))
+        numbered = cut_lineage(
+            held.select("*", F.lit(0).cast("long").alias(KEY[0]), F.monotonically_increasing_id().alias(KEY[1])))
+        return numbered.select(*held.columns, *(F.col(name).alias(name, metadata=own) for name in KEY))
+
+
+def original(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns as they were before ``with_keys``."""
+    return rows.select(*(F.col(c + ASIDE if c in KEY else c).alias(c) for c in columns))
 
 
 def keyed(df: DataFrame, *columns: Column) -> DataFrame:
