@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import decontaminate, jaccard, lines, mixing, sharding
-from tidepanel.llm.texts import KEY, with_keys, without
+from tidepanel.llm.texts import KEY, original, with_keys, without
 from tidepanel.session import shared_folder
 
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Exact copies count once, so a copy group goes on whole and the next stage keeps one of it.
     """
     rows = with_keys(docs)
-    return without(rows, lines.line_frequency(rows, distinct=True).where(~F.col("kept"))).select(*docs.columns)
+    return original(without(rows, lines.line_frequency(rows, distinct=True).where(~F.col("kept"))), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *KEY)
     first = found.groupBy("root").agg(F.min(place).alias("first"))
     copies = found.join(first, "root").where(place != F.col("first"))
-    return without(rows, copies).select(*docs.columns)
+    return original(without(rows, copies), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     rows = with_keys(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(rows, decontaminate.contamination(rows, benchmark).where("contaminated")).select(*docs.columns)
+    return original(without(rows, decontaminate.contamination(rows, benchmark).where("contaminated")), docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
