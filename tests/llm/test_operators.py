@@ -450,3 +450,11 @@ def test_row_keys_leave_columns_of_their_name_alone(spark):
             assert kept.columns == docs.columns
             assert sorted(tuple(r[n] for n in extra) for r in kept.collect()) == [(1,) * len(extra)] * (
                 20 if stage is corpus_pipeline.quality_rules else 21)
+
+
+def test_mixing_returns_columns_of_any_name(spark):
+    rows = [(i, prose(random.Random(i), 20), "en", f"s{i % 2}", 1) for i in range(30)]
+    docs = table(spark, rows, ("__place", "__source", "__times", "row"))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 30
+    assert {tuple(r)[5:] for r in mixed.collect()} == {("x",) * 4}

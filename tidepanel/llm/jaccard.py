@@ -18,7 +18,7 @@ least as many shingles as their sketches differ in places, so the filter loses n
 grow with their sets.  Each member is verified with its closest partner in the list.  What this
 connects is an answer that the members of the component share: for a highly similar set, every further
 partner in the component is known to be reachable and is skipped.  The next rounds try the closest
-partner outside the component, until no round links anything; untried pairs that are left between
+partner outside the component, until a round links little; untried pairs that are left between
 components are then all verified.
 
 Verification compares whole sets, fetched for the sets that passed the sketch.  Results are the
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.graph import components
+from tidepanel.llm.graph import compact, components, tasks
 from tidepanel.llm.texts import KEY, LOWER, WordHashes, as_bytes, gram_hashes, keyed, mix, signed, word_hashes
 from tidepanel.session import cut_lineage
 
@@ -57,6 +57,9 @@ SKETCH_BITS = 1024
 PIECE = 1024
 FILTER_POWER = 22
 FAR = np.int32(1 << 30)
+MEMBER_ROWS, PAIR_ROWS = 2048, 10_000
+#: Rounds end when one links less than this part of what the most fruitful one did.
+RARE = 16
 
 
 def shingles(data: bytes | None, memo: WordHashes) -> np.ndarray:
@@ -371,7 +374,7 @@ def _close(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     return np.where(bad, FAR, apart)
 
 
-def candidate_pairs(members: DataFrame, choose: Callable) -> DataFrame:
+def candidate_pairs(members: DataFrame, choose: Callable, parts: int) -> DataFrame:
     """``a, b`` pairs of sets that ``choose`` takes from each list's members (n, sketch[, root])."""
     names = members.columns
 
@@ -390,7 +393,7 @@ def candidate_pairs(members: DataFrame, choose: Callable) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    ordered = members.repartition("list").sortWithinPartitions("list")
+    ordered = members.repartition(parts, "list").sortWithinPartitions("list")
     return ordered.mapInArrow(scan, "a long, b long").distinct()
 
 
@@ -465,30 +468,33 @@ def linked(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
     In each round every member tries its closest partner outside its component, so a large group of near
     copies, whose members all link, ends as one component after a few rounds of at most one pair for each
-    membership.  When a round links nothing new, all untried pairs between components are compared; what
+    membership.  When a round links little, all untried pairs between components are compared; what
     is left there are pairs that the sketches cannot tell from similar ones.
     """
     sets = tried = links = roots = None
-    choose = outward
+    choose, most = outward, 0
+    parts = tasks(members.count(), MEMBER_ROWS)
+    members = members.coalesce(parts)
     while True:
         labelled = members
         if roots is not None:
             labelled = members.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
                 "list", "n", "set", "sketch", F.coalesce("root", "set").alias("root"))
-        pairs = candidate_pairs(labelled, choose)
-        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = candidate_pairs(labelled, choose, parts)
+        pairs = compact(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), PAIR_ROWS)
         if sets is None:  # a set with a possible partner has a closest one, so later rounds need no others
             wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
             sets = cut_lineage(fetch_sets(docs, text, wanted))
-        found = cut_lineage(verified(pairs, sets))
-        first, tried = tried is None, pairs if tried is None else tried.unionByName(pairs)
-        grew = bool(found.take(1))
-        if grew or first:
+        found = compact(verified(pairs, sets))
+        grew = found.count()
+        if grew or tried is None:
             links = found if links is None else links.unionByName(found)
-            roots = cut_lineage(components(links))
-        if choose is across or first and not grew and not pairs.take(1):
+            roots = compact(components(links))
+        if choose is across or tried is None and not pairs.take(1):
             return roots
-        if not grew:
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        most = max(most, grew)
+        if RARE * grew <= most:
             choose = across
 
 

@@ -140,15 +140,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), epochs: int = 2,
         seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row as often as its source's target asks, in the columns of ``docs``."""
-    place = seeded_place(seed, F.col(doc_id), F.col(text))
-    sized = cut_lineage(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                                    place.alias("place")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), F.col(text).alias("text"),
+                       seeded_place(seed, F.col(doc_id), F.col(text)).alias("place"))
+    sized = cut_lineage(rows.select("source", word_count(F.col("text")).alias("size"), "place"))
     plan = plan_mixture(sized, weights, share, epochs)
-    mixed = with_repetitions(docs, plan, source, place)
+    mixed = with_repetitions(rows.drop("text"), plan, "source", F.col("place"))
     return (
         mixed.where(F.col("__times") > 0)
         .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
-        .select(*docs.columns)
+        .select("row.*")
     )
 
 
