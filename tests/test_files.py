@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import labels as L
 from tidepanel.operators import quality as Q
-from tidepanel.sources import files, sinks
+from tidepanel import schema
+from tidepanel.sources import bar_files, files, sinks
 from tidepanel.streaming import bars as S
 from tidepanel.sources import tables as src
 
@@ -40,10 +41,54 @@ def test_issue_codes(spark, tmp_path):
 
 def test_order_check_across_blocks(spark):
     times = [1, 2, 3, 2, 5, 6, 4, 8]
-    rows = [("f", i, dt.datetime(2024, 1, 1, 0, t)) for i, t in enumerate(times)]
-    df = spark.createDataFrame(rows, "f string, line long, stamp timestamp")
-    for block in (1, 3, 100):
-        assert Q.out_of_order(df, "f", "line", "stamp", block).first().out_of_order == 2
+    names = HEADER.split("\t")
+    rows = [("f.txt", i, *bar_line("F", f"2024-01-01 00:0{t}:00", 100 + i).split("\t")) for i, t in enumerate(times)]
+    rows.insert(4, ("f.txt", 100, *names))
+    df = spark.createDataFrame(rows, ["source_file", "line", *names])
+    for block in (1, 3, 1000):
+        got = Q.profile_bar_files(df, block_rows=block).first()
+        assert (got.out_of_order, got.embedded_headers, got.duplicate_symbol_timestamp, got.exact_duplicate_rows) == (2, 1, 1, 0)
+
+
+def test_both_layouts_become_canonical_bars(spark, tmp_path):
+    comma = "Date,Time,Open,High,Low,Close,Volume"
+    days = [f"2026-0{1 + d // 28}-{1 + d % 28:02d}" for d in range(40)]
+    (tmp_path / "ES_continuous.csv").write_text("\n".join(
+        [comma] + [f"{d},00:00:00,100,101,99,{100 + i % 2},5" for i, d in enumerate(days)]) + "\n")
+    swapped = "Volume\tDate Time\t-Ticker\tOpen\tHigh\tLow\tLast"
+    (tmp_path / "CLU6_Export.txt").write_text("\r\n".join(
+        [swapped] + [f"7\t{d} 10:00:00\t clu6\t100\t101\t99\t{100 + i % 2}" for i, d in enumerate(days)]) + "\r\n")
+    faults = {
+        "NQU6_zone.txt": [bar_line("NQU6", f"{days[0]}T10:00:00+01:00"), bar_line("NQU6", f"{days[39]} 10:00:00", 101)],
+        "NQU6_gap.txt": [bar_line("NQU6", "2026-03-08 02:30:00"), bar_line("NQU6", "2026-05-08 02:30:00", 101)],
+        "NQU6_fold.txt": [bar_line("NQU6", "2025-11-02 01:30:00"), bar_line("NQU6", "2026-05-08 02:30:00", 101)],
+        "NQU6_forms.txt": [bar_line("NQU6", "2026-01-08 02:30:00"), bar_line("NQU6", "2026-01-08T02:30", 100.7)],
+        "NQU6_name.txt": [bar_line("ESU6", "2026-01-08 02:30:00"), bar_line("ESU6", "2026-05-08 02:30", 100.7)],
+        "NQU6_only_header.txt": [],
+    }
+    for name, lines in faults.items():
+        (tmp_path / name).write_text("\n".join([HEADER, *lines]) + "\n")
+    (tmp_path / "x.txt").write_text("a,b\n1,2\n")
+    bars, report = bar_files.normalize(spark, str(tmp_path), 2026, fingerprints=files.fingerprint(spark, str(tmp_path)))
+    status = {r.source_file: r.status for r in report.collect()}
+    assert status == {
+        "ES_continuous.csv": "normalized", "CLU6_Export.txt": "normalized", "NQU6_zone.txt": "rejected", "NQU6_gap.txt": "rejected",
+        "NQU6_fold.txt": "rejected", "NQU6_forms.txt": "rejected", "NQU6_name.txt": "quarantined", "NQU6_only_header.txt": "rejected",
+        "x.txt": "blocked"}
+    rows = bars.orderBy("symbol", "timestamp_utc").collect()
+    assert bars.columns == list(schema.CANONICAL_COLUMNS) and len(rows) == 80
+    first = {r.symbol: r for r in reversed(rows)}
+    assert first["ES"].timestamp_utc == dt.datetime(2026, 1, 1) and first["ES"].root_symbol == "ES"
+    assert first["CLU6"].timestamp_utc == dt.datetime(2026, 1, 1, 15) and first["CLU6"].contract_year == 2026
+    assert all(len(r.source_sha256) == 64 and r.open_interest is None for r in rows)
+
+
+def test_profile_reads_its_rows_once_and_sends_only_times_and_hashes(spark):
+    raw = spark.createDataFrame([("f.txt", 1, *bar_line("F", "2024-01-01 00:01:00").split("\t"))], ["source_file", "line", *HEADER.split("\t")])
+    frame = Q.profile_bar_files(raw)
+    frame.collect()
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "-Ticker" not in plan and plan.count("RepartitionByExpression") == 1
 
 
 def test_layouts_and_fingerprints(spark, tmp_path):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalars import all_of, col, sum_of
+from tidepanel.operators import calendar as cal
+from tidepanel.session import cut_lineage
 
 # Issue severities from worst to least.
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -80,39 +82,6 @@ def drop_embedded_headers(df: DataFrame, name: str) -> DataFrame:
     return df.filter(~F.coalesce(F.col(f"`{name}`") == F.lit(name), F.lit(False)))
 
 
-def out_of_order(
-    df: DataFrame, file: str, line: str, stamp: str, block_rows: int = 1_000_000
-) -> DataFrame:
-    """Rows per file whose time is below the previous row's, in file order.
-
-    A file is cut into line blocks.  Each block is checked by its own task; only one boundary
-    row per block travels on, so one huge file does not end in a single window.  A missing time
-    breaks the comparison on both of its sides.
-    """
-    block = F.floor(F.col(line) / block_rows)
-    cut = df.select(file, line, stamp, block.alias("block"))
-    w = Window.partitionBy(file, "block").orderBy(line)
-    inside = (
-        cut.withColumn("previous", F.lag(stamp).over(w))
-        .groupBy(file, "block")
-        .agg(
-            F.sum((F.col(stamp) < F.col("previous")).cast("int")).alias("n"),
-            F.min_by(stamp, line).alias("first"),
-            F.max_by(stamp, line).alias("last"),
-        )
-    )
-    edge = Window.partitionBy(file).orderBy("block")
-    return (
-        inside.withColumn("crossing", (F.col("first") < F.lag("last").over(edge)).cast("int"))
-        .groupBy(file)
-        .agg(
-            (
-                F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("crossing"), F.lit(0))
-            ).alias("out_of_order")
-        )
-    )
-
-
 def duplicate_rows(df: DataFrame, file: str, columns: list[str], name: str) -> DataFrame:
     """Rows beyond the first of each combination, per file."""
     return (
@@ -127,64 +96,108 @@ def _bad_number(raw: Column) -> Column:
     return raw.try_cast("double").isNull()
 
 
+# A time of day that names its zone or offset.
+_ZONED = r"(?i)(Z|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
+
+
+def typed_bars(raw: DataFrame, file: str = "source_file", line: str = "line",
+               zone: str | Column = "UTC") -> DataFrame:
+    """Typed columns of tab-layout text rows, with the hashes that equal rows and equal keys share.
+
+    ``has_interest`` (optional in ``raw``) tells whether the row's file has open interest at all.
+    """
+    numbers = {n: F.col(f"`{c}`") for n, c in {
+        "open": "Open", "high": "High", "low": "Low", "close": "Last", "volume": "Volume"}.items()}
+    interest = F.col("`Open Interest`") if "Open Interest" in raw.columns else F.lit(None).cast("string")
+    has = F.col("has_interest") if "has_interest" in raw.columns else F.lit("Open Interest" in raw.columns)
+    text = [F.col(f"`{c}`") for c in raw.columns if c not in (file, line, "layout", "has_interest", "zone")]
+    stamp = F.expr("try_cast(`Date Time` AS timestamp)")
+    local = cal.strict_utc(stamp, zone)
+    bad = [_bad_number(c).cast("int") for c in numbers.values()] + [(has & _bad_number(interest)).cast("int")]
+    return raw.select(
+        F.col(file).alias("source_file"), F.col(line).alias("line"),
+        F.coalesce(F.col("`-Ticker`") == "-Ticker", F.lit(False)).alias("is_header"),
+        F.upper(F.trim("`-Ticker`")).alias("symbol"), stamp.alias("stamp"),
+        F.coalesce(F.regexp_like(F.element_at(F.split(F.trim("`Date Time`"), "[ T]"), -1), F.lit(_ZONED)), F.lit(False))
+        .alias("zoned"),
+        local["utc"].alias("timestamp_utc"),
+        F.coalesce(local["nonexistent"] | local["ambiguous"], F.lit(False)).alias("impossible"),
+        *[c.try_cast("double").alias(n) for n, c in numbers.items()],
+        interest.try_cast("double").alias("open_interest"), has.alias("has_interest"),
+        sum_of(bad).alias("bad_numbers"),
+        F.xxhash64("`-Ticker`", "`Date Time`").alias("key_hash"), F.xxhash64(*text).alias("row_hash"),
+    )
+
+
+def profile_typed(typed: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
+    """One row of counts per bar file.
+
+    No row is exchanged whole.  Counts are combined where rows are read; the order check exchanges the line
+    and time of each row by (file, stretch of lines); and times with the hashes
+    of key and row meet by (file, time), which needs no further exchange for equal rows, equal keys and equal times.
+    """
+    stem = F.upper(F.element_at(F.split(F.regexp_replace("source_file", r"\.[^.]*$", ""), "_"), 1))
+    low = F.lit(False)
+    for p in PRICES:
+        low = low | F.coalesce(F.col(p) <= 0, F.lit(False))
+    data = ~F.col("is_header")
+    close, time = F.when(data, F.col("close")), F.when(data, F.unix_micros("stamp"))
+    interest = F.when(data, F.abs("open_interest"))
+
+    def count(condition: Column, name: str) -> Column:
+        return F.count_if(data & condition).alias(name)
+
+    counts = typed.groupBy("source_file").agg(
+        F.count_if("is_header").alias("embedded_headers"),
+        count(F.lit(True), "rows_seen"),
+        F.min(F.when(data, F.col("symbol"))).alias("symbol"),
+        F.coalesce((F.min(F.when(data, F.col("symbol"))) != F.max(F.when(data, F.col("symbol")))).cast("int"), F.lit(0))
+        .alias("multiple_symbols_in_file"),
+        F.coalesce(1 - F.max(F.when(data, (F.col("symbol") == stem).cast("int"))), F.lit(0)).alias("filename_symbol_mismatch"),
+        count(F.col("stamp").isNull(), "invalid_timestamps"),
+        count(F.col("zoned"), "zoned_timestamps"),
+        count(F.col("impossible"), "impossible_times"),
+        F.coalesce(F.sum(F.when(data, F.col("bad_numbers"))), F.lit(0)).alias("invalid_numeric_values"),
+        count(containment_broken(*(F.col(c) for c in ("high", "low", "open", "close"))), "invalid_ohlc"),
+        count(low, "nonpositive_prices"),
+        count(F.col("volume") < 0, "negative_volume"),
+        F.coalesce((F.min(close) == F.max(close)).cast("int"), F.lit(1)).alias("constant_price_series"),
+        F.coalesce((F.max(time) - F.min(time) < 30 * 86_400_000_000).cast("int"), F.lit(1)).alias("short_history"),
+        F.when((F.max(interest) == 0) & (F.count(interest) == F.count_if(data)), F.count_if(data))
+        .otherwise(0).alias("open_interest_unavailable"),
+    )
+    cut = typed.where(data).select("source_file", "line", "stamp", F.floor(F.col("line") / block_rows).alias("block"))
+    order = Window.partitionBy("source_file", "block").orderBy("line")
+    edge = Window.partitionBy("source_file").orderBy("block")
+    steps = (
+        cut.withColumn("previous", F.lag("stamp").over(order)).groupBy("source_file", "block").agg(
+            F.count_if(F.col("stamp") < F.col("previous")).alias("inside"),
+            F.min_by("stamp", "line").alias("first"), F.max_by("stamp", "line").alias("last"))
+        .withColumn("crossing", (F.col("first") < F.lag("last").over(edge)).cast("int"))
+        .groupBy("source_file").agg((F.sum("inside") + F.coalesce(F.sum("crossing"), F.lit(0))).alias("out_of_order"))
+    )
+    at = F.coalesce(F.unix_micros("timestamp_utc"), F.col("key_hash")).alias("at")
+    parsed = F.col("timestamp_utc").isNotNull().alias("parsed")
+    times = ["source_file", "symbol", "at", "parsed"]
+    thin = typed.where(data).select("source_file", "symbol", at, parsed, "key_hash", "row_hash", F.lit(1).alias("n"))
+    thin = thin.repartition(*times)
+    same_row = thin.groupBy(*times, "key_hash", "row_hash").agg(F.sum("n").alias("n"))
+    same_key = same_row.groupBy(*times, "key_hash").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("rows"))
+    same_time = same_key.groupBy(*times).agg(
+        F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum(F.col("n") - 1).alias("keys"))
+    doubles = same_time.groupBy("source_file").agg(
+        F.sum("rows").alias("exact_duplicate_rows"), F.sum("keys").alias("duplicate_symbol_timestamp"),
+        F.sum(F.when(F.col("parsed"), F.col("n") - 1).otherwise(0)).alias("utc_collisions"))
+    return counts.join(steps, "source_file", "left").join(doubles, "source_file", "left").fillna(
+        0, ["out_of_order", "exact_duplicate_rows", "duplicate_symbol_timestamp", "utc_collisions"])
+
+
 def profile_bar_files(
     raw: DataFrame, file: str = "source_file", line: str = "line", block_rows: int = 1_000_000
 ) -> DataFrame:
     """One row of counts per bar file (tab layout), all columns still text."""
-    numeric = [c for c in ("Open", "High", "Low", "Last", "Volume", "Open Interest") if c in raw.columns]
-    header = (
-        raw.groupBy(file)
-        .agg(
-            F.count_if(F.col("`-Ticker`") == "-Ticker").alias("embedded_headers"),
-        )
-    )
-    data = drop_embedded_headers(raw, "-Ticker").withColumn(
-        "stamp", F.expr("try_cast(`Date Time` AS timestamp)")
-    )
-    stem = F.upper(F.element_at(F.split(F.regexp_replace(file, r"\.[^.]*$", ""), "_"), 1))
-    number = {c: F.col(f"`{c}`").try_cast("double") for c in numeric}
-    symbol = F.upper(F.trim(F.col("`-Ticker`")))
-    aggregates = [
-        F.count(F.lit(1)).alias("rows_seen"),
-        F.min(symbol).alias("symbol"),
-        (F.min(symbol) != F.max(symbol)).cast("int").alias("multiple_symbols_in_file"),
-        F.coalesce(1 - F.max((symbol == stem).cast("int")), F.lit(0)).alias(
-            "filename_symbol_mismatch"
-        ),
-        F.count_if(F.col("stamp").isNull()).alias("invalid_timestamps"),
-        sum_of([F.count_if(_bad_number(F.col(f"`{c}`"))) for c in numeric]).alias(
-            "invalid_numeric_values"
-        ),
-        F.count_if(
-            containment_broken(number["High"], number["Low"], number["Open"], number["Last"])
-        ).alias("invalid_ohlc"),
-        F.coalesce((F.min(number["Last"]) == F.max(number["Last"])).cast("int"), F.lit(1)).alias(
-            "constant_price_series"
-        ),
-        F.coalesce(
-            (F.max(F.unix_timestamp("stamp")) - F.min(F.unix_timestamp("stamp")) < 30 * 86400)
-            .cast("int"),
-            F.lit(1),
-        ).alias("short_history"),
-    ]
-    if "Open Interest" in numeric:
-        zero = (F.max(F.abs(number["Open Interest"])) == 0) & (
-            F.count(number["Open Interest"]) == F.count(F.lit(1))
-        )
-        aggregates.append(
-            F.when(zero, F.count(F.lit(1))).otherwise(0).alias("open_interest_unavailable")
-        )
-    counts = data.groupBy(file).agg(*aggregates)
-    raw_columns = [c for c in raw.columns if c not in (file, line)]
-    return (
-        header.join(counts, file)
-        .join(out_of_order(data, file, line, "stamp", block_rows), file)
-        .join(duplicate_rows(data, file, raw_columns, "exact_duplicate_rows"), file)
-        .join(
-            duplicate_rows(data, file, ["-Ticker", "Date Time"], "duplicate_symbol_timestamp"),
-            file,
-        )
-    )
+    profile = profile_typed(cut_lineage(typed_bars(raw, file, line)), block_rows).where("rows_seen > 0")
+    return profile.withColumnRenamed("source_file", file) if file != "source_file" else profile
 
 
 def profile_tick_files(raw: DataFrame, file: str = "source_file") -> DataFrame:
@@ -334,6 +347,20 @@ def cross_file_issues(files: DataFrame, file: str = "source_file") -> DataFrame:
     )
 
 
+def shared_payloads(files: DataFrame, keys: tuple[str, ...] = ("sha256",), file: str = "source_file",
+                    list_length: int = 1000) -> DataFrame:
+    """Members of each group of files that share a key, in lists of about ``list_length`` names.
+
+    A group is listed once and not at each of its members; a large one takes several rows, dealt by
+    hash, so no list grows with the catalog.
+    """
+    named = files.filter(all_of([F.coalesce(F.col(k) != "", F.lit(False)) for k in keys]))
+    groups = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+    part = F.pmod(F.xxhash64(file), F.ceil(F.col("files") / list_length)).alias("part")
+    return named.join(groups, list(keys)).groupBy(*keys, "files", part).agg(
+        F.array_sort(F.collect_list(file)).alias("members"))
+
+
 def quarantine(files: DataFrame, issues: DataFrame, file: str = "source_file") -> DataFrame:
     """Normalization manifest: blocked files are set aside, tick files wait, the rest go on."""
     blocked = issues.filter(F.col("severity").isin("critical", "high")).select(file).distinct()
