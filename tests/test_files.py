@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import labels as L
 from tidepanel.operators import quality as Q
+from tidepanel.operators import stateful as U
 from tidepanel import schema
 from tidepanel.sources import bar_files, files, sinks
 from tidepanel.streaming import bars as S
@@ -153,16 +154,37 @@ def test_symbol_partitions_are_replaced(spark, tmp_path):
     assert {r.symbol for r in files.read_partitioned(spark, root).collect()} == {"A"}
 
 
-def test_streaming_alerts_continue_across_batches(spark, tmp_path):
-    schema = "symbol string, trading_date date, session_minute int, score double"
+@pytest.mark.parametrize("order", ["asc", "desc", "hash"])
+def test_streams_fold_rows_of_any_order_as_the_batch_does(spark, order):
     day = dt.date(2024, 1, 1)
-    parts = [[(0, 0.0), (1, 0.6)], [(2, 0.4), (3, 0.1), (4, -0.7)]]
-    for i, part in enumerate(parts):
-        df = spark.createDataFrame([("A", day, m, s) for m, s in part], schema).coalesce(1)
-        df.write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = S.run_available(S.live_alerts(stream), "alerts").orderBy("session_minute").collect()
-    assert [r.position_signal for r in out] == [0.0, 1.0, 1.0, 0.0, -1.0]
+    rows = [(s, day, dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m), 900 + m, ((m * 37 + k * 11) % 29 - 14) / 14, 100.0 + (m * 13 + k) % 17,
+             95.0 + (m * 7 + k) % 11) for k, s in enumerate("AB") for m in range(40) if (m + k) % 9]
+    df = spark.createDataFrame(rows, "symbol string, trading_date date, timestamp_utc timestamp, session_minute int, score double, high double, low double")
+    by = {"asc": F.col("timestamp_utc"), "desc": F.desc("timestamp_utc"), "hash": F.xxhash64("timestamp_utc", "symbol")}[order]
+    at = F.unix_millis("timestamp_utc").alias("at_ms")
+    with S.timer_store(spark):
+        stream, lateness = S.replay(spark, df, "timestamp_utc", by, 4, "alerts-in")
+        got = S.run_available(S.live_alerts(stream, lateness=lateness), "alerts").where("symbol is not null")
+        want = U.hysteresis(df, "score").select("symbol", "trading_date", at, "position_signal")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("position_signal <> 0").count() > 5
+        if order == "hash":
+            stream, lateness = S.replay(spark, df, "timestamp_utc", by, 4, "sar-in")
+            got = S.run_available(S.live_sar(stream, lateness=lateness), "sar").where("symbol is not null")
+            want = U.parabolic_sar(df, "sar", "symbol", "timestamp_utc", 0.02, 0.2).select("symbol", at, "sar")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_rows_are_dropped_and_state_is_given_up(spark, tmp_path):
+    schema = "symbol string, trading_date date, timestamp_utc timestamp, session_minute int, score double"
+    day = dt.date(2024, 1, 1)
+    for part in ([(0, 0.6), (20, 0.4)], [(25, 0.5)], [(3, -0.9), (60 * 48, 0.7)], [(60 * 48 + 30, 0.0)]):
+        spark.createDataFrame([("A", day, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), m % 600, s) for m, s in part], schema).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    with S.timer_store(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = S.run_available(S.live_alerts(stream, lateness="10 minutes"), "late").orderBy("at_ms").collect()
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert [((r.at_ms - start) // 60_000, r.position_signal) for r in out] == [(0, 1.0), (20, 1.0), (25, 1.0), (2880, 1.0)]
 
 
 @pytest.mark.parametrize("layout", ["file", "directory", "shuffled"])
@@ -178,7 +200,7 @@ def test_streaming_bars_keep_every_print(spark, tmp_path, layout):
     if layout == "shuffled":
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events.parquet")
     for width, seconds in (("1 hour", 3600), ("4 hours", 14_400)):
-        got = S.run_backfill(S.live_bars(stream, width), "bars").collect()
+        got = S.run_backfill(S.live_bars(stream, width), "bars", "symbol", "timestamp_utc").collect()
         start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)) * seconds
         priced = events.withColumn("price", src.tick_price(src.tick_count(F.col("value"))))
         want = priced.groupBy("event_type", start.alias("start")).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,33 +54,47 @@ def hysteresis(
     )
 
 
-def _sar(high: np.ndarray, low: np.ndarray, step: float, limit: float) -> np.ndarray:
-    """Stop-and-reverse level: trails the extreme faster as new extremes come, flips when hit."""
-    n = len(high)
-    out = np.empty(n)
-    if n == 0:
-        return out
-    rising, rate = False, step
-    level, top, bottom = high[0], high[0], low[0]
-    last_top, last_bottom = top, bottom
-    out[0] = level
-    for i in range(1, n):
-        h, lo = high[i], low[i]
-        top, bottom = max(top, h), min(bottom, lo)
-        hit = lo <= level if rising else h >= level
-        if hit:
-            rising, rate = not rising, step
-            pivot = bottom if rising else top
-            top, bottom = h, lo
-            level = pivot + rate * ((top if rising else bottom) - pivot)
-        else:
-            if (top > last_top) if rising else (bottom < last_bottom):
-                rate = min(rate + step, limit)
-            level += rate * ((top if rising else bottom) - level)
-        level = min(level, lo, low[i - 1]) if rising else max(level, h, high[i - 1])
-        last_top, last_bottom = top, bottom
-        out[i] = level
-    return out
+class Trail(NamedTuple):
+    """A stop that trails a run of bars, in coordinates that grow in the run's direction.
+
+    ``side`` is 1 for a rising run and -1 for a falling one; ``level``, ``ahead`` (the furthest the run has
+    come) and ``behind`` (the furthest against it) are prices times the side.  ``high`` and ``low`` are the last bar.
+    """
+
+    side: float
+    level: float
+    factor: float
+    ahead: float
+    behind: float
+    high: float
+    low: float
+
+    @classmethod
+    def first(cls, high: float, low: float, step: float) -> Trail:
+        return cls(-1.0, -high, step, -low, -high, high, low)
+
+    def advance(self, high: float, low: float, step: float, limit: float) -> Trail:
+        """The trail after one more bar.
+
+        A bar that reaches the level turns the trail: the run that ends gives the new level, its furthest
+        price, and the bar alone is the new run.  Otherwise a bar that goes further raises the factor.  The
+        level then goes the factor's part of the way ahead, but never beyond the last two bars.
+        """
+        side, level, factor = self.side, self.level, self.factor
+        ahead, behind = max(self.ahead, _ahead(side, high, low)), min(self.behind, -_ahead(-side, high, low))
+        if -_ahead(-side, high, low) <= level:
+            side, level, factor = -side, -ahead, step
+            ahead, behind = _ahead(side, high, low), -_ahead(-side, high, low)
+        elif ahead > self.ahead:
+            factor = min(factor + step, limit)
+        level += factor * (ahead - level)
+        level = min(level, -_ahead(-side, high, low), -_ahead(-side, self.high, self.low))
+        return Trail(side, level, factor, ahead, behind, high, low)
+
+
+def _ahead(side: float, high: float, low: float) -> float:
+    """How far a bar comes in the direction of a side."""
+    return high if side > 0 else -low
 
 
 def parabolic_sar(df: DataFrame, name: str, key: str, order: str, step: float, limit: float) -> DataFrame:
@@ -88,7 +104,10 @@ def parabolic_sar(df: DataFrame, name: str, key: str, order: str, step: float, l
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, ignore_index=True)
-        level = _sar(pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), step, limit)
-        return pdf[[key, order]].assign(**{name: level})
+        trail, levels = None, []
+        for high, low in zip(pdf["high"].astype(float), pdf["low"].astype(float), strict=True):
+            trail = Trail.first(high, low, step) if trail is None else trail.advance(high, low, step, limit)
+            levels.append(trail.side * trail.level)
+        return pdf[[key, order]].assign(**{name: np.array(levels, float)})
 
     return df.join(slim.groupBy(key).applyInPandas(run, schema), [key, order])

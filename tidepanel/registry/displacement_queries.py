@@ -305,3 +305,30 @@ def stop_order_rules_all(spark, folder):
             F.count(F.lit(1)).alias("orders"), F.avg("stop_price").alias("mean_stop_price")
         )
     )
+
+
+@query(
+    "live_alert_states",
+    "SELECT symbol, epoch(timestamp_utc)::BIGINT AS ts, state + 0.0 AS position_signal FROM t_hys",
+)
+def live_alert_states(spark, folder):
+    """The alerts as a stream whose files come in another order than their rows' times."""
+    from tidepanel.streaming import bars as live
+
+    rows = intraday(spark, folder).select("symbol", "trading_date", "timestamp_utc", "session_minute", "score_balanced")
+    stream, lateness = live.replay(spark, rows, "timestamp_utc", F.xxhash64("timestamp_utc", "symbol"), 4, "scores")
+    with live.timer_store(spark):
+        out = live.run_available(live.live_alerts(stream, "timestamp_utc", "score_balanced", 0.3, 0.1, 8, lateness), "live-alerts")
+    return tidy(out.where("symbol is not null").select("symbol", F.floor(F.col("at_ms") / 1000).alias("ts"), "position_signal"))
+
+
+@query("live_sar_levels", f"SELECT symbol, epoch(timestamp_utc)::BIGINT AS ts, {r('sar', 'sar', 7)} FROM t_sar")
+def live_sar_levels(spark, folder):
+    """The stop-and-reverse level as a stream whose files come in another order than their bars' times."""
+    from tidepanel.streaming import bars as live
+
+    rows = cal.plain_hour_bars(src.minute_bars(spark, folder)).select("symbol", "timestamp_utc", "high", "low")
+    stream, lateness = live.replay(spark, rows, "timestamp_utc", F.xxhash64("timestamp_utc", "symbol"), 4, "bars")
+    with live.timer_store(spark):
+        out = live.run_available(live.live_sar(stream, "timestamp_utc", 0.02, 0.2, lateness), "live-sar")
+    return tidy(out.where("symbol is not null").select("symbol", F.floor(F.col("at_ms") / 1000).alias("ts"), "sar"), 7)

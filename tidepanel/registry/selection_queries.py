@@ -419,7 +419,7 @@ def hourly_weight_accounting(spark, folder):
         GROUP BY 1, date_trunc('hour', ts)""",
 )
 def streaming_hour_bars(spark, folder):
-    out = S.run_backfill(S.live_bars(S.event_stream(spark, folder)), "hour-bars")
+    out = S.run_backfill(S.live_bars(S.event_stream(spark, folder)), "hour-bars", "symbol", "timestamp_utc")
     return tidy(
         out.withColumn("hour_ts", F.unix_timestamp("timestamp_utc")).drop("timestamp_utc")
     )
