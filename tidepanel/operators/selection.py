@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators import evaluate as E
 from tidepanel.operators.accounting import leverage_for
+from tidepanel.session import cut_lineage
 
 DATE = "trading_date"
 
@@ -62,48 +61,49 @@ def series_arrays(returns: DataFrame, key: str, value: str, only: Column | None
     return packed.select(key, F.transform("s", lambda e: e[value]).alias("series"))
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
 def greedy_pruned(
     candidates: DataFrame, keys: list[str], score: str, *, target: int, per_symbol: int,
     maximum_correlation: float, least: int = 1,
 ) -> DataFrame:
     """Walk each key's ranked list, skipping full symbols and near copies of those taken.
 
-    Rows carry their own return series, so the pass holds one selection key's rule list and
-    nothing that grows with the raw data.  A correlation that is undefined does not exclude.
+    All keys go on together, a pick at a time: a key's next pick is its best candidate that no earlier pick
+    has ruled out, and it rules out those that resemble it or whose symbol is full.  So each pick is
+    one join of the candidates left with one row per key, and every candidate is compared with the picks
+    alone.  A correlation that is undefined does not exclude.
     """
-    fields = ", ".join(
-        f"{k} {candidates.schema[k].dataType.simpleString()}" for k in [*keys, "strategy", "symbol", score]
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "strategy"], ascending=[False, True], ignore_index=True)
-        taken, used = [], {}
-        for i in range(len(pdf)):
-            symbol = pdf["symbol"].iloc[i]
-            if used.get(symbol, 0) >= per_symbol:
-                continue
-            x = np.asarray(pdf["series"].iloc[i], dtype=float)
-            if x.std() > 0 and any(
-                np.asarray(pdf["series"].iloc[j]).std() > 0
-                and abs(np.corrcoef(x, np.asarray(pdf["series"].iloc[j], dtype=float))[0, 1])
-                > maximum_correlation
-                for j in taken
-            ):
-                continue
-            taken.append(i)
-            used[symbol] = used.get(symbol, 0) + 1
-            if len(taken) >= target:
-                break
-        if len(taken) < least:
-            taken = []
-        out = pdf.loc[taken, [*keys, "strategy", "symbol", score]].copy()
-        out["pick"] = np.arange(1, len(out) + 1, dtype="int32")
-        return out
-
-    columns = [*keys, "strategy", "symbol", score, "series"]
-    return (
-        candidates.select(*columns).groupBy(*keys).applyInPandas(run, f"{fields}, pick int")
-    )
+    rows = ranked(candidates.select(*keys, "strategy", "symbol", score, "series"), keys, score)
+    rows = rows.repartition(*keys, "strategy")  # ranking brings a key into one task, comparing spreads it again
+    rows = cut_lineage(rows.withColumns({
+        "total": _sum(F.col("series")), "squares": _sum(F.transform("series", lambda x: x * x)), "used": F.lit(0)}))
+    left = rows
+    picks = None
+    for number in range(1, target + 1):
+        best = cut_lineage(left.groupBy(*keys).agg(
+            F.min_by(F.struct("rank", "strategy", "symbol", score, "series", "total", "squares"), "rank").alias("pick")))
+        if not best.take(1):
+            break
+        picked = best.select(*keys, "pick.strategy", "pick.symbol", F.col(f"pick.{score}"), F.lit(number).alias("pick"))
+        picks = picked if picks is None else picks.unionByName(picked)
+        n = F.size("series")
+        own, other = (F.col(f"{p}squares") - F.col(f"{p}total") ** 2 / n for p in ("", "pick."))
+        constant = (own <= 1e-12 * F.col("squares")) | (other <= 1e-12 * F.col("pick.squares"))
+        together = _sum(F.zip_with("series", "pick.series", lambda x, y: x * y)) - F.col("total") * F.col("pick.total") / n
+        alike = F.coalesce(~constant & (F.abs(together) > maximum_correlation * F.sqrt(own * other)), F.lit(False))
+        used = F.col("used") + (F.col("symbol") == F.col("pick.symbol")).cast("int")
+        left = cut_lineage(
+            left.join(best, keys).where(F.col("rank") > F.col("pick.rank"))
+            .withColumn("used", used).where((F.col("used") < per_symbol) & ~alike).drop("pick"))
+    if picks is None:
+        return rows.where(F.lit(False)).select(*keys, "strategy", "symbol", score, F.lit(0).alias("pick"))
+    if least > 1:
+        enough = picks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        picks = picks.join(enough.select(*keys), keys, "left_semi")
+    return picks
 
 
 def prior_fold_scores(
@@ -169,10 +169,12 @@ def replay(returns: DataFrame, picked: DataFrame, keys: list[str], value: str, f
 def walk_forward_families(
     returns: DataFrame, family: str, value: str, active: str, *, folds: int = 4, per_family: int = 3,
     maximum_correlation: float = 0.75, minimum_score: float | None = 0.0, maximum_weight: float = 0.40,
+    digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Family members chosen on earlier folds, families weighted by capped inverse volatility.
 
-    Returns (selections, portfolio).  A fold with fewer than two families is skipped.
+    Returns (selections, portfolio).  A fold with fewer than two families is skipped.  ``digits`` rounds scores
+    before they are ranked, so that rules with equal returns tie.
     """
     from tidepanel.operators.accounting import redistribute_excess
 
@@ -184,6 +186,8 @@ def walk_forward_families(
     if minimum_score is not None:
         fits = fits & (F.col("training_score") > minimum_score)
     scores = scores.filter(fits)
+    if digits is not None:
+        scores = scores.withColumn("training_score", F.round("training_score", digits))
     blocked = E.date_blocks(returns, folds, DATE)
     arrays = blocked.groupBy("strategy").agg(
         F.array_sort(F.collect_list(F.struct(DATE, "block", value))).alias("s")
@@ -196,6 +200,7 @@ def walk_forward_families(
         candidates, ["evaluation_fold", family], "training_score", target=per_family, per_symbol=1,
         maximum_correlation=maximum_correlation,
     )
+    picked = cut_lineage(picked)
     members = blocked.join(picked.select("evaluation_fold", "strategy"), "strategy")
     sleeves = (
         members.filter(F.col("block") <= F.col("evaluation_fold"))

@@ -118,18 +118,63 @@ def parameter_neighbours(spark, folder):
     return tidy(out.select("selected_strategy", "strategy", "full_sharpe"))
 
 
-@query("correlation_pruned_selection")
+#: A series (with its mean and deviation beside it) as a unit vector, NULL when constant.
+UNIT = "CASE WHEN sd > 0 THEN list_transform(series, lambda x: (x - m) / (sqrt(len(series)) * sd)) END AS unit"
+SERIES = "list({0} ORDER BY trading_date) AS series, avg({0}) AS m, stddev_pop({0}) AS sd"
+
+
+def greedy_sql(candidates: str, keys: str, target: int, per_symbol: int, maximum: float) -> str:
+    """Recursive statement: one rank a step, with the ranks that a candidate resembles found before."""
+    on = " AND ".join(f"w.{k} = c.{k}" for k in keys.split(", "))
+    named = ", ".join(f"w.{k}" for k in keys.split(", "))
+    pair = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    free = (f"len(picks) < {target} AND len(list_filter(picks, lambda p: p.symbol = c.symbol)) < {per_symbol} AND "
+            f"NOT list_has_any(list_transform(picks, lambda p: p.rk), c.alike)")
+    return f"""
+WITH RECURSIVE ranked AS MATERIALIZED (
+  SELECT a.* EXCLUDE (unit), coalesce(alike, CAST([] AS BIGINT[])) AS alike
+  FROM {candidates} a LEFT JOIN (
+    SELECT {', '.join(f"a.{k}" for k in keys.split(', '))}, a.rk, list(b.rk) AS alike
+    FROM {candidates} a JOIN {candidates} b ON {pair} AND b.rk < a.rk AND abs(list_inner_product(a.unit, b.unit)) > {maximum}
+    GROUP BY ALL) b ON {pair} AND a.rk = b.rk
+), walk AS (
+  SELECT {keys}, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(rk BIGINT, symbol VARCHAR)[]) AS picks
+  FROM (SELECT DISTINCT {keys} FROM {candidates})
+  UNION ALL
+  SELECT {named}, w.rk + 1, CASE WHEN {free} THEN list_append(picks, {{'rk': c.rk, 'symbol': c.symbol}}) ELSE picks END
+  FROM walk w JOIN ranked c ON {on} AND c.rk = w.rk + 1
+)
+SELECT {', '.join(f"c.{k}" for k in keys.split(', '))}, c.strategy, c.symbol, c.score, CAST(pick AS INTEGER) AS pick
+FROM (SELECT {keys}, unnest(range(1, len(picks) + 1)) AS pick, unnest(picks).rk AS chosen
+      FROM walk QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY rk DESC) = 1) w
+JOIN ranked c ON {on} AND c.rk = w.chosen
+"""
+
+
+shared(
+    t_pruned_candidates=f"""
+SELECT 'all' AS key, strategy, symbol, score, row_number() OVER (ORDER BY score DESC NULLS LAST, strategy) AS rk, {UNIT}
+FROM (SELECT strategy, symbol, round(robust_score, 9) AS score FROM t_summary)
+JOIN (SELECT strategy, {SERIES.format('net')} FROM t_grid WHERE trading_date < DATE '2000-06-01' GROUP BY strategy)
+USING (strategy)
+""",
+)
+
+
+@query(
+    "correlation_pruned_selection",
+    "SELECT * FROM (SELECT key, strategy, symbol, round(score, 6) + 0.0 AS robust_score, pick FROM ("
+    + greedy_sql("t_pruned_candidates", "key", 12, 2, 0.65)
+    + ") QUALIFY count(*) OVER () >= 3)",
+)
 def correlation_pruned_selection(spark, folder):
-    """Greedy pass over the ranked list: order dependent, checked by brute force in the tests."""
+    """Greedy picks from the ranked list.  Scores are rounded first, so equal rules tie in every engine."""
     s = summary(spark, folder)
     arrays = K.series_arrays(
         grid(spark, folder), "strategy", "net", F.col("trading_date") < F.lit("2000-06-01")
     )
-    out = K.greedy_pruned(
-        s.join(arrays, "strategy").withColumn("key", F.lit("all")), ["key"], "robust_score",
-        target=12, per_symbol=2, maximum_correlation=0.65, least=3,
-    )
-    return tidy(out)
+    rows = s.join(arrays, "strategy").withColumn("key", F.lit("all")).withColumn("robust_score", F.round("robust_score", 9))
+    return tidy(K.greedy_pruned(rows, ["key"], "robust_score", target=12, per_symbol=2, maximum_correlation=0.65, least=3))
 
 
 shared(
@@ -204,16 +249,77 @@ def chained_selection_per_symbol(spark, folder):
     return tidy(out.select("evaluation_fold", "symbol", "strategy", "training_score"))
 
 
-@query("walk_forward_family_selection")
-def walk_forward_family_selection(spark, folder):
-    """Greedy members per family and fold, capped weights, leverage; the greedy step and the
-    weights are checked on their own."""
+FOLDS = "(VALUES (2), (3), (4)) v(e)"
+shared(
+    t_family_scores=f"""
+SELECT strategy, symbol, family, e AS evaluation_fold, round(avg(s) - 0.25 * stddev_pop(s), 9) AS score, min(s) AS worst, sum(a) AS training_trades
+FROM (SELECT strategy, symbol, family, block, {sharpe_sql('gross')} AS s, count(*) FILTER (sides > 0) AS a
+      FROM t_grid JOIN t_block4 USING (trading_date) GROUP BY ALL)
+JOIN {FOLDS} ON block < e GROUP BY strategy, symbol, family, e
+HAVING count(s) = e - 1 AND sum(a) >= greatest(12, 6 * (e - 1)) AND min(s) > -0.5
+""",
+    t_family_candidates=f"""
+SELECT evaluation_fold, family, strategy, symbol, score,
+       row_number() OVER (PARTITION BY evaluation_fold, family ORDER BY score DESC NULLS LAST, strategy) AS rk, {UNIT}
+FROM t_family_scores JOIN (
+  SELECT strategy, e AS evaluation_fold, {SERIES.format('gross')}
+  FROM t_grid JOIN t_block4 USING (trading_date) JOIN {FOLDS} ON block < e GROUP BY strategy, e) USING (strategy, evaluation_fold)
+""",
+    t_family_picks="SELECT * FROM (" + greedy_sql("t_family_candidates", "evaluation_fold, family", 3, 1, 0.75) + ")",
+    t_family_sleeves="""
+SELECT evaluation_fold, family, trading_date, block, avg(gross) AS sleeve
+FROM t_family_picks JOIN t_grid USING (strategy, family) JOIN t_block4 USING (trading_date) WHERE block <= evaluation_fold GROUP BY ALL
+""",
+    t_family_weights="""
+SELECT evaluation_fold, family, 1 / vol / sum(1 / vol) OVER (PARTITION BY evaluation_fold) AS w0
+FROM (SELECT evaluation_fold, family, stddev_samp(sleeve) AS vol FROM t_family_sleeves WHERE block < evaluation_fold GROUP BY ALL)
+QUALIFY count(*) OVER (PARTITION BY evaluation_fold) >= 2
+""",
+)
+
+
+def _family_weights_sql(cap: float, passes: int) -> str:
+    sql = "SELECT evaluation_fold, family, w0 AS w FROM t_family_weights"
+    for _ in range(passes):
+        sql = f"""SELECT evaluation_fold, family, CASE WHEN w > {cap} THEN {cap} WHEN u > 0 THEN w + e * w / u ELSE w END AS w
+            FROM (SELECT *, coalesce(sum(w - {cap}) FILTER (w > {cap}) OVER (PARTITION BY evaluation_fold), 0) AS e,
+                         coalesce(sum(w) FILTER (w <= {cap}) OVER (PARTITION BY evaluation_fold), 0) AS u FROM ({sql}))"""
+    return f"SELECT evaluation_fold, family, w / sum(w) OVER (PARTITION BY evaluation_fold) AS weight FROM ({sql})"
+
+
+shared(
+    t_family_portfolio=f"""
+SELECT m.trading_date, m.evaluation_fold, m.r * least(2.0, 0.10 / l.v) AS portfolio_return
+FROM (SELECT trading_date, evaluation_fold, block, sum(sleeve * weight) AS r
+      FROM t_family_sleeves JOIN ({_family_weights_sql(0.4, 2)}) USING (evaluation_fold, family) GROUP BY ALL) m
+JOIN (SELECT evaluation_fold, stddev_samp(r) * sqrt(252) AS v
+      FROM (SELECT trading_date, evaluation_fold, block, sum(sleeve * weight) AS r
+            FROM t_family_sleeves JOIN ({_family_weights_sql(0.4, 2)}) USING (evaluation_fold, family) GROUP BY ALL)
+      WHERE block < evaluation_fold GROUP BY evaluation_fold) l USING (evaluation_fold)
+WHERE m.block = m.evaluation_fold
+""",
+)
+
+
+def family_study(spark, folder):
     returns = cut_lineage(
         grid(spark, folder, 0.0).select("strategy", "symbol", "family", "trading_date", "net", "sides")
     )
-    _, portfolio = K.walk_forward_families(
-        returns, "family", "net", "sides", minimum_score=None, folds=4
-    )
+    return K.walk_forward_families(returns, "family", "net", "sides", minimum_score=None, folds=4, digits=9)
+
+
+@query("walk_forward_family_members",
+       f"SELECT evaluation_fold, family, strategy, symbol, {r('score', 'training_score')}, pick FROM t_family_picks")
+def walk_forward_family_members(spark, folder):
+    picked, _ = family_study(spark, folder)
+    return tidy(picked)
+
+
+@query("walk_forward_family_selection",
+       f"SELECT trading_date, evaluation_fold, {r('portfolio_return', 'portfolio_return')} FROM t_family_portfolio")
+def walk_forward_family_selection(spark, folder):
+    """Greedy members per family and fold, capped weights, leverage."""
+    _, portfolio = family_study(spark, folder)
     return tidy(portfolio)
 
 
