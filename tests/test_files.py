@@ -143,6 +143,21 @@ def test_split_sink_hides_the_holdout(spark, tmp_path):
     assert last < held.agg(F.min("trading_date")).first()[0]
 
 
+def test_versions_appear_whole(spark, tmp_path):
+    root = str(tmp_path / "v")
+    one, two = spark.range(3).toDF("x"), spark.range(5).toDF("x")
+    with pytest.raises(Exception):
+        sinks.read_swapped(spark, root, "t")
+    sinks.write_swapped({"t": one, "u": two}, root)
+    assert sinks.read_swapped(spark, root, "t").count() == 3 and sinks.read_swapped(spark, root, "u").count() == 5
+    broken = two.withColumn("x", F.raise_error(F.lit("dead")).cast("long"))
+    with pytest.raises(Exception, match="dead"):
+        sinks.write_swapped({"t": two, "u": broken}, root)
+    assert sinks.read_swapped(spark, root, "t").count() == 3  # the version before stays
+    sinks.write_swapped({"t": two}, root)
+    assert sinks.read_swapped(spark, root, "t").count() == 5
+
+
 def test_symbol_partitions_are_replaced(spark, tmp_path):
     root = str(tmp_path / "p")
     schema = "symbol string, trading_date date, x double"

@@ -19,6 +19,7 @@ from tidepanel.operators import network as G
 from tidepanel.operators import selection as K
 from tidepanel.operators import signals as N
 from tidepanel.session import cut_lineage
+from tidepanel.sources import sinks
 
 DATE, SYMBOL = "trading_date", "symbol"
 ACCOUNTING = "lag, turnover and cost; no drawdown feedback"
@@ -325,8 +326,8 @@ def saved_rule_replay(features: DataFrame, panel: DataFrame, names: list[str], b
 
 
 def write_labels_and_folds(panel: DataFrame, root: str) -> None:
-    L.forward_labels(panel).write.mode("overwrite").parquet(f"{root}/labels")
-    L.walk_forward_folds(panel).write.mode("overwrite").parquet(f"{root}/folds")
+    """Forward labels and walk-forward folds as one version of two tables."""
+    sinks.write_swapped({"labels": L.forward_labels(panel), "folds": L.walk_forward_folds(panel)}, root)
 
 
 def rule_scores_prepared(bars: DataFrame, lookbacks: tuple[int, ...], peers: dict[str, str]) -> DataFrame:

@@ -167,28 +167,28 @@ def family_mean_sleeves(spark, folder):
 
 @query(
     "causal_volatility_balance",
-    f"""SELECT trading_date, {r('equal_weight', 'equal_weight')},
+    f"""SELECT trading_date, {r('equal_weight', 'equal_weight', 9)},
         {r('balanced * CASE WHEN n >= 20 AND sd > 0 THEN greatest(least(0.1 / (sd * sqrt(252)), 2), 0.25) ELSE 1 END',
-           'causal_volatility_balanced')}
+           'causal_volatility_balanced', 9)}
         FROM (SELECT *, count(balanced) OVER w AS n, stddev_samp(balanced) OVER w AS sd
               FROM (SELECT trading_date, avg(net) AS equal_weight, avg(net * scale) AS balanced
                     FROM (SELECT *, CASE WHEN count(net) OVER w >= 20 AND stddev_samp(net) OVER w > 0
                                  THEN greatest(least(0.1 / (stddev_samp(net) OVER w * sqrt(252)), 2), 0.25)
-                                 ELSE 1 END AS scale FROM t_few
+                                 ELSE 1 END AS scale FROM t_grid
                           WINDOW w AS (PARTITION BY strategy ORDER BY trading_date
                                        ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
                     GROUP BY trading_date)
               WINDOW w AS (ORDER BY trading_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))""",
 )
 def causal_volatility_balance(spark, folder):
-    return tidy(B.causal_volatility_balance(few(spark, folder), "strategy"))
+    return tidy(B.causal_volatility_balance(grid(spark, folder), "strategy"), 9)
 
 
 shared(
     t_two="""
 SELECT trading_date, avg(net) FILTER (family = 'session_momentum') AS a,
-       avg(net) FILTER (family = 'session_reversal' AND symbol < 'M') AS b
-FROM t_few GROUP BY trading_date
+       avg(net) FILTER (family = 'session_reversal') AS b
+FROM t_grid GROUP BY trading_date
 """
 )
 
@@ -204,52 +204,49 @@ FROM t_few GROUP BY trading_date
     ),
 )
 def two_sleeve_mix(spark, folder):
-    f = few(spark, folder)
-    two = f.groupBy("trading_date").agg(
+    two = grid(spark, folder).groupBy("trading_date").agg(
         F.avg(F.when(F.col("family") == "session_momentum", F.col("net"))).alias("a"),
-        F.avg(
-            F.when((F.col("family") == "session_reversal") & (F.col("symbol") < "M"), F.col("net"))
-        ).alias("b"),
+        F.avg(F.when(F.col("family") == "session_reversal", F.col("net"))).alias("b"),
     )
     return tidy(B.two_sleeve_mix(two, "a", "b"))
 
 
 @query(
     "static_allocations",
-    f"""SELECT trading_date, {r('sum(net * e)', 'equal_weight')}, {r('sum(net * v)', 'inverse_volatility')}
-        FROM t_few JOIN (SELECT strategy, 1.0 / count(*) OVER () AS e, (1 / s) / sum(1 / s) OVER () AS v
-                         FROM (SELECT strategy, stddev_samp(net) AS s FROM t_few
+    f"""SELECT trading_date, {r('sum(net * e)', 'equal_weight', 9)}, {r('sum(net * v)', 'inverse_volatility', 9)}
+        FROM t_grid JOIN (SELECT strategy, 1.0 / count(*) OVER () AS e, (1 / nullif(s, 0)) / sum(1 / nullif(s, 0)) OVER () AS v
+                         FROM (SELECT strategy, stddev_samp(net) AS s FROM t_grid
                                WHERE trading_date < DATE '1999-01-01' GROUP BY strategy))
         USING (strategy) GROUP BY trading_date""",
 )
 def static_allocations(spark, folder):
-    f = cut_lineage(few(spark, folder).select("strategy", "trading_date", "net"))
+    f = cut_lineage(grid(spark, folder).select("strategy", "trading_date", "net"))
     weights = B.static_weights(f, "strategy", "net", F.col("trading_date") < F.lit("1999-01-01"))
     return tidy(
-        B.weighted_portfolio(f, weights, "strategy", "net", ("equal_weight", "inverse_volatility"))
+        B.weighted_portfolio(f, weights, "strategy", "net", ("equal_weight", "inverse_volatility")), 9
     )
 
 
 @query(
     "expectancy_top_k_portfolio",
     f"""SELECT trading_date, {r('avg(net) FILTER (k <= 5)', 'top_5')}, {r('sum(net * e)', 'expectancy')}
-        FROM t_few JOIN (SELECT strategy, row_number() OVER (ORDER BY s DESC, strategy) AS k,
+        FROM t_grid JOIN (SELECT strategy, row_number() OVER (ORDER BY round(s, 9) DESC NULLS LAST, strategy) AS k,
                                 greatest(m, 0) / nullif(sum(greatest(m, 0)) OVER (), 0) AS e
-                         FROM (SELECT strategy, avg(net) AS m, {sharpe_sql('net')} AS s FROM t_few
+                         FROM (SELECT strategy, avg(net) AS m, {sharpe_sql('net')} AS s FROM t_grid
                                WHERE trading_date < DATE '1999-01-01' GROUP BY strategy))
         USING (strategy) GROUP BY trading_date""",
 )
 def expectancy_top_k_portfolio(spark, folder):
     from tidepanel.operators.evaluate import sharpe
 
-    f = cut_lineage(few(spark, folder).select("strategy", "trading_date", "net"))
+    f = cut_lineage(grid(spark, folder).select("strategy", "trading_date", "net"))
     early = F.when(F.col("trading_date") < F.lit("1999-01-01"), F.col("net"))
     fitted = f.groupBy("strategy").agg(F.avg(early).alias("m"), sharpe(early).alias("s"))
     up = F.greatest("m", F.lit(0.0))
     total = F.sum(up).over(Window.partitionBy())
     weights = fitted.select(
         "strategy",
-        F.row_number().over(Window.orderBy(F.col("s").desc(), "strategy")).alias("k"),
+        F.row_number().over(Window.orderBy(F.round("s", 9).desc_nulls_last(), "strategy")).alias("k"),
         (up / F.when(total != 0, total)).alias("e"),
     )
     return tidy(
@@ -311,19 +308,19 @@ def excess_redistributed_weights(spark, folder):
 
 @query(
     "leveraged_portfolio",
-    f"""SELECT trading_date, {r('net * l', 'portfolio_return')}
-        FROM (SELECT trading_date, avg(net) AS net FROM t_few GROUP BY trading_date),
+    f"""SELECT trading_date, {r('net * l', 'portfolio_return', 9)}
+        FROM (SELECT trading_date, avg(net) AS net FROM t_grid GROUP BY trading_date),
              (SELECT least(0.10 / (stddev_samp(net) * sqrt(252)), 2.0) AS l
-              FROM (SELECT trading_date, avg(net) AS net FROM t_few GROUP BY trading_date)
+              FROM (SELECT trading_date, avg(net) AS net FROM t_grid GROUP BY trading_date)
               WHERE trading_date < DATE '1999-01-01')""",
 )
 def leveraged_portfolio(spark, folder):
-    daily = cut_lineage(few(spark, folder).groupBy("trading_date").agg(F.avg("net").alias("net")))
+    daily = cut_lineage(grid(spark, folder).groupBy("trading_date").agg(F.avg("net").alias("net")))
     early = F.when(F.col("trading_date") < F.lit("1999-01-01"), F.col("net"))
     lever = daily.agg(
         B.leverage_for(F.stddev_samp(early) * 252.0**0.5).alias("l")
     ).scalar()
-    return tidy(daily.select("trading_date", (F.col("net") * lever).alias("portfolio_return")))
+    return tidy(daily.select("trading_date", (F.col("net") * lever).alias("portfolio_return")), 9)
 
 
 @query(

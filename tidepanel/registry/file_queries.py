@@ -6,7 +6,7 @@ from tidepanel.functions.scalars import tidy
 from tidepanel.operators import quality as Q
 from tidepanel.registry.base import query, r, shared
 from tidepanel.session import shared_folder
-from tidepanel.sources import bar_files
+from tidepanel.sources import bar_files, sinks
 from tidepanel.sources import tables as src
 
 AS_OF = 2026
@@ -131,3 +131,69 @@ def shared_payload_members(spark, folder):
         F.sha2(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), 256).alias("sha256"))
     return Q.shared_payloads(files).groupBy("sha256", "files").agg(
         F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+
+
+@query(
+    "written_catalog",
+    """SELECT 'manifest' AS part, source_file, status AS value, CAST(rows_seen AS BIGINT) AS n FROM t_manifest
+       UNION ALL SELECT 'issues', source_file, code, n FROM (
+         SELECT source_file, unnest(['embedded_headers', 'invalid_timestamps', 'out_of_order', 'exact_duplicate_rows', 'duplicate_symbol_timestamp',
+                                     'invalid_numeric_values', 'constant_price_series']) AS code,
+                unnest([embedded_headers, invalid_timestamps, out_of_order, exact_duplicate_rows, duplicate_symbol_timestamp,
+                        invalid_numeric_values, constant_price_series]) AS n FROM t_manifest) WHERE n > 0
+       UNION ALL SELECT 'issues', source_file, 'short_history', 1 FROM t_manifest
+       UNION ALL SELECT 'issues', source_file, 'open_interest_unavailable', n FROM (
+         SELECT source_file, count(*) FILTER (fault <> 1) AS n FROM t_filed WHERE event_type = 'error' GROUP BY source_file)
+       UNION ALL SELECT 'summary', NULL, 'files', count(*) FROM t_manifest""",
+)
+def written_catalog(spark, folder):
+    """The catalog of the rendered files, written as a version and read back."""
+    _, report = bar_files.normalize(spark, rendered_files(spark, folder), AS_OF)
+    issues = Q.issues_from_profile(report)
+    root = shared_folder(spark, "catalog")
+    sinks.write_catalog(report, issues, root)
+    files, kept, total = (sinks.read_swapped(spark, root, n) for n in ("manifest", "issues", "summary"))
+    row = ["part", "source_file", "value", "n"]
+    return (
+        files.select(F.lit("manifest").alias("part"), "source_file", F.col("status").alias("value"), F.col("rows_seen").alias("n"))
+        .unionByName(kept.select(F.lit("issues").alias("part"), "source_file", F.col("code").alias("value"), F.col("issue_count").alias("n")))
+        .unionByName(total.select(F.lit("summary").alias("part"), F.lit(None).cast("string").alias("source_file"),
+                                  F.lit("files").alias("value"), F.col("files").alias("n"))).select(*row))
+
+
+@query(
+    "written_variants",
+    f"""SELECT strategy, family, CAST(count(*) AS BIGINT) AS days, {r('sum(gross)', 'gross', 5)}, {r('sum(net)', 'net', 5)},
+               CAST(sum(sides) AS BIGINT) AS sides FROM t_grid GROUP BY strategy, family""",
+)
+def written_variants(spark, folder):
+    """Every rule's series in a directory of its own, written and read back."""
+    from tidepanel.registry.evaluate_queries import grid
+
+    root = shared_folder(spark, "variants")
+    rows = grid(spark, folder).select("strategy", "family", "trading_date", "gross", "net", "sides")
+    sinks.write_variants(rows, root, "family", "strategy")
+    kept = sinks.read_swapped(spark, root, "variants")
+    return tidy(kept.groupBy("strategy", "family").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("gross").alias("gross"), F.sum("net").alias("net"),
+        F.sum("sides").cast("long").alias("sides")), 5)
+
+
+@query(
+    "written_labels_and_folds",
+    f"""SELECT 'labels' AS part, symbol AS name, CAST(count(x) AS BIGINT) AS n, {r('sum(x)', 'total')}
+        FROM (SELECT symbol, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY trading_date) / close) AS x FROM t_panel) GROUP BY symbol
+        UNION ALL SELECT 'folds', CAST(fold AS VARCHAR), CAST(train_sessions AS BIGINT), CAST(validation_sessions AS DOUBLE) FROM t_folds""",
+)
+def written_labels_and_folds(spark, folder):
+    """Labels and folds, written as one version of two tables and read back."""
+    from tidepanel.plans import studies
+
+    root = shared_folder(spark, "labels")
+    studies.write_labels_and_folds(src.session_panel(spark, folder), root)
+    labels, folds = (sinks.read_swapped(spark, root, n) for n in ("labels", "folds"))
+    return tidy(
+        labels.groupBy("symbol").agg(F.count("forward_log_return_5s").alias("n"), F.sum("forward_log_return_5s").alias("total"))
+        .select(F.lit("labels").alias("part"), F.col("symbol").alias("name"), "n", "total")
+        .unionByName(folds.select(F.lit("folds").alias("part"), F.col("fold").cast("string").alias("name"),
+                                  F.col("train_sessions").cast("long").alias("n"), F.col("validation_sessions").cast("double").alias("total"))))

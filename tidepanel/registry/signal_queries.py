@@ -546,8 +546,7 @@ shared(
         for n, m in MINIMUM_BARS.items()
     )
     + " FROM t_clock_windows",
-    t_learn=learn_sql(5, 3),
-    t_learn_whole=learn_sql(20, 5),
+    t_learn=learn_sql(20, 5),
 )
 
 
@@ -564,14 +563,13 @@ def learning(spark, folder, **windows_of):
     + " FROM t_learn WHERE target_return IS NOT NULL",
 )
 def learning_frame(spark, folder):
-    """Short histories, as its SQL has them; the names of the columns state the whole ones."""
-    return tidy(learning(spark, folder, history=5, momentum=3))
+    return tidy(learning(spark, folder))
 
 
 @query(
     "learning_frame_whole_history",
     "SELECT symbol, trading_date, " + ", ".join(r(c, c) for c in (*N.LEARNING_FEATURES, "target_return"))
-    + " FROM t_learn_whole WHERE target_return IS NOT NULL",
+    + " FROM t_learn WHERE target_return IS NOT NULL",
 )
 def learning_frame_whole_history(spark, folder):
     return tidy(learning(spark, folder))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "version string, written long, table string, rows long"
+
 
 def write_by_symbol(df: DataFrame, root: str, keep_other_symbols: bool = False) -> None:
     """Partition by symbol.  A full overwrite also removes symbols that are gone; with
@@ -59,11 +65,38 @@ def catalog_summary(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def write_catalog(files: DataFrame, issues: DataFrame, root: str) -> None:
-    files.write.mode("overwrite").option("header", "true").csv(f"{root}/manifest")
-    issues.write.mode("overwrite").option("header", "true").csv(f"{root}/issues")
-    catalog_summary(files, issues).write.mode("overwrite").json(f"{root}/summary")
+    write_swapped({"manifest": files, "issues": issues, "summary": catalog_summary(files, issues)}, root)
 
 
 def write_variants(df: DataFrame, root: str, *partitions: str) -> None:
-    """One directory per variant holding its gross, net and sides."""
-    df.repartition(*partitions).write.mode("overwrite").partitionBy(*partitions).parquet(root)
+    """One directory per variant holding its gross, net and sides: a series on the calendar, written by one task."""
+    write_swapped({"variants": df.repartition(*partitions)}, root, partitions={"variants": partitions})
+
+
+def write_swapped(tables: Mapping[str, DataFrame], root: str, partitions: Mapping[str, Sequence[str]] | None = None) -> None:
+    """Write tables as one version that readers see whole or not at all.
+
+    Each version has a folder of its own.  A manifest row with its number, and the rows of each table as read
+    back, is appended last; readers take the newest manifest row, so a writer that dies leaves the
+    version before it in place, and versions in use are never overwritten.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    counts = []
+    for name, df in tables.items():
+        writer = df.write.option("compression", "zstd")
+        wanted = (partitions or {}).get(name)
+        (writer.partitionBy(*wanted) if wanted else writer).parquet(f"{root}/{version}/{name}")
+        counts.append((version, time.time_ns(), name, spark.read.parquet(f"{root}/{version}/{name}").count()))
+    spark.createDataFrame(counts, MANIFEST).coalesce(1).write.mode("append").json(f"{root}/versions")
+
+
+def read_swapped(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the newest whole version; a count that no longer fits its manifest ends the query."""
+    row = spark.read.schema(MANIFEST).json(f"{root}/versions").where(F.col("table") == name).orderBy(F.desc("written")).first()
+    if row is None:
+        raise FileNotFoundError(f"{root} has no version of {name}")
+    df = spark.read.parquet(f"{root}/{row['version']}/{name}")
+    if df.count() != row["rows"]:
+        raise ValueError(f"{name} of version {row['version']} is not what its manifest says")
+    return df
