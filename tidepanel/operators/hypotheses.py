@@ -456,32 +456,66 @@ def held_positions(scores: DataFrame, sessions: DataFrame, holds: tuple[int, ...
 
 def release_dates(sessions: DataFrame, weekday: int, holidays: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFrame:
     """Sessions on the release weekday in weeks without a holiday up to that day."""
-    week = F.date_trunc("week", "trading_date").cast("date")
-    days = sessions.select("trading_date").distinct().filter(F.weekday("trading_date") == weekday)
+    return release_days(sessions.select("trading_date"), F.lit(weekday), holidays, exceptions)
+
+
+def release_days(sessions: DataFrame, weekday: Column, holidays: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct rows of ``sessions`` on their own release weekday in weeks without a holiday up to that day."""
+    days = sessions.distinct().filter(F.weekday("trading_date") == weekday)
     if exceptions:
         days = days.filter(~F.col("trading_date").cast("string").isin(*exceptions))
-    days = days.withColumn("week", week)
-    disrupted = holidays.filter(F.weekday("holiday") <= weekday).select(
-        F.date_trunc("week", "holiday").cast("date").alias("week")
+    first = holidays.groupBy(F.date_trunc("week", "holiday").cast("date").alias("week")).agg(
+        F.min(F.weekday("holiday")).alias("first_holiday")
+    )
+    marked = days.withColumn("week", F.date_trunc("week", "trading_date").cast("date")).join(first, "week", "left")
+    kept = marked.filter(F.col("first_holiday").isNull() | (F.col("first_holiday") > F.weekday("trading_date")))
+    return kept.select(*sessions.columns)
+
+
+def carried_minutes(bars: DataFrame, end: int, minute: str = "minute") -> DataFrame:
+    """A bar for every minute of a session from its first print to ``end``; minutes without a print carry the close."""
+    w = Window.partitionBy(*SESSION).orderBy(minute)
+    until = F.coalesce(F.lead(minute).over(w), F.lit(end))
+    spans = bars.withColumn("until", until).filter(F.col(minute) < F.col("until"))
+    each = spans.withColumn("at", F.explode(F.sequence(F.col(minute), F.col("until") - 1)))
+    opened = F.when(F.col("at") == F.col(minute), F.col("open")).otherwise(F.col("close"))
+    return each.select(*SESSION, F.col("at").alias(minute), opened.alias("open"), "close")
+
+
+def event_ledger(study: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Daily gross return and traded sides of every variant, zero on sessions without an event.
+
+    Only variants times sessions are made: the sorted calendar is one array, exploded per variant.
+    """
+    variant = ["symbol", "response_minutes", "hold_minutes", "threshold"]
+    dates = sessions.agg(F.array_sort(F.collect_set("trading_date")).alias("dates")).scalar()
+    traded = study.select(
+        *variant, "trading_date", (F.col("position") * F.col("target_return")).alias("gross"),
+        (2.0 * F.abs("position")).alias("sides"),
     )
-    return days.join(disrupted.distinct(), "week", "left_anti").select("trading_date")
+    grid = study.select(*variant).distinct().select("*", F.explode(dates).alias("trading_date"))
+    return grid.join(traded, [*variant, "trading_date"], "left").fillna(0.0, ["gross", "sides"])
 
 
 def event_study(
     minutes: DataFrame, days: DataFrame, start: int, responses=(15, 30), holds=(30, 60, 240),
     thresholds=(0.5, 1.0), history: int = 20, least: int = 12, coverage: float = 1.0,
+    minute: str | None = None,
 ) -> DataFrame:
     """Response window return, later target return and the position it implies, per variant.
 
     All windows are conditional aggregates of one pass over the event days' minutes.  A window
-    counts only when ``coverage`` of its minutes printed.
+    counts only when ``coverage`` of its minutes printed.  ``days`` may have a symbol, then each
+    symbol has its own; ``minute`` names the minute of the local day where the bars have no instant.
     """
-    m = calendar.local_minutes(BAR)
-    df = minutes.join(days, "trading_date", "left_semi").withColumn("m", m)
+    place = minute or BAR
+    m = F.col(minute) if minute else calendar.local_minutes(BAR)
+    keys = [c for c in SESSION if c in days.columns]
+    df = minutes.join(days, keys, "left_semi").withColumn("m", m)
 
     def window(lo: int, hi: int, name: str) -> list[Column]:
         inside = (F.col("m") >= lo) & (F.col("m") < hi)
-        at = F.when(inside, F.col(BAR))
+        at = F.when(inside, F.col(place))
         ret = F.max_by("close", at) / F.min_by("open", at) - 1.0
         return [
             F.when(F.count_if(inside) >= coverage * (hi - lo), ret).alias(name)

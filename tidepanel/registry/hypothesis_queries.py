@@ -477,36 +477,79 @@ def release_dates_without_holidays(spark, folder):
     return H.release_dates(days, 2, holidays)
 
 
+# The release weekday of a symbol (Monday is 0), and a session whose release came at another time.
+MIDWEEK = ("ECONOMY", "LARGE", "MEDIUM")
+SHIFTED = ("1998-01-08",)
+RELEASE_MINUTE = 630
+
 shared(
-    t_event_base="""
-SELECT *, hour(local_time) * 60 + minute(local_time) AS m FROM t_minute WHERE isodow(trading_date) = 3
+    t_release_days=f"""
+SELECT symbol, trading_date FROM (
+    SELECT DISTINCT symbol, trading_date, CASE WHEN symbol IN {MIDWEEK} THEN 3 ELSE 4 END AS release_day FROM t_quotes)
+WHERE isodow(trading_date) = release_day AND trading_date <> DATE '{SHIFTED[0]}'
+AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS h FROM orders WHERE o_totalprice > 499000)
+                WHERE date_trunc('week', h) = date_trunc('week', trading_date) AND h <= trading_date)
+""",
+    t_release_tape="""
+SELECT symbol, trading_date, 600 + (k1 * 8 + k2) % 330 AS printed,
+       first(price ORDER BY k1, k2, price) AS open, last(price ORDER BY k1, k2, price) AS close
+FROM t_quotes SEMI JOIN t_release_days USING (symbol, trading_date) GROUP BY ALL
+""",
+    t_release_minutes="""
+SELECT symbol, trading_date, m, CASE WHEN m = printed THEN open ELSE close END AS open, close
+FROM (SELECT *, unnest(range(printed, until)) AS m
+      FROM (SELECT *, coalesce(lead(printed) OVER (PARTITION BY symbol, trading_date ORDER BY printed), 930) AS until
+            FROM t_release_tape))
 """,
     t_events_long=" UNION ALL ".join(
         f"""SELECT symbol, trading_date, {a} AS response_minutes, {h} AS hold_minutes,
-        last(close ORDER BY timestamp_utc) FILTER (m >= 600 AND m < {600 + a}) / first(open ORDER BY timestamp_utc) FILTER (m >= 600 AND m < {600 + a}) - 1 AS response_return,
-        last(close ORDER BY timestamp_utc) FILTER (m >= {600 + a} AND m < {600 + a + h}) / first(open ORDER BY timestamp_utc) FILTER (m >= {600 + a} AND m < {600 + a + h}) - 1 AS target_return
-        FROM t_event_base GROUP BY symbol, trading_date
-        HAVING count(*) FILTER (m >= 600 AND m < {600 + a}) >= 0.02 * {a}
-           AND count(*) FILTER (m >= {600 + a} AND m < {600 + a + h}) >= 0.02 * {h}"""
-        for a in (60, 120) for h in (60, 240)
+        last(close ORDER BY m) FILTER (m >= 630 AND m < {630 + a}) / first(open ORDER BY m) FILTER (m >= 630 AND m < {630 + a}) - 1 AS response_return,
+        last(close ORDER BY m) FILTER (m >= {630 + a} AND m < {630 + a + h}) / first(open ORDER BY m) FILTER (m >= {630 + a} AND m < {630 + a + h}) - 1 AS target_return
+        FROM t_release_minutes GROUP BY symbol, trading_date
+        HAVING count(*) FILTER (m >= 630 AND m < {630 + a}) = {a}
+           AND count(*) FILTER (m >= {630 + a} AND m < {630 + a + h}) = {h}"""
+        for a in (15, 30) for h in (30, 60, 240)
     ),
+    t_release_study="""
+SELECT *, CASE WHEN abs(score) >= threshold THEN sign(response_return)::DOUBLE ELSE 0 END AS position
+FROM (SELECT *, CASE WHEN count(response_return) OVER w >= 12 THEN response_return / nullif(stddev_samp(response_return) OVER w, 0) END AS score
+      FROM t_events_long WINDOW w AS (PARTITION BY symbol, response_minutes, hold_minutes ORDER BY trading_date
+                                      ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+CROSS JOIN (VALUES (0.5::DOUBLE), (1.0)) t(threshold)
+""",
 )
 
 
+def release_study(spark, folder):
+    """Every release of every symbol at the default windows, thresholds, history and whole coverage."""
+    tape = src.release_tape(spark, folder)
+    own_day = F.when(F.col("symbol").isin(*MIDWEEK), 2).otherwise(3)
+    holidays = src.table(spark, folder, "orders").filter("o_totalprice > 499000").select(
+        F.to_date("o_orderdate").alias("holiday")
+    )
+    days = H.release_days(src.quotes(spark, folder).select("symbol", "trading_date"), own_day, holidays, SHIFTED)
+    minutes = H.carried_minutes(tape.join(days, ["symbol", "trading_date"], "left_semi"), src.TAPE_END)
+    return H.event_study(minutes, days, RELEASE_MINUTE, minute="minute")
+
+
 @query(
     "event_study_positions",
     f"""SELECT symbol, trading_date, response_minutes, hold_minutes, threshold,
         {r('response_return', 'response_return')}, {r('target_return', 'target_return')},
-        {r('score', 'response_score')}, CASE WHEN abs(score) >= threshold THEN sign(response_return)::DOUBLE ELSE 0 END AS position
-        FROM (SELECT *, CASE WHEN count(response_return) OVER w >= 2 THEN response_return / nullif(stddev_samp(response_return) OVER w, 0) END AS score
-              FROM t_events_long WINDOW w AS (PARTITION BY symbol, response_minutes, hold_minutes ORDER BY trading_date
-                                              ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-        CROSS JOIN (VALUES (0.5::DOUBLE), (1.0)) t(threshold)""",
+        {r('score', 'response_score')}, position FROM t_release_study""",
 )
 def event_study_positions(spark, folder):
-    minutes = src.minute_bars(spark, folder)
-    days = minutes.filter(F.weekday("trading_date") == 2).select("trading_date").distinct()
-    out = H.event_study(
-        minutes, days, 600, (60, 120), (60, 240), (0.5, 1.0), least=2, coverage=0.02
-    )
-    return tidy(out)
+    return tidy(release_study(spark, folder))
+
+
+@query(
+    "release_daily_ledger",
+    f"""SELECT v.*, c.trading_date, {r('coalesce(position * target_return, 0)', 'gross')},
+        coalesce(2 * abs(position), 0)::DOUBLE AS sides
+        FROM (SELECT DISTINCT symbol, response_minutes, hold_minutes, threshold FROM t_release_study) v
+        CROSS JOIN (SELECT DISTINCT trading_date FROM t_quotes) c
+        LEFT JOIN t_release_study s USING (symbol, response_minutes, hold_minutes, threshold, trading_date)""",
+)
+def release_daily_ledger(spark, folder):
+    """Gross return and sides of every variant on every session of the calendar."""
+    return tidy(H.event_ledger(cut_lineage(release_study(spark, folder)), src.quotes(spark, folder)))

@@ -20,6 +20,9 @@ TICK_MASK = (1 << TICK_BITS) - 1
 TICKS_PER_POINT = 100_000.0
 BASE_PRICE = 100.0
 
+#: Minutes of the local day between which the prints of a session lie in ``release_tape``.
+TAPE_START, TAPE_END = 600, 930
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -123,6 +126,20 @@ def session_returns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def release_tape(spark: SparkSession, folder: str) -> DataFrame:
+    """Open and close per minute of the local day in which the panel printed, between ``TAPE_START`` and ``TAPE_END``.
+
+    As in ``session_returns`` the position's remainder stands for the minute.
+    """
+    minute = TAPE_START + F.pmod(F.shiftright("key", TICK_BITS), F.lit(TAPE_END - TAPE_START)).cast("int")
+    bars = quotes(spark, folder).groupBy("symbol", "trading_date", minute.alias("minute")).agg(
+        F.min("key").alias("first_key"), F.max("key").alias("last_key")
+    )
+    return bars.select(
+        "symbol", "trading_date", "minute", key_price(F.col("first_key")).alias("open"), key_price(F.col("last_key")).alias("close")
+    )
+
+
 def week_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Session panel whose sessions are calendar weeks: every symbol prints in each of them."""
     weekly = quotes(spark, folder).withColumn("trading_date", F.trunc("trading_date", "week"))
