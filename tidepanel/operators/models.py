@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalars import ratio
+from tidepanel.session import cut_lineage
 
 
 def fold_statistics(train: DataFrame, names: list[str], robust: bool) -> DataFrame:
@@ -214,8 +215,9 @@ def logistic_by_fold(
 
     from pyspark.ml.functions import array_to_vector
 
-    train = vectors(train).withColumn("features", array_to_vector("row")).drop("row")
-    apply = vectors(apply).withColumn("features", array_to_vector("row")).drop("row")
+    # Written once: every fit reads its rows from here.
+    train = cut_lineage(vectors(train).withColumn("features", array_to_vector("row")).drop("row"))
+    apply = cut_lineage(vectors(apply).withColumn("features", array_to_vector("row")).drop("row"))
     sizes = {
         row["fold"]: row
         for row in train.groupBy("fold")

@@ -345,3 +345,77 @@ def rule_scores_prepared(bars: DataFrame, lookbacks: tuple[int, ...], peers: dic
     names = [*N.PRODUCT_FAMILIES, *N.SESSION_AWARE]
     long = _union(parts).unpivot([SYMBOL, "timestamp_utc", "lookback"], names, "family", "score")
     return long.join(flags, [SYMBOL, "timestamp_utc"])
+
+
+def probability_predictions(
+    df: DataFrame, leads: list[tuple[str, int]], variants: dict[str, list[str]], extreme: float = 3.0
+) -> DataFrame:
+    """Reversion probabilities of every lead, fold and feature set on the extreme hours of the validation rows.
+
+    ``df`` has hourly features, labels per horizon and a ``block`` number; block k > 1 is the
+    validation of fold k.  A fold trains on earlier blocks' extreme hours whose label was known
+    before its first hour.  Cases whose training rows have one class only are skipped.
+    """
+    from tidepanel.operators import models as M
+
+    options = F.array(*[
+        F.struct(
+            F.lit(i).alias("lead_no"), F.lit(f"{s}_{h}h").alias("lead"), F.lit(s).alias("lead_symbol"),
+            F.col(f"target_before_stop_{h}h").cast("double").alias("target"),
+            F.col(f"label_available_at_{h}h_utc").alias("known_at"),
+        )
+        for i, (s, h) in enumerate(leads)
+    ])
+    long = df.filter(F.col("regression_residual_zscore_24h").isNotNull()).select("*", F.inline(options))
+    long = cut_lineage(long.filter(
+        (F.col("lead_symbol") == F.col(SYMBOL)) & (F.abs("regression_residual_zscore_24h") >= extreme)))
+    last = df.agg(F.max("block")).first()[0] or 1
+    cutoff = df.groupBy(F.col("block").alias("fold_no")).agg(F.min("hour_start_utc").alias("cutoff"))
+    train = long.filter("target IS NOT NULL").withColumn(
+        "fold_no", F.explode(F.filter(F.sequence(F.lit(2), F.lit(max(2, last))), lambda k: k > F.col("block")))
+    ).join(cutoff, "fold_no").filter(F.col("known_at") < F.col("cutoff"))
+    case = (F.col("fold_no") * len(leads) + F.col("lead_no")).cast("int")
+    train = train.withColumn("fold", case)
+    apply = long.filter("block > 1").withColumn("fold_no", F.col("block")).withColumn("fold", case)
+    cases = [k * len(leads) + i for k in range(2, last + 1) for i in range(len(leads))]
+    keep = ["fold_no", "lead", SYMBOL, DATE, "hour_start_utc", "regression_displacement_24h",
+            "realized_volatility_24h", "target", "reversion_probability"]
+    out = None
+    for variant, names in variants.items():
+        scored = M.logistic_by_fold(train, apply, names, cases).select(*keep).withColumn("model_variant", F.lit(variant))
+        out = scored if out is None else out.unionByName(scored)
+    return out.withColumnRenamed("fold_no", "fold")
+
+
+def probability_sleeve(
+    df: DataFrame, predictions: DataFrame, leads: list[tuple[str, int]], variants: list[str], bps: float = 3.5
+) -> tuple[DataFrame, DataFrame]:
+    """Daily accounting and fold summary of each scope: every lead alone, and all of them combined.
+
+    Leads on one instrument average their weights.  A fold's hours run through without a daily
+    break, and scopes without a prediction stay flat.
+    """
+    keys = ["fold", "model_variant", "scope"]
+    weight = B.probability_weight("reversion_probability", "regression_displacement_24h", "realized_volatility_24h")
+    weights = predictions.withColumn("weight", weight).withColumn(
+        "scope", F.explode(F.array(F.lit("combined"), F.col("lead")))
+    ).groupBy(*keys, SYMBOL, "hour_start_utc").agg(F.avg("weight").alias("target_weight"))
+    names = [f"{s}_{h}h" for s, h in leads]
+    scopes = F.array(*[
+        F.struct(F.lit(v).alias("model_variant"), F.lit(s).alias("scope")) for v in variants for s in ("combined", *names)
+    ])
+    hours = df.filter((F.col("block") > 1) & F.col(SYMBOL).isin(*{s for s, _ in leads})).select(
+        F.col("block").alias("fold"), SYMBOL, DATE, "hour_start_utc", F.expm1("log_return_1h").alias("ret"), F.inline(scopes)
+    )
+    held = cut_lineage(hours.join(weights, [*keys, SYMBOL, "hour_start_utc"], "left").fillna(0.0, ["target_weight"]))
+    days = df.filter("block > 1").select("hour_start_utc", DATE).distinct()
+    hourly = B.hourly_pnl(held, keys, "hour_start_utc", "target_weight", "ret", bps).join(days, "hour_start_utc")
+    daily = cut_lineage(hourly.groupBy(*keys, DATE).agg(
+        *[F.sum(c).alias(c) for c in ("gross_return", "cost", "net_return", "turnover")],
+        F.avg("gross_exposure").alias("average_gross_exposure"),
+    ))
+    entries = B.entry_count(held, keys, "hour_start_utc", "target_weight")
+    summary = E.summarize(
+        daily, keys, "net_return", DATE, F.sum("cost").alias("total_cost"), F.avg("turnover").alias("average_daily_turnover")
+    ).join(entries, keys)
+    return daily, summary

@@ -12,6 +12,7 @@ from tidepanel.operators import labels as L
 from tidepanel.operators import models as M
 from tidepanel.operators import selection as K
 from tidepanel.operators import signals as N
+from tidepanel.plans import studies as P
 from tidepanel.registry.base import query, r, shared
 from tidepanel.registry.displacement_queries import hours
 from tidepanel.registry.evaluate_queries import dd, dense_panel, few, grid, sharpe_sql
@@ -446,43 +447,49 @@ def conviction_portfolio(spark, folder):
     return tidy(B.active_leg_portfolio(M.conviction_positions(df, "f", 10.0), [], 1.0))
 
 
+# Instrument and horizon of the leads.
+LEADS = [("view", 23), ("click", 115), ("view", 115)]
+BASELINE = ["absolute_regression_zscore_24h", "absolute_prediction_interval_position_24h"]
+STATES = {
+    "displacement_only": BASELINE,
+    "full_state": [c for c in D.FEATURES if c not in D.REGIME_COLUMNS] + BASELINE,
+}
+EXTREME = 1.0
+
+
+def reversion_inputs(spark, folder):
+    """Hourly features, first-passage labels of both horizons and three blocks of dates."""
+    base = cut_lineage(D.regression_features(hours(spark, folder)))
+    df = base.withColumns({
+        BASELINE[0]: F.abs("regression_residual_zscore_24h"), BASELINE[1]: F.abs("prediction_interval_position_24h"),
+    })
+    labels = D.regression_targets(base, tuple(sorted({h for _, h in LEADS}))).drop("trading_date")
+    return cut_lineage(E.date_blocks(df.join(labels, ["symbol", "hour_start_utc"]), 3))
+
+
+def reversion_study(spark, folder):
+    df = reversion_inputs(spark, folder)
+    found = cut_lineage(P.probability_predictions(df, LEADS, STATES, EXTREME))
+    return found, *P.probability_sleeve(df, found, LEADS, list(STATES))
+
+
 @query("reversion_probability_sleeve")
 def reversion_probability_sleeve(spark, folder):
-    """Logistic reversion probabilities, their weights and costed hourly returns by day."""
-    base = cut_lineage(D.own_features(hours(spark, folder)))
-    names = ["absolute_z", "absolute_position", "regression_slope_24h", "volatility_ratio_24h_120h"]
-    df = base.withColumns(
-        {
-            "absolute_z": F.abs("regression_residual_zscore_24h"),
-            "absolute_position": F.abs("prediction_interval_position_24h"),
-        }
-    )
-    labels = D.regression_targets(base, (8,)).drop("trading_date")
-    df = cut_lineage(df.join(labels, ["symbol", "hour_start_utc"]))
-    df = E.date_blocks(df, 3)
-    extreme = df.filter(F.col("absolute_z") >= 1.0)
-    train = extreme.filter("target_before_stop_8h IS NOT NULL").withColumn(
-        "fold", F.explode(F.sequence(F.lit(2), F.lit(3)))
-    )
-    train = train.filter(F.col("block") < F.col("fold")).withColumn(
-        "target", F.col("target_before_stop_8h")
-    )
-    apply = extreme.filter("block > 1").withColumn("fold", F.col("block"))
-    scored = M.logistic_by_fold(train, apply, names, [2, 3])
-    weight = B.probability_weight(
-        "reversion_probability", "regression_displacement_24h", "realized_volatility_24h"
-    )
-    scored = scored.select("symbol", "hour_start_utc", weight.alias("target_weight"))
-    held = df.filter("block > 1").withColumn("ret", F.expm1("log_return_1h")).join(
-        scored, ["symbol", "hour_start_utc"], "left"
-    )
-    hourly = B.hourly_pnl(held, ["trading_date"], "hour_start_utc", "target_weight", "ret", 3.5)
-    return tidy(
-        hourly.groupBy("trading_date").agg(
-            F.sum("gross_return").alias("gross_return"), F.sum("cost").alias("cost"),
-            F.sum("net_return").alias("net_return"), F.sum("turnover").alias("turnover"),
-        )
-    )
+    """Costed daily returns of the logistic reversion probabilities, per fold, feature set and scope."""
+    return tidy(reversion_study(spark, folder)[1])
+
+
+@query("reversion_probability_folds")
+def reversion_probability_folds(spark, folder):
+    """Return, risk, cost, entries and active hours of every fold, feature set and scope."""
+    return tidy(reversion_study(spark, folder)[2])
+
+
+@query("reversion_probability_diagnostics")
+def reversion_probability_diagnostics(spark, folder):
+    """Calibration and discrimination of every lead, fold and feature set."""
+    found = P.probability_predictions(reversion_inputs(spark, folder), LEADS, STATES, EXTREME)
+    return tidy(E.probability_diagnostics(found, ["lead", "fold", "model_variant"], "reversion_probability", "target"))
 
 
 @query(
