@@ -80,10 +80,10 @@ def test_labels_known_after_the_fold_starts_do_not_train(spark):
             out.append(("a", at.date(), at, block, z, x, 0.5, target, known, x))
         return spark.createDataFrame(out, "symbol string, trading_date date, hour_start_utc timestamp, block int, "
                                      "regression_residual_zscore_24h double, regression_displacement_24h double, realized_volatility_24h double, "
-                                     "target_before_stop_2h double, label_available_at_2h_utc timestamp, x double")
+                                     "target_before_stop_2h double, label_available_at_2h_utc timestamp, state double")
 
     results = [
-        {r.hour_start_utc: r.reversion_probability for r in P.probability_predictions(rows(late), [("a", 2)], {"one": ["x"]}).collect()}
+        {r.hour_start_utc: r.reversion_probability for r in P.probability_predictions(rows(late), [("a", 2)], {"one": ["state"]}).collect()}
         for late in (0.0, 1.0)
     ]
     assert len(results[0]) == 16 and results[0] == pytest.approx(results[1], abs=1e-9)
