@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidepanel.functions.scalars import ratio
 from tidepanel.session import cut_lineage
 
+ROWS_PER_TASK = 200_000  # training rows a task of the tree fits takes
+
 
 def fold_statistics(train: DataFrame, names: list[str], robust: bool) -> DataFrame:
     """Per fold: fill value, centre and scale of every column, and whether it had gaps.
@@ -183,8 +185,12 @@ def boosted_by_fold(
     """
     stats = fold_statistics(train, names, False)
     train, apply = _filled(train, stats, names), _filled(apply, stats, names)
+    # Written once: every tree of every fold reads its rows from here, in as few tasks as they need.
+    train = cut_lineage(train.select("fold", target, *names))
+    sizes = {row["fold"]: row["n"] for row in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for fold in folds:
+        rows = train.filter(F.col("fold") == fold).repartition(1 + sizes.get(fold, 0) // ROWS_PER_TASK)
         stages = [
             VectorAssembler(inputCols=names, outputCol="features"),
             GBTRegressor(
@@ -192,7 +198,7 @@ def boosted_by_fold(
                 minInstancesPerNode=leaf, seed=20260823, predictionCol=name,
             ),
         ]
-        model = Pipeline(stages=stages).fit(train.filter(F.col("fold") == fold))
+        model = Pipeline(stages=stages).fit(rows)
         part = model.transform(apply.filter(F.col("fold") == fold)).drop("features")
         out = part if out is None else out.unionByName(part)
     return out
@@ -243,13 +249,15 @@ def logistic_by_fold(
     return out
 
 
-def conviction_positions(df: DataFrame, forecast: str, hurdle_bps: float, top: int = 4) -> DataFrame:
-    """Sign of the strongest forecasts that clear a round-trip hurdle, per date."""
+def conviction_positions(
+    df: DataFrame, forecast: str, hurdle_bps: float, top: int = 4, keys: list[str] | None = None
+) -> DataFrame:
+    """Sign of the strongest forecasts that clear a round-trip hurdle, per date (and per ``keys``)."""
     from pyspark.sql import Window
 
     size = F.abs(forecast)
     rank = F.row_number().over(
-        Window.partitionBy("trading_date").orderBy(size.desc(), F.col("symbol"))
+        Window.partitionBy(*(keys or []), "trading_date").orderBy(size.desc(), F.col("symbol"))
     )
     clears = (size >= 2.0 * hurdle_bps / 10_000.0) & (F.col("conviction_rank") <= top)
     return df.withColumn("conviction_rank", rank).withColumn(

@@ -166,15 +166,16 @@ def replay(returns: DataFrame, picked: DataFrame, keys: list[str], value: str, f
     )
 
 
-def walk_forward_families(
+def select_families(
     returns: DataFrame, family: str, value: str, active: str, *, folds: int = 4, per_family: int = 3,
     maximum_correlation: float = 0.75, minimum_score: float | None = 0.0, maximum_weight: float = 0.40,
     digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Family members chosen on earlier folds, families weighted by capped inverse volatility.
 
-    Returns (selections, portfolio).  A fold with fewer than two families is skipped.  ``digits`` rounds scores
-    before they are ranked, so that rules with equal returns tie.
+    Returns (members, weights): members carry the Sharpe ratios and active days they were chosen by,
+    weights the leverage of their fold.  A fold with fewer than two families has members and no weights.
+    ``digits`` rounds scores before they are ranked, so that rules with equal returns tie.
     """
     from tidepanel.operators.accounting import redistribute_excess
 
@@ -188,6 +189,7 @@ def walk_forward_families(
     scores = scores.filter(fits)
     if digits is not None:
         scores = scores.withColumn("training_score", F.round("training_score", digits))
+    scores = cut_lineage(scores)
     blocked = E.date_blocks(returns, folds, DATE)
     arrays = blocked.groupBy("strategy").agg(
         F.array_sort(F.collect_list(F.struct(DATE, "block", value))).alias("s")
@@ -200,32 +202,81 @@ def walk_forward_families(
         candidates, ["evaluation_fold", family], "training_score", target=per_family, per_symbol=1,
         maximum_correlation=maximum_correlation,
     )
-    picked = cut_lineage(picked)
-    members = blocked.join(picked.select("evaluation_fold", "strategy"), "strategy")
-    sleeves = (
-        members.filter(F.col("block") <= F.col("evaluation_fold"))
-        .groupBy("evaluation_fold", family, DATE, "block")
-        .agg(F.avg(value).alias("sleeve"))
-    )
-    train = sleeves.filter(F.col("block") < F.col("evaluation_fold"))
+    why = scores.select("evaluation_fold", *keys, "training_trades", "prior_fold_sharpes")
+    members = cut_lineage(picked.join(why, ["evaluation_fold", *keys]))
+    train = _family_sleeves(returns, members, family, value, folds, [], F.col("block") < F.col("evaluation_fold"))
     vol = train.groupBy("evaluation_fold", family).agg(F.stddev_samp("sleeve").alias("vol"))
     enough = vol.groupBy("evaluation_fold").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     vol = vol.join(enough.select("evaluation_fold"), "evaluation_fold")
     weights = redistribute_excess(vol, ["evaluation_fold"], "vol", maximum_weight, name=family)
-    mixed = sleeves.join(weights, ["evaluation_fold", family]).groupBy("evaluation_fold", DATE, "block").agg(
+    mixed = train.join(weights, ["evaluation_fold", family]).groupBy("evaluation_fold", DATE).agg(
         F.sum(F.col("sleeve") * F.col("weight")).alias("r")
     )
-    lever = (
-        mixed.filter(F.col("block") < F.col("evaluation_fold"))
-        .groupBy("evaluation_fold")
-        .agg(leverage_for(F.stddev_samp("r") * 252.0**0.5).alias("leverage"))
+    lever = mixed.groupBy("evaluation_fold").agg(leverage_for(F.stddev_samp("r") * 252.0**0.5).alias("leverage"))
+    return members, cut_lineage(weights.join(lever, "evaluation_fold"))
+
+
+def _family_sleeves(
+    returns: DataFrame, members: DataFrame, family: str, value: str, folds: int, keys: list[str], only: Column
+) -> DataFrame:
+    """Daily mean of each family's members, over the dates that ``only`` keeps for the fold."""
+    chosen = members.select("evaluation_fold", family, "strategy")
+    rows = E.date_blocks(returns, folds, DATE).drop(family).join(chosen, "strategy").filter(only)
+    return rows.groupBy(*keys, "evaluation_fold", family, DATE).agg(F.avg(value).alias("sleeve"))
+
+
+def replay_families(
+    returns: DataFrame, members: DataFrame, weights: DataFrame, family: str, value: str, *, folds: int = 4,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Out-of-sample series of saved members and weights, on any return table of the same rules.
+
+    ``keys`` tell apart several return tables in one, such as cost levels.
+    """
+    keys = keys or []
+    sleeves = _family_sleeves(returns, members, family, value, folds, keys, F.col("block") == F.col("evaluation_fold"))
+    return sleeves.join(weights, ["evaluation_fold", family]).groupBy(*keys, DATE, "evaluation_fold").agg(
+        (F.sum(F.col("sleeve") * F.col("weight")) * F.max("leverage")).alias("portfolio_return")
+    )
+
+
+def walk_forward_families(
+    returns: DataFrame, family: str, value: str, active: str, *, folds: int = 4, **choices
+) -> tuple[DataFrame, DataFrame]:
+    """(selections, portfolio) of ``select_families``; a fold with fewer than two families is skipped."""
+    members, weights = select_families(returns, family, value, active, folds=folds, **choices)
+    portfolio = replay_families(returns, members, weights, family, value, folds=folds)
+    return members.drop("training_trades", "prior_fold_sharpes"), portfolio
+
+
+FAMILY_WEIGHT = "__FAMILY_WEIGHT__"  # fixed value: marks a family's weight among the records
+
+
+def selection_records(members: DataFrame, weights: DataFrame, family: str) -> DataFrame:
+    """One record per member and per family weight, evidence as JSON text."""
+    chosen = members.select(
+        "evaluation_fold", family, "strategy", "symbol", "training_score", F.col("training_trades").cast("long"),
+        F.to_json("prior_fold_sharpes").alias("prior_fold_sharpes"),
+    )
+    weighed = weights.select(
+        "evaluation_fold", family, F.lit(FAMILY_WEIGHT).alias("strategy"), F.lit("").alias("symbol"),
+        F.col("weight").alias("training_score"), F.lit(0).cast("long").alias("training_trades"),
+        F.to_json(F.struct("leverage")).alias("prior_fold_sharpes"),
+    )
+    return chosen.unionByName(weighed)
+
+
+def read_selection_records(records: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
+    """(members, weights) of saved records."""
+    is_weight = F.col("strategy") == FAMILY_WEIGHT
+    members = records.filter(~is_weight).withColumn(
+        "prior_fold_sharpes", F.from_json("prior_fold_sharpes", "array<double>")
     )
-    portfolio = (
-        mixed.filter(F.col("block") == F.col("evaluation_fold"))
-        .join(lever, "evaluation_fold")
-        .select(DATE, "evaluation_fold", (F.col("r") * F.col("leverage")).alias("portfolio_return"))
+    weights = records.filter(is_weight).select(
+        "evaluation_fold", family, F.col("training_score").alias("weight"),
+        F.from_json("prior_fold_sharpes", "leverage double")["leverage"].alias("leverage"),
     )
-    return picked, portfolio
+    return members, weights
 
 
 def parameter_neighbours(audit: DataFrame, chosen: DataFrame, lookbacks: tuple[int, ...], thresholds: tuple[float, ...]) -> DataFrame:

@@ -60,27 +60,36 @@ def network_rule_grid(spark, folder):
     return variant_totals(P.network_grid(panel), "window", "momentum", "threshold", "hold")
 
 
+def pass_one(spark, folder):
+    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
+    return P.hypothesis_pass_one(bars, LEADERS, least=10)
+
+
+def pass_two(spark, folder):
+    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
+    return P.hypothesis_pass_two(bars, cut_lineage(dense(spark, folder)))
+
+
+def pass_three(spark, folder):
+    return P.hypothesis_pass_three(
+        src.settled_bars(spark, folder, 15), cut_lineage(dense(spark, folder)), least=10
+    )
+
+
 @query("hypothesis_pass_one")
 def hypothesis_pass_one(spark, folder):
     """Families H002-H006 on bars of every length, each checked on its own as well."""
-    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
-    out = P.hypothesis_pass_one(bars, LEADERS, least=10)
-    return variant_totals(out, "hypothesis_id", "timeframe", "symbol")
+    return variant_totals(pass_one(spark, folder), "hypothesis_id", "timeframe", "symbol")
 
 
 @query("hypothesis_pass_two")
 def hypothesis_pass_two(spark, folder):
-    bars = {m: src.settled_bars(spark, folder, m) for m in TIMEFRAMES}
-    out = P.hypothesis_pass_two(bars, cut_lineage(dense(spark, folder)))
-    return variant_totals(out, "hypothesis_id", "timeframe", "symbol")
+    return variant_totals(pass_two(spark, folder), "hypothesis_id", "timeframe", "symbol")
 
 
 @query("hypothesis_pass_three")
 def hypothesis_pass_three(spark, folder):
-    out = P.hypothesis_pass_three(
-        src.settled_bars(spark, folder, 15), cut_lineage(dense(spark, folder)), least=10
-    )
-    return variant_totals(out, "hypothesis_id", "timeframe", "symbol")
+    return variant_totals(pass_three(spark, folder), "hypothesis_id", "timeframe", "symbol")
 
 
 @query("study_tail")
