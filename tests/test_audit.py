@@ -151,3 +151,42 @@ def test_model_study(spark):
         assert costs.loc[bps, "observations"] == len(DAYS)
     assert daily.groupBy("model").count().count() == 2
     assert audit.folds.count() == 3 and audit.gates.count() == 5
+
+
+def test_theme_books(spark):
+    from tidepanel.plans import studies as P
+
+    rng = np.random.default_rng(17)
+    rows = [
+        (f"{theme}_{k}", theme, day, 1 + i // 50 if 20 <= i else None, float(rng.normal(0.0005 * (k - 1), 0.01)))
+        for theme in ("x", "y", "z") for k in range(4) for i, day in enumerate(DAYS)
+    ]
+    daily = spark.createDataFrame(rows, "strategy string, theme string, trading_date date, fold int, net double")
+    got = P.theme_books(daily, top=2).toPandas().pivot(index="trading_date", columns="book", values="net")
+    net = daily.toPandas().pivot(index="trading_date", columns="strategy", values="net")
+    seen = net.iloc[20:]
+    sharpe = seen.mean() / seen.std()
+    best = {t: sharpe[[c for c in net if c.startswith(t)]].sort_values(ascending=False).index for t in "xyz"}
+    themes = pd.DataFrame({t: net[list(best[t])].mean(axis=1) for t in "xyz"})
+    expected = {
+        "all_rules_equal_weight": net.mean(axis=1),
+        "all_themes_equal_weight": themes.mean(axis=1),
+        "theme_champions_equal_weight": net[[b[0] for b in best.values()]].mean(axis=1),
+        "top_2_per_theme_equal_weight": net[[c for b in best.values() for c in b[:2]]].mean(axis=1),
+        "all_positive_equal_weight": net[seen.columns[seen.mean() > 0]].mean(axis=1),
+        "theme_equal_weight": themes.mean(axis=1),
+    }
+    for book, series in expected.items():
+        np.testing.assert_allclose(got[book], series, atol=1e-12)
+    prior = themes.rolling(60, min_periods=20).std().shift(1) * 252**0.5
+    scaled = (themes * (0.1 / prior).clip(0.25, 2.0).fillna(1.0)).mean(axis=1)
+    whole = scaled.rolling(60, min_periods=20).std().shift(1) * 252**0.5
+    np.testing.assert_allclose(
+        got["theme_causal_volatility_balanced"], scaled * (0.1 / whole).clip(0.25, 2.0).fillna(1.0), atol=1e-9
+    )
+    losing = daily.withColumn("net", -F.abs("net"))
+    none = P.theme_books(losing, top=2).toPandas().pivot(index="trading_date", columns="book", values="net")
+    np.testing.assert_allclose(none["all_positive_equal_weight"], none["theme_champions_equal_weight"])
+    rho = P.validation_correlation(daily, "strategy").toPandas().set_index(["member_a", "member_b"])["correlation"]
+    assert len(rho) == 66
+    assert rho[("x_0", "y_1")] == pytest.approx(seen["x_0"].corr(seen["y_1"]))

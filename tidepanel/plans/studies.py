@@ -223,12 +223,62 @@ def weights_and_returns(
     return B.net_returns(returns, full, keys, bps)
 
 
-def theme_search(features: DataFrame, panel: DataFrame, bps: float = 3.5, folds: dict | None = None) -> DataFrame:
-    """Sixty theme rules to returns to fold evidence, tiered."""
+def theme_daily(features: DataFrame, panel: DataFrame, bps: float = 3.5, folds: dict | None = None) -> DataFrame:
+    """Daily costed returns of the sixty theme rules with their validation fold."""
     returns = cut_lineage(dense_returns(panel))
     scores = cut_lineage(N.theme_scores(features))
     daily = weights_and_returns(scores, returns, ["strategy", "theme"], bps, neutral=False)
-    df = L.fold_of_session(cut_lineage(daily), **(folds or {}))
+    return cut_lineage(L.fold_of_session(cut_lineage(daily), **(folds or {})))
+
+
+def theme_books(daily: DataFrame, top: int = 3) -> DataFrame:
+    """Daily returns of the books that themes and rules form together.
+
+    ``daily`` has strategy, theme, trading_date, fold and net.  Books: all rules, all themes, each theme's
+    champion, its best ``top``, every rule with a gain (the champions where none has one), and the equal and
+    volatility-balanced mix of the themes.  Rules are ranked on their validation rows.
+    """
+    evidence = E.summarize(daily.filter(F.col("fold").isNotNull()), ["theme", "strategy"], "net")
+    evidence = K.ranked(evidence, ["theme"], "sharpe")
+    gains = F.col("annualized_return") > 0
+    evidence = cut_lineage(evidence)
+    some = evidence.agg(F.coalesce(F.bool_or(gains), F.lit(False)).alias("some")).scalar()
+    evidence = evidence.withColumn("some", some)
+    books = {
+        "all_rules_equal_weight": F.lit(True),
+        "theme_champions_equal_weight": F.col("rank") == 1,
+        f"top_{top}_per_theme_equal_weight": F.col("rank") <= top,
+        "all_positive_equal_weight": F.when(F.col("some"), gains).otherwise(F.col("rank") == 1),
+    }
+    member = F.explode(F.filter(F.array(*[F.when(c, F.lit(b)) for b, c in books.items()]), lambda b: b.isNotNull()))
+    members = evidence.select("theme", "strategy", member.alias("book"))
+    rules = B.mean_sleeve(daily.join(members, ["theme", "strategy"]), ["book"])
+    themes = cut_lineage(B.mean_sleeve(daily, ["theme"]))
+    even = B.mean_sleeve(themes, []).select(F.lit("all_themes_equal_weight").alias("book"), DATE, "net")
+    mixed = B.causal_volatility_balance(themes, "theme").unpivot(
+        [DATE], ["equal_weight", "causal_volatility_balanced"], "mix", "net"
+    ).select(F.concat(F.lit("theme_"), "mix").alias("book"), DATE, "net")
+    out = rules.select("book", DATE, "net").unionByName(even).unionByName(mixed)
+    days = daily.select(DATE, "fold").distinct()
+    return out.join(days, DATE)
+
+
+def book_summary(books: DataFrame, key: str = "book") -> DataFrame:
+    """Fold evidence and tier of each book, best first by rank."""
+    out = E.fold_and_pooled(books, [key], "net")
+    out = out.withColumn("research_tier", E.research_tier("sharpe", "positive_folds"))
+    return K.ranked(out, [], "sharpe", key)
+
+
+def validation_correlation(daily: DataFrame, name: str, least: int = 20) -> DataFrame:
+    """Correlation of every pair of series on the validation rows."""
+    rows = daily.filter(F.col("fold").isNotNull())
+    return G.pairwise_correlation(rows, [DATE], name, "net", least)
+
+
+def theme_search(features: DataFrame, panel: DataFrame, bps: float = 3.5, folds: dict | None = None) -> DataFrame:
+    """Sixty theme rules to returns to fold evidence, tiered."""
+    df = theme_daily(features, panel, bps, folds)
     out = E.fold_and_pooled(df, ["strategy", "theme"], "net", F.avg("turnover").alias("average_daily_turnover"))
     out = out.withColumn("research_tier", E.research_tier("sharpe", "positive_folds"))
     return K.ranked(out, ["theme"], "sharpe").withColumn("accounting", F.lit(ACCOUNTING))
@@ -256,6 +306,39 @@ def forecast_sleeves(features: DataFrame, panel: DataFrame, bps: float = 3.5) ->
     return weights_and_returns(scores, returns, ["strategy"], bps, neutral=False)
 
 
+def reversion_families(features: DataFrame, panel: DataFrame, bps: float = 3.5) -> DataFrame:
+    """Equal mean of the market-neutral reversion rules of each family, as sleeves."""
+    returns = cut_lineage(dense_returns(panel))
+    scores = cut_lineage(N.reversion_scores(features))
+    daily = cut_lineage(weights_and_returns(scores, returns, ["strategy", "family"], bps, neutral=True))
+    return B.mean_sleeve(daily, ["family"]).select(F.col("family").alias("strategy"), DATE, "net")
+
+
+def candidate_sleeves(
+    features: DataFrame, panel: DataFrame, regimes: DataFrame, extra: DataFrame | None = None, bps: float = 3.5
+) -> DataFrame:
+    """Every sleeve on the market calendar: trend (mean of the plain and the regime-scaled book), breakout,
+    reversion families, and ``extra`` series (strategy, trading_date, net) such as model or intraday ones.
+
+    A date outside the market calendar is left out.
+    """
+    trends = trend_baseline(features, panel, regimes, bps)
+    trend = B.mean_sleeve(trends, []).select(F.lit("multi_asset_trend").alias("strategy"), DATE, "net")
+    breakout = forecast_sleeves(features, panel, bps).filter("strategy = 'breakout'").select("strategy", DATE, "net")
+    parts = [trend, breakout, reversion_families(features, panel, bps)]
+    if extra is not None:
+        parts.append(extra.join(panel.select(DATE).distinct(), DATE, "left_semi").select("strategy", DATE, "net"))
+    return cut_lineage(_union(parts))
+
+
+def sleeve_books(sleeves: DataFrame, folds: dict | None = None) -> DataFrame:
+    """The candidate portfolio's equal and balanced books as series with their validation fold."""
+    books = candidate_portfolio(sleeves, folds).unpivot(
+        [DATE, "book"], ["equal_weight", "causal_volatility_balanced"], "mix", "net"
+    ).select(F.concat_ws("_", "book", "mix").alias("book"), DATE, "net")
+    return cut_lineage(L.fold_of_session(books, **(folds or {})))
+
+
 def candidate_portfolio(sleeves: DataFrame, folds: dict | None = None) -> DataFrame:
     """Gate sleeves on fold evidence, then balance the funded ones and all of them."""
     df = cut_lineage(L.fold_of_session(sleeves, **(folds or {})))

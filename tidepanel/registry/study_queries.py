@@ -107,6 +107,30 @@ def theme_search(spark, folder):
     return tidy(out)
 
 
+@query("theme_book_search")
+def theme_book_search(spark, folder):
+    """Fold evidence of the theme books; the tests form them by hand."""
+    feats = cut_lineage(full_features(spark, folder))
+    return tidy(P.book_summary(P.theme_books(P.theme_daily(feats, src.settled_panel(spark, folder)))))
+
+
+@query("theme_rule_correlation")
+def theme_rule_correlation(spark, folder):
+    """Every pair of theme rules on the validation rows."""
+    feats = cut_lineage(full_features(spark, folder))
+    return tidy(P.validation_correlation(P.theme_daily(feats, src.settled_panel(spark, folder)), "strategy"))
+
+
+@query("candidate_books")
+def candidate_books(spark, folder):
+    """Trend, breakout and reversion families, gated and balanced, with fold evidence of the books."""
+    feats = cut_lineage(full_features(spark, folder))
+    panel = src.settled_panel(spark, folder)
+    regimes = cut_lineage(P.regime_table(feats, panel))
+    sleeves = P.candidate_sleeves(feats, panel, regimes)
+    return tidy(P.book_summary(P.sleeve_books(sleeves)))
+
+
 @query("reversion_tournament")
 def reversion_tournament(spark, folder):
     feats = cut_lineage(full_features(spark, folder))
