@@ -67,6 +67,29 @@ def test_hidden_forms_are_added_and_clean_text_is_left(spark):
     assert wrong <= 0.02 * caught, wrong
 
 
+def test_every_row_is_learnt_from(spark):
+    """Only few rows far from the start of the hash range hold what teaches the hidden forms of a kind."""
+    rng = random.Random(5)
+    rows = [(i, said(rng, numbers(rng))) for i in range(9_600)]
+    mails = spark.createDataFrame(
+        [(10_000 + i, said(rng, f"contact {rng.choice(WORDS)}.{i}@{rng.choice(WORDS)}.example.org")) for i in range(800)],
+        "doc_id long, text string")
+    late = mails.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) > 0.6 * (1 << 20))
+    forms = [f"{rng.choice(WORDS)}{i} [at] {rng.choice(WORDS)}-shop [dot] com" for i in range(60)]
+    hidden_rows = spark.createDataFrame([(20_000 + i, said(rng, f)) for i, f in enumerate(forms)], "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(late).unionByName(hidden_rows)
+    out = personal.personal_spans(docs).where("doc_id >= 20000").collect()
+    assert sum(len(r["added"]) == 1 and r["added"][0]["kind"] == 0 for r in out) >= 54
+
+
+def test_counts_cover_every_row(spark):
+    """Two copies of a table have the same feature vectors, each twice as often."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, said(rng, numbers(rng) + " and " + plain(rng))) for i in range(300)], "doc_id long, text string")
+    once, twice = ({tuple(r[:-1]): r["n"] for r in personal.counted(d, "text").collect()} for d in (docs, docs.unionByName(docs)))
+    assert twice == {k: 2 * n for k, n in once.items()} and {k[-1] for k in once} == {0.0, 1.0}
+
+
 def test_unbeaten_equals_brute_force(spark):
     """No certain span is met by a result, results are disjoint, and a candidate that meets nothing stays."""
     rng = random.Random(4)

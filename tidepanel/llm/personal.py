@@ -8,24 +8,29 @@ around it and the words before it.  Per kind, the lowest threshold whose selecti
 least ``PRECISION`` of a calibration half is used, so a kind that cannot be told apart selects nothing.
 Selected candidates that overlap no base span and no better candidate are added; base spans stay.
 
-There are no labels of personal data, so the trees learn from the base spans of a sample, rewritten in
+There are no labels of personal data, so the trees learn from the base spans of the whole table, rewritten in
 their own context into the forms that people hide them in (``forms``): spelled at-signs and dots, masked or
 oddly grouped numbers, other prefixes.  A candidate that covers a rewritten span with its kind is positive.
-Negative are the candidates of the sample's own texts that touch no base span, and those that give a
+Negative are the candidates of the table's own texts that touch no base span, and those that give a
 rewritten span another kind; a candidate of the texts that has such a form already (``veiled``) is of
 unknown class and left out.  Trees learn on one half of the texts, thresholds on the other.  A kind
-without base spans in the sample selects nothing.  The sample is every document whose text hash falls
-under a share of the hash range that holds ``SAMPLE`` documents on average, each text once.
+without base spans selects nothing.  Every row counts, repeated texts as often as they stand in the table;
+they share a half, which the text's hash decides.
 
-Everything is computed inside the row with array functions; no row is exploded outside the sample and
-nothing is shuffled.  Places are found by cutting the text at the matches and summing lengths in
-blocks, and overlaps by one pass over the spans in order of their starts: linear in the text but for
-that sort.
+Trees see whole numbers and flags only, so candidates are counted by their features where the rows are
+read, and the trees and thresholds are fitted on those counts as weights.  What is shuffled and fitted is
+the table of different feature vectors, which grows far slower than the texts.  The learner tries every
+value as a split point while there are at most ``BINS`` squared vectors; beyond that Spark chooses the
+split points, and nothing else, from that many of them.
+
+Everything else is computed inside the row with array functions.  Places are found by cutting the text at
+the matches and summing lengths in blocks, and overlaps by one pass over the spans in order of their
+starts: linear in the text but for that sort.
 
 Edge cases: null counts as the empty text; texts without digits or at-signs skip the patterns; repeated
 rows are searched each; very long texts are searched whole; of overlapping candidates with equal scores
 the one that starts first stays; an empty table gives an empty result; without positives and negatives in
-the sample nothing is added; columns besides the named ones are not read.
+the table nothing is added; columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +43,8 @@ from pyspark.sql import functions as F
 from tidepanel.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 5_000
 PRECISION = 0.98
-TREES, DEPTH = 12, 4
+TREES, DEPTH, BINS = 12, 4, 1024
 BLOCK = 512
 
 _LOCAL, _NAME = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -264,7 +268,7 @@ def planted(rows: DataFrame) -> DataFrame:
         F.when(span["kind"] == i, F.get(F.array(*ways), pick % len(ways)))
         for i, ways in enumerate(forms(k, span["match"]) for k in KINDS)
     ])
-    out = rows.select("half", F.explode("strict").alias("s")).withColumn("hidden", hidden)
+    out = rows.select("half", F.explode_outer("strict").alias("s")).where(span.isNotNull()).withColumn("hidden", hidden)
     first = F.length(span["before"])
     return out.select(
         "half", span["kind"].alias("kind"), first.alias("first"), (first + F.length("hidden")).alias("last"),
@@ -297,23 +301,19 @@ def score_sql(model: GBTClassificationModel) -> str:
     return f"1D / (1D + exp(-2D * ({' + '.join(parts)})))"
 
 
-def fit(docs: DataFrame, text: str) -> tuple[str, dict[int, float]] | None:
-    """Score expression and thresholds by kind, learnt on a sample; None if it cannot tell anything apart."""
-    total = max(1, docs.count())
-    share = min(1.0, SAMPLE / total)
-    sample = docs.select(F.col(text).alias("text")).where(
-        (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.col("text").isNotNull()
-    ).dropDuplicates(["text"])
-    # Written before the arrays are exploded: the filter that Spark derives from an explode would be
-    # pushed below and evaluate the whole chain of patterns again for each reference.
-    rows = cut_lineage(with_candidates(with_strict(sample, "text"), "text").select(
-        F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).alias("half"), "strict", "candidates"))
-    hidden = cut_lineage(with_candidates(cut_lineage(planted(rows)), "text").drop("text"))
-    c = F.col("c")
-    positive = hidden.withColumn("c", F.explode("candidates")).where(
+def counted(docs: DataFrame, text: str) -> DataFrame:
+    """How often each feature vector stands in each half of the texts with each label: half, features, label, n."""
+    half = F.pmod(F.xxhash64(text, F.lit("half")), F.lit(2)).alias("half")
+    read = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    # Outer explodes: the filter that Spark derives from an inner one would be pushed below and evaluate
+    # the whole chain of patterns again for each reference.
+    c, label = F.col("c"), F.col("label")
+    hidden = with_candidates(planted(with_strict(read, "text").select(half, "strict")), "text")
+    positive = hidden.withColumn("c", F.explode_outer("candidates")).where(
         (c["start"] < F.col("last")) & (c["end"] > F.col("first"))
     ).withColumn("label", (
         (c["kind_no"] == F.col("kind")) & (c["start"] <= F.col("first")) & (c["end"] >= F.col("last"))).cast("double"))
+    rows = with_candidates(with_strict(read, "text"), "text").select(half, "strict", "candidates")
     candidate = rows.schema["candidates"].dataType.elementType.simpleString()
     item = f"struct<start:int,end:int,score:double,span:{candidate}>"
 
@@ -326,18 +326,27 @@ def fit(docs: DataFrame, text: str) -> tuple[str, dict[int, float]] | None:
             x["start"].alias("start"), x["end"].alias("end"), F.lit(1.0).alias("score"), x.alias("span")))
         return unbeaten(F.array_sort(F.concat(base, mine)), item)
 
-    clear = cut_lineage(rows.select("half", F.concat(*[untouched(i) for i in range(len(KINDS))]).alias("clear")))
-    negative = clear.select("half", F.explode("clear").alias("item")).select(
-        "half", F.col("item.span").alias("c")).where(~c["veiled"]).withColumn("label", F.lit(0.0))
-    labelled = cut_lineage(positive.select("half", "c.*", "label").unionByName(negative.select("half", "c.*", "label")))
+    clear = rows.select("half", F.concat(*[untouched(i) for i in range(len(KINDS))]).alias("clear"))
+    negative = clear.select("half", F.explode_outer("clear").alias("item")).select(
+        "half", F.col("item.span").alias("c")).where(c.isNotNull() & ~c["veiled"]).withColumn("label", F.lit(0.0))
+    vectors = [part.select("half", *[c[f].alias(f) for f in FEATURES], label) for part in (positive, negative)]
+    return vectors[0].unionByName(vectors[1]).groupBy("half", *FEATURES, "label").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, text: str) -> tuple[str, dict[int, float]] | None:
+    """Score expression and thresholds by kind, learnt on all rows; None if they cannot tell anything apart."""
+    labelled = cut_lineage(counted(docs, text))
     if labelled.where("half = 0").select("label").distinct().count() < 2:
         return None
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled.where("half = 0"))
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=11).fit(ready)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+        labelled.where("half = 0").withColumn("weight", F.col("n").cast("double")))
+    model = GBTClassifier(
+        labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=11).fit(ready)
     score = score_sql(model)
     scored = labelled.where("half = 1").withColumn("c", F.struct(*FEATURES)).select(
-        "kind_no", "label", F.round(F.expr(score), 3).alias("score"))
-    steps = scored.groupBy("kind_no", "score").agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+        F.col("kind").cast("int").alias("kind_no"), "label", "n", F.round(F.expr(score), 3).alias("score"))
+    steps = scored.groupBy("kind_no", "score").agg(
+        F.sum(F.col("label").cast("long") * F.col("n")).alias("right"), F.sum("n").alias("n"))
     down = Window.partitionBy("kind_no").orderBy(F.desc("score"))
     good = steps.withColumns({"r": F.sum("right").over(down), "all": F.sum("n").over(down)}).where(
         F.col("r") >= PRECISION * F.col("all"))
