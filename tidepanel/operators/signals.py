@@ -633,10 +633,15 @@ def _reversion_input(name):
     return F.col(name)
 
 
+def reversion_inputs(rules=None):
+    """The features that the reversion rules read."""
+    return sorted({rule[2] for rule in (reversion_registry() if rules is None else rules)})
+
+
 def reversion_scores(features, rules=None):
     """Contrarian score of every reversion rule, (strategy, symbol, trading_date, score)."""
     rules = reversion_registry() if rules is None else rules
-    names = sorted({rule[2] for rule in rules})
+    names = reversion_inputs(rules)
     long = scaled_long(features, names, _reversion_input)
     spark = features.sparkSession
     registry = spark.createDataFrame(
@@ -650,10 +655,16 @@ def reversion_scores(features, rules=None):
     return df.select("strategy", "family", "symbol", "trading_date", score.alias("score"))
 
 
+def theme_inputs(rules=None):
+    """The features that the theme rules read."""
+    rules = theme_registry() if rules is None else rules
+    return sorted({r[2] for r in rules} | {r[6] for r in rules if r[6]})
+
+
 def theme_scores(features, rules=None):
     """Score of every theme rule with its activity or signed modulation and hold smoothing."""
     rules = theme_registry() if rules is None else rules
-    names = sorted({r[2] for r in rules} | {r[6] for r in rules if r[6]})
+    names = theme_inputs(rules)
     long = scaled_long(features, names, centred)
     spark = features.sparkSession
     registry = spark.createDataFrame(

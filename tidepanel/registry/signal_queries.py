@@ -353,11 +353,18 @@ def breakout_forecast(spark, folder):
 TAPE_INPUTS = ("intraday_tail_imbalance", "return_sign_imbalance", "volume_per_observed_minute")
 
 
-def full_features(spark, folder):
-    """All session features with the tape columns that the rules and regimes read."""
-    panel = src.settled_panel(spark, folder)
-    tape = X.tape_pace(src.session_returns(spark, folder)).select("symbol", "trading_date", *TAPE_INPUTS)
-    return X.session_features(panel).join(tape, ["symbol", "trading_date"], "left")
+def full_features(spark, folder, panel=None, names=None):
+    """Session features with the tape columns that the rules and regimes read; ``names`` keeps those alone.
+
+    A caller that reads the settled panel as well hands it over, so the prints are scanned once for both;
+    the tape needs a scan of its own, which is made only where one of its columns is asked for.
+    """
+    panel = src.settled_panel(spark, folder) if panel is None else panel
+    out = X.session_features(panel)
+    if names is None or set(names) & set(TAPE_INPUTS):
+        tape = X.tape_pace(src.session_returns(spark, folder)).select("symbol", "trading_date", *TAPE_INPUTS)
+        out = out.join(tape, ["symbol", "trading_date"], "left")
+    return out if names is None else out.select("symbol", "trading_date", *names)
 
 
 shared(
@@ -454,7 +461,7 @@ PROFILE_SQL = (
     f"SELECT strategy, family, symbol, {PROFILE_SQL} FROM t_rev GROUP BY strategy, family, symbol",
 )
 def reversion_rule_scores(spark, folder):
-    return _score_profile(N.reversion_scores(cut_lineage(full_features(spark, folder))), "strategy", "family")
+    return _score_profile(N.reversion_scores(cut_lineage(full_features(spark, folder, names=N.reversion_inputs()))), "strategy", "family")
 
 
 @query(
@@ -462,7 +469,7 @@ def reversion_rule_scores(spark, folder):
     f"SELECT strategy, theme, symbol, {PROFILE_SQL} FROM t_themes GROUP BY strategy, theme, symbol",
 )
 def theme_rule_scores(spark, folder):
-    return _score_profile(N.theme_scores(cut_lineage(full_features(spark, folder))), "strategy", "theme")
+    return _score_profile(N.theme_scores(cut_lineage(full_features(spark, folder, names=N.theme_inputs()))), "strategy", "theme")
 
 
 def _phi(x: str) -> str:

@@ -10,6 +10,7 @@ from tidepanel.operators import labels as L
 from tidepanel.operators import models as M
 from tidepanel.operators import network as G
 from tidepanel.operators import quality as Q
+from tidepanel.operators import signals as N
 from tidepanel.plans import studies as P
 from tidepanel.registry.allocation_queries import week_returns
 from tidepanel.registry.base import query, r, shared
@@ -216,10 +217,11 @@ def regime_table(spark, folder):
 
 @query("saved_rule_replay")
 def saved_rule_replay(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
-    out = P.saved_rule_replay(
-        feats, src.settled_panel(spark, folder), ["momentum_05", "trend_02", "lead_lag_01"]
-    )
+    saved = ["momentum_05", "trend_02", "lead_lag_01"]
+    panel = src.settled_panel(spark, folder)
+    names = N.theme_inputs([rule for rule in N.theme_registry() if rule[0] in saved])
+    feats = cut_lineage(full_features(spark, folder, panel, names))
+    out = P.saved_rule_replay(feats, panel, saved)
     return tidy(E.performance_snapshot(out.withColumn("portfolio", F.lit("saved")), ["portfolio"], "net"))
 
 
