@@ -16,7 +16,7 @@ class Reached(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, step", [("saved_rule_replay", "saved_rule_replay")])
+@pytest.mark.parametrize("name, step", [("saved_rule_replay", "saved_rule_replay"), ("theme_rule_correlation", "theme_daily")])
 def test_prints_are_scanned_once(spark, monkeypatch, name, step):
     scans, quotes = [], src.quotes
     monkeypatch.setattr(src, "quotes", lambda *a: scans.append(a) or quotes(*a))

@@ -103,30 +103,33 @@ def study_tail(spark, folder):
 
 @query("theme_search")
 def theme_search(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
-    out = P.theme_search(feats, src.settled_panel(spark, folder))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel, N.theme_inputs()))
+    out = P.theme_search(feats, panel)
     return tidy(out)
 
 
 @query("theme_book_search")
 def theme_book_search(spark, folder):
     """Fold evidence of the theme books; the tests form them by hand."""
-    feats = cut_lineage(full_features(spark, folder))
-    return tidy(P.book_summary(P.theme_books(P.theme_daily(feats, src.settled_panel(spark, folder)))))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel, N.theme_inputs()))
+    return tidy(P.book_summary(P.theme_books(P.theme_daily(feats, panel))))
 
 
 @query("theme_rule_correlation")
 def theme_rule_correlation(spark, folder):
     """Every pair of theme rules on the validation rows."""
-    feats = cut_lineage(full_features(spark, folder))
-    return tidy(P.validation_correlation(P.theme_daily(feats, src.settled_panel(spark, folder)), "strategy"))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel, N.theme_inputs()))
+    return tidy(P.validation_correlation(P.theme_daily(feats, panel), "strategy"))
 
 
 @query("candidate_books")
 def candidate_books(spark, folder):
     """Trend, breakout and reversion families, gated and balanced, with fold evidence of the books."""
-    feats = cut_lineage(full_features(spark, folder))
     panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel))
     regimes = cut_lineage(P.regime_table(feats, panel))
     sleeves = P.candidate_sleeves(feats, panel, regimes)
     return tidy(P.book_summary(P.sleeve_books(sleeves)))
@@ -134,21 +137,23 @@ def candidate_books(spark, folder):
 
 @query("reversion_tournament")
 def reversion_tournament(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
-    return tidy(P.reversion_tournament(feats, src.settled_panel(spark, folder)))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel, N.reversion_inputs()))
+    return tidy(P.reversion_tournament(feats, panel))
 
 
 @query("candidate_portfolio")
 def candidate_portfolio(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
-    sleeves = P.forecast_sleeves(feats, src.settled_panel(spark, folder))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel))
+    sleeves = P.forecast_sleeves(feats, panel)
     return tidy(P.candidate_portfolio(sleeves))
 
 
 @query("trend_baseline_with_regimes")
 def trend_baseline_with_regimes(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
     panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel))
     regimes = cut_lineage(P.regime_table(feats, panel))
     out = P.trend_baseline(feats, panel, regimes)
     return tidy(E.summarize(out, ["strategy"], "net"))
@@ -207,8 +212,9 @@ SELECT trading_date, cc, {", ".join(f"exp(s{i}) / (exp(s0) + exp(s1) + exp(s2) +
     + " FROM t_reg3",
 )
 def regime_table(spark, folder):
-    feats = cut_lineage(full_features(spark, folder))
-    out = P.regime_table(feats, src.settled_panel(spark, folder))
+    panel = src.settled_panel(spark, folder)
+    feats = cut_lineage(full_features(spark, folder, panel))
+    out = P.regime_table(feats, panel)
     return tidy(
         out.select("trading_date", *[F.col(f"ensemble_{n}").alias(n) for n in G.REGIMES],
                    "ensemble_confidence", G.exposure_multiplier().alias("multiplier"))
